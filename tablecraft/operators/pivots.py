@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablecraft.functions.scalars import contains_text, label_or, number_or_zero
 
@@ -35,7 +36,8 @@ def calc_field(df: DataFrame, name: str, expr: str) -> DataFrame:
     Division by zero is an error in Spark SQL; ``try_divide`` gives 0 here.
     """
     clean = df.select(F.struct("*").alias("_row"), *[
-        number_or_zero(f"`{f}`").alias(f) for f, t in df.dtypes if not t.startswith(("array", "struct", "map"))])
+        number_or_zero(f"`{f.name}`").alias(f.name) for f in df.schema
+        if isinstance(f.dataType, (T.NumericType, T.StringType, T.BooleanType))])
     return clean.select(F.col("_row"), number_or_zero(F.expr(expr)).alias(name)).select("_row.*", name)
 
 
