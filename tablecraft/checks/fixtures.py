@@ -91,8 +91,8 @@ def column_catalog(spark: SparkSession, sf: str) -> DataFrame:
         F.when(n % 3 == 0, "bigint").when(n % 3 == 1, "text").otherwise("double").alias("data_type"),
         F.concat(F.lit("ns_at_"), F.lower("p_type")).alias("pipeline"), F.lit("store").alias("source_store"),
         F.lit("ns").alias("namespace"), n.alias("n"))
-    second = base.filter(n % 5 == 0).withColumns(
-        {"column_version": F.lit(2), "is_deleted": (n % 10 == 0).cast("int"), "ingested_at": F.lit("2024-02-01")})
+    second = base.filter("n % 5 = 0").withColumns(
+        {"column_version": F.lit(2), "is_deleted": F.expr("int(n % 10 = 0)"), "ingested_at": F.lit("2024-02-01")})
     first = base.withColumns({"column_version": F.lit(1), "is_deleted": F.lit(0), "ingested_at": F.lit("2024-01-01")})
     both = first.unionByName(second)
     return both.withColumns({

@@ -109,14 +109,14 @@ def p7(spark, sf):
 
 @check("p8_calculated_field", """
     SELECT o_orderkey, round(CASE WHEN o_orderpriority = '5-LOW' THEN 0 ELSE o_totalprice END * 0.1 + o_custkey, 4) AS fee,
-           round(coalesce(o_totalprice / nullif(o_custkey, 0), 0), 4) AS per_key, 0.0::DOUBLE AS from_text
+           coalesce(o_totalprice / nullif(o_custkey, 0), 0) AS per_key, 0.0::DOUBLE AS from_text
     FROM orders""")
 def p8(spark, sf):
     o = table(spark, sf, "orders").withColumn("price", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice")))
     o = pv.calc_field(o, "fee", "price * 0.1D + o_custkey")
     o = pv.calc_field(o, "per_key", "try_divide(o_totalprice, o_custkey)")
     o = pv.calc_field(o, "from_text", "o_orderstatus * 2")
-    return rounded(o.select("o_orderkey", "fee", "per_key", "from_text"))
+    return rounded(o.select("o_orderkey", "fee", "per_key", "from_text"), per_key=-1)
 
 
 @check("p9_pivot_heat", f"""{WITH},

@@ -26,9 +26,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 4, **special: int) -> DataFrame:
-    """Double columns rounded, so that the order of additions does not show."""
-    return df.select(*[F.round(F.col(f"`{c}`"), special.get(c, digits)).alias(c) if t == "double" else F.col(f"`{c}`")
-                       for c, t in df.dtypes])
+    """Double columns rounded, so that the order of additions does not show; -1 keeps a column."""
+    places = {c: special.get(c, digits) if t == "double" else -1 for c, t in df.dtypes}
+    return df.select(*[F.col(f"`{c}`") if n < 0 else F.round(F.col(f"`{c}`"), n).alias(c) for c, n in places.items()])
 
 
 def ts_text(col: str | Column) -> Column:

@@ -1,0 +1,59 @@
+"""Queries of the streams: files in the shared folder are drained and the result is read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tablecraft.checks.fixtures import RUN_LOGS_SQL, run_logs
+from tablecraft.checks.registry import TS_SQL, check, table, ts_text
+from tablecraft.checks.sources import EVENT_RECORD, MESSAGES_SQL, messages
+from tablecraft.session import scratch_path
+from tablecraft.sinks.loads import read_target
+from tablecraft.sources.payloads import decode_messages
+from tablecraft.streaming import streams
+
+
+def source_files(spark, df, name):
+    """Write ``df`` as the files of a stream and return the stream over them."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+@check("r1_drain_messages", MESSAGES_SQL)
+def r1(spark, sf):
+    stream = source_files(spark, messages(spark, sf), "messages")
+    sink = scratch_path(spark, "drained")
+    streams.drain(decode_messages(stream, EVENT_RECORD), sink, scratch_path(spark, "drain-checkpoint"))
+    return spark.read.parquet(sink).drop("_kafka_timestamp")
+
+
+@check("r2_stream_merge", """
+    SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")
+def r2(spark, sf):
+    stream = source_files(spark, table(spark, sf, "events").select("user_id", "event_id", "event_type"), "events")
+    target = scratch_path(spark, "merged")
+    streams.stream_merge(stream, target, ["user_id"], scratch_path(spark, "merge-checkpoint"), [F.col("event_id").desc()])
+    return read_target(spark, target).drop("_load_id")
+
+
+@check("r3_stream_logs", f"""WITH {RUN_LOGS_SQL}
+    SELECT {TS_SQL.format("timestamp")} AS timestamp, execution_id, CASE WHEN id % 2 = 0 THEN 'ERROR' ELSE 'INFO' END AS log_level, message FROM logs""")
+def r3(spark, sf):
+    folder, sink = scratch_path(spark, "lines"), scratch_path(spark, "parsed")
+    line = F.concat(F.when(F.col("id") % 2 == 0, "ERROR:").otherwise(""), "message", F.lit(" |+| "), "extra_data")
+    (run_logs(spark, sf).select(line.alias("line"), "logger_name", F.col("timestamp").alias("ts")).write
+     .option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").json(folder))
+    streams.stream_logs(spark, folder, sink, scratch_path(spark, "logs-checkpoint"))
+    return spark.read.parquet(sink).select(ts_text("timestamp").alias("timestamp"), "execution_id", "log_level", "message")
+
+
+@check("r4_stream_volume", f"""
+    SELECT {TS_SQL.format("time_bucket(INTERVAL '1 day', ts)")} AS time_window, event_type, count(*) AS log_count FROM events
+    WHERE time_bucket(INTERVAL '1 day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2""")
+def r4(spark, sf):
+    stream = source_files(spark, table(spark, sf, "events").select("ts", "event_type"), "volume")
+    sink = scratch_path(spark, "volume-out")
+    counts = streams.stream_volume(stream, 86400, "10 minutes", "ts", "event_type")
+    streams.drain(counts, sink, scratch_path(spark, "volume-checkpoint"))
+    return spark.read.parquet(sink).withColumn("time_window", ts_text("time_window"))
