@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablecraft.functions.aggs import Agg, agg_column, as_agg
 from tablecraft.functions.scalars import label_or, number_or_zero
+from tablecraft.operators.attach import attach
 from tablecraft.session import materialise
 
 
@@ -29,16 +30,17 @@ def aggregate_back(df: DataFrame, specs: list[tuple[str, list]]) -> DataFrame:
     """Aggregates per field, attached to every row of that field's group.
 
     ``specs`` is a list of (field, aggregates). Aggregates of the same field are computed
-    together and joined once. Rows with a NULL field get NULL aggregates. The join keeps
-    the row side whole: a small aggregate is broadcast and a hot key split at run time.
+    together and attached once. Rows with a NULL field get NULL aggregates.
     """
     by_field: dict[str, list[Agg]] = {}
     for field, aggs in specs:
         by_field.setdefault(field, []).extend(as_agg(a) for a in aggs)
-    # NULL keys never match in the join back, so they need no aggregate.
-    tables = {f: aggregate_by(df.filter(F.col(f).isNotNull()), f, aggs) for f, aggs in by_field.items()}
-    joined = reduce(lambda out, f: out.join(tables[f], f, "left"), tables, df)
-    return joined.select(*df.columns, *[a.alias for aggs in by_field.values() for a in aggs])
+    # NULL keys match nothing, so they need no aggregate.
+    out = df
+    for field, aggs in by_field.items():
+        groups = aggregate_by(df.filter(F.col(field).isNotNull()), field, aggs)
+        out = attach(out, groups, [field], null_safe=False)
+    return out
 
 
 def exact_quantiles(df: DataFrame, field: str, col: str, ranks: dict[str, float]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablecraft.functions.scalars import contains_text, label_or, number_or_zero
+from tablecraft.operators.attach import attach, keep_matching
 
 TOTAL = "TOTAL"
 
@@ -22,8 +23,7 @@ def filter_in(df: DataFrame, allowed: dict[str, list | DataFrame]) -> DataFrame:
         if field not in df.columns:
             continue
         if isinstance(values, DataFrame):
-            keys = values.select(F.col(values.columns[0]).alias("_allowed"))
-            out = out.join(keys, out[field] == keys["_allowed"], "left_semi")
+            out = keep_matching(out, values, field)
         elif values:
             is_text = dict(df.dtypes)[field] == "string"
             out = out.filter(F.col(field).isin([str(v) if is_text else v for v in values]))
@@ -125,7 +125,7 @@ def pivot_heat(long: DataFrame, mode: str = "sum") -> DataFrame:
     gap = F.when(F.col("_cells") < F.col("_nodes"), F.lit(0.0))
     stats = stats.select("col_key", "field", F.least("_lo", gap).alias("_lo"), F.greatest("_hi", gap).alias("_hi"))
     span = F.col("_hi") - F.col("_lo")
-    return (cells.join(stats, ["col_key", "field"], "left")
+    return (attach(cells, stats, ["col_key", "field"])
             .withColumn("heat", F.when(span != 0, (F.col("value") - F.col("_lo")) / span))
             .select(*long.columns, "value", "heat"))
 

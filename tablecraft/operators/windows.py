@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablecraft.operators.attach import attach
+
 
 def first_per(df: DataFrame, keys: list[str], order_by: list[Column]) -> DataFrame:
     """First row of each key in the given order.
@@ -26,15 +28,10 @@ def latest_by(df: DataFrame, keys: list[str], version: str, *ties: str) -> DataF
 def with_group_stats(df: DataFrame, keys: list[str], *stats: Column) -> DataFrame:
     """Attach aggregates of a row's group to the row; NULL keys form a group.
 
-    Aggregate and join instead of an unordered window: the aggregate combines on the map
-    side, and adaptive execution broadcasts a small aggregate or splits a skewed key of
-    the row side, where a window would put the whole group into one task.
+    Aggregate and attach instead of an unordered window: the aggregate combines on the
+    map side, where a window would put a whole group into one task.
     """
-    grouped = df.groupBy(*keys).agg(*stats)
-    renamed = grouped.select(
-        *[F.col(k).alias(f"_g_{k}") for k in keys], *[c for c in grouped.columns if c not in keys])
-    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(renamed[f"_g_{k}"]) for k in keys])
-    return df.join(renamed, same, "left").drop(*[f"_g_{k}" for k in keys])
+    return attach(df, df.groupBy(*keys).agg(*stats), keys)
 
 
 def any_in_group(df: DataFrame, cond: Column, by: list[str], alias: str) -> DataFrame:
@@ -51,7 +48,7 @@ def min_max_scale(df: DataFrame, value: str, by: list[str], alias: str = "scaled
 
 
 def step_lag(df: DataFrame, ts: str, by: list[str], ties: list[str], alias: str = "step_seconds",
-             slice_unit: str = "hour") -> DataFrame:
+             slice_unit: str = "minute") -> DataFrame:
     """Seconds since the previous row of the same group, in order of ``ts`` and ``ties``.
 
     Each group is cut into time slices. The lag runs inside a slice; the first row of a
@@ -73,47 +70,53 @@ def step_lag(df: DataFrame, ts: str, by: list[str], ties: list[str], alias: str
             .drop("_slice", "_prev", "_before", "_g_slice", *[f"_g_{k}" for k in by]))
 
 
-def page_rows(df: DataFrame, order_by: list[str], offset: int, size: int, shallow: int = 1_000_000) -> DataFrame:
+def page_rows(df: DataFrame, order_by: list[str], offset: int, size: int, shallow: int = 10_000) -> DataFrame:
     """Rows ``offset`` < row number <= ``offset + size`` in order of a unique key, numbered as ``rn``.
 
-    A page near the start is a top-k. A deep page first counts rows between about 250 cut
-    points sampled from the key, then sorts only the slices that overlap the page.
+    A page near the start is a top-k. For a deep page the key range that holds it is
+    narrowed first, about 250-fold per pass, until a top-k over that range is cheap. Only
+    cut points and counts reach the driver; the range reaches the scan as a filter.
     """
     if not order_by:
         raise ValueError("pagination needs an order key")
     source, skip = df, offset
-    if offset + size > shallow:
-        source, skip = _slices_of_page(df, order_by, offset, size)
+    rows = None
+    while skip + size > shallow:
+        source, skip, left = _narrow(source, order_by, skip, size)
+        if left == rows:
+            break
+        rows = left
     page = source.orderBy(*order_by).offset(skip).limit(size)
     number = F.row_number().over(Window.orderBy(*order_by)) + F.lit(offset)
     return page.withColumn("rn", number)
 
 
-def _slices_of_page(df: DataFrame, order_by: list[str], offset: int, size: int) -> tuple[DataFrame, int]:
+def _narrow(df: DataFrame, order_by: list[str], offset: int, size: int) -> tuple[DataFrame, int, int]:
+    """The slices of ``df`` that hold the page, the rows to skip in them, and their row count."""
     key = F.struct(*order_by) if len(order_by) > 1 else F.col(order_by[0])
     keys = df.select(key.alias("k"))
-    sample = keys.orderBy(F.xxhash64("k"), "k").limit(2048)
-    bounds = sorted(r["k"] for r in sample.collect())[::8]
+    sample = keys.orderBy(F.xxhash64("k"), "k").limit(1024)
+    bounds = sorted(r["k"] for r in sample.collect())[::4]
     cuts = F.array(*[_literal(b) for b in bounds])
     located = keys.select(F.size(F.filter(cuts, lambda c: c <= F.col("k"))).alias("slice"))
     counts = {r["slice"]: r["n"] for r in located.groupBy("slice").agg(F.count("*").alias("n")).collect()}
-    before, seen, wanted = 0, 0, []
+    before, seen, held, wanted = 0, 0, 0, []
     for number in range(len(bounds) + 1):
         rows = counts.get(number, 0)
         if rows and seen < offset + size and seen + rows > offset:
-            if not wanted:
-                before = seen
+            before = before if wanted else seen
             wanted.append(number)
+            held += rows
         seen += rows
     if not wanted:
-        return df.limit(0), 0
+        return df.limit(0), 0, 0
     low, high = wanted[0], wanted[-1]
     part = df
     if low > 0:
         part = part.filter(key >= _literal(bounds[low - 1]))
     if high < len(bounds):
         part = part.filter(key < _literal(bounds[high]))
-    return part, offset - before
+    return part, offset - before, held
 
 
 def _literal(value) -> Column:

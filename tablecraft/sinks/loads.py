@@ -12,13 +12,13 @@ import json
 import re
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablecraft.operators.joins import ForeignKey, wide_table
 from tablecraft.operators.transforms import dedup
+from tablecraft.session import path_exists
 
 LOAD_ID = "_load_id"
 BUCKET = "_bucket"
@@ -128,11 +128,10 @@ def read_target(spark: SparkSession, target: str) -> DataFrame:
 
 
 def read_state(spark: SparkSession, target: str) -> TableState:
-    try:
-        rows = spark.read.schema("version int, state string").json(f"{target}/versions")
-        last = rows.orderBy(F.col("version").desc()).first()
-    except AnalysisException:
+    if not path_exists(spark, f"{target}/versions"):
         return TableState()
+    rows = spark.read.schema("version int, state string").json(f"{target}/versions")
+    last = rows.orderBy(F.col("version").desc()).first()
     if last is None:
         return TableState()
     saved = json.loads(last["state"])
