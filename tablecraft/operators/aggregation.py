@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +17,8 @@ def aggregate_by(df: DataFrame, field: str, aggs: list) -> DataFrame:
     plain = [a for a in specs if a.rank is None]
     ranked = [a for a in specs if a.rank is not None]
     out = df.groupBy(field).agg(*[agg_column(a) for a in plain]) if plain else df.select(field).distinct()
-    for col in dict.fromkeys(a.col for a in ranked):
-        ranks = {a.alias: a.rank for a in ranked if a.col == col}
-        values = exact_quantiles(df, field, col, ranks).withColumnRenamed(field, "_g")
+    if ranked:
+        values = exact_quantiles(df, field, ranked).withColumnRenamed(field, "_g")
         out = out.join(values, out[field].eqNullSafe(values["_g"]), "left").drop("_g")
     return out.select(field, *[a.alias for a in specs])
 
@@ -43,57 +40,51 @@ def aggregate_back(df: DataFrame, specs: list[tuple[str, list]]) -> DataFrame:
     return out
 
 
-def exact_quantiles(df: DataFrame, field: str, col: str, ranks: dict[str, float]) -> DataFrame:
-    """Exact quantiles with linear interpolation per group.
+def exact_quantiles(df: DataFrame, field: str, ranked: list[Agg]) -> DataFrame:
+    """Exact quantiles with linear interpolation per group, over one or more columns.
 
-    The distinct (group, value) pairs with their counts are range-partitioned by group
-    and value, so a large group spans many partitions of even size. Counts per group and
-    partition, one row each, tell which partition holds a wanted rank; only there are
+    The distinct (group, column, value) triples with their counts are range-partitioned,
+    so a large group spans many partitions of even size. The counts per group and
+    partition, one row each, tell which partitions hold the wanted ranks; only there are
     values numbered.
     """
-    pairs = (df.select(F.col(field).alias("g"), F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-             .groupBy("g", "v").agg(F.count("*").alias("c")))
-    ranged = materialise(pairs.repartitionByRange("g", "v").withColumn("p", F.spark_partition_id()))
-
-    # Rows of each group before and in each partition it spans.
-    spans = ranged.groupBy("g", "p").agg(F.sum("c").alias("rows"))
-    order = Window.partitionBy("g").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("before", F.coalesce(F.sum("rows").over(order), F.lit(0)))
-    totals = spans.groupBy("g").agg(F.sum("rows").alias("n"))
-
-    # Each quantile needs the value at its lower rank and, unless whole, the next one.
-    names = list(ranks)
-    wanted = totals.select("g", F.explode(F.array(*[
-        F.struct(F.lit(name).alias("name"), (F.lit(float(ranks[name])) * (F.col("n") - 1)).alias("pos"))
-        for name in names])).alias("w")).select("g", "w.name", "w.pos")
-    wanted = wanted.select("g", "name", "pos", F.explode(F.array(F.floor("pos"), F.ceil("pos"))).alias("idx")).distinct()
-    placed = _join_group(wanted, spans)
-    placed = placed.filter((F.col("idx") >= F.col("before")) & (F.col("idx") < F.col("before") + F.col("rows")))
-
-    # Number the values of the few partitions that hold a wanted rank.
-    hit = placed.select("g", "p", "before").distinct()
-    upto = Window.partitionBy("g", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = (_join_group(ranged, hit, "p")
-                .withColumn("last", F.sum("c").over(upto) + F.col("before") - 1)
-                .withColumn("first", F.col("last") - F.col("c") + 1)
-                .select("g", "p", "v", "first", "last"))
-    picked = _join_group(placed.select("g", "p", "name", "pos", "idx"), numbered, "p")
-    picked = picked.filter(F.col("idx").between(F.col("first"), F.col("last")))
-
-    low = F.min_by("v", "idx")
-    high = F.max_by("v", "idx")
-    weight = F.max("pos") - F.floor(F.max("pos"))
-    values = picked.groupBy("g", "name").agg((low + (high - low) * weight).alias("q"))
-    return (values.groupBy("g").agg(*[F.max(F.when(F.col("name") == n, F.col("q"))).alias(n) for n in names])
-            .withColumnRenamed("g", field))
-
-
-def _join_group(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
-    """Inner join on the group, NULL included, and on further columns."""
-    keys = ["g", *more]
-    other = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[f"_{k}"]) for k in keys])
-    return left.join(other, same).drop(*[f"_{k}" for k in keys])
+    cols = list(dict.fromkeys(a.col for a in ranked))
+    values = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)])
+    triples = (df.select(F.col(field).alias("g"), F.inline(values)).filter(F.col("v").isNotNull())
+               .groupBy("g", "i", "v").agg(F.count(F.lit(1)).alias("c")))
+    ranged = materialise(triples.repartitionByRange("g", "i", "v").withColumn("p", F.spark_partition_id()))
+
+    # Rows of a group in each partition it spans, before it, and in all.
+    group = Window.partitionBy("g", "i")
+    upto = group.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = (ranged.groupBy("g", "i", "p").agg(F.sum("c").alias("rows"))
+             .withColumns({"after": F.sum("rows").over(upto), "n": F.sum("rows").over(group)})
+             .withColumn("before", F.col("after") - F.col("rows")))
+
+    # A quantile lies between the values at two neighbouring ranks.
+    wishes = []
+    for a in ranked:
+        pos = F.lit(float(a.rank)) * (F.col("n") - 1)
+        for idx in (F.floor(pos), F.ceil(pos)):
+            held = (F.col("i") == cols.index(a.col)) & (idx >= F.col("before")) & (idx < F.col("after"))
+            wishes.append(F.when(held, F.struct(F.lit(a.alias).alias("name"), pos.alias("pos"), idx.alias("idx"))))
+    placed = (spans.withColumn("wishes", F.array_distinct(F.array_compact(F.array(*wishes)))).filter(F.size("wishes") > 0)
+              .select(F.col("g").alias("_g"), F.col("i").alias("_i"), F.col("p").alias("_p"), "before", "wishes"))
+
+    # Number the values of these partitions and take the wanted ones.
+    same = ranged["g"].eqNullSafe(placed["_g"]) & (ranged["i"] == placed["_i"]) & (ranged["p"] == placed["_p"])
+    part = Window.partitionBy("g", "i", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = ranged.join(placed, same).withColumn("end", F.col("before") + F.sum("c").over(part))
+    picked = numbered.select("g", "v", "c", "end", F.inline("wishes")).filter(
+        (F.col("idx") < F.col("end")) & (F.col("idx") >= F.col("end") - F.col("c")))
+
+    quantiles = []
+    for a in ranked:
+        mine = F.col("name") == a.alias
+        low, high = F.min(F.when(mine, F.col("v"))), F.max(F.when(mine, F.col("v")))
+        pos = F.max(F.when(mine, F.col("pos")))
+        quantiles.append((low + (high - low) * (pos - F.floor(pos))).alias(a.alias))
+    return picked.groupBy("g").agg(*quantiles).withColumnRenamed("g", field)
 
 
 def distinct_values(df: DataFrame, field: str) -> DataFrame:

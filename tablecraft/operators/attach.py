@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,8 +28,9 @@ def attach(df: DataFrame, groups: DataFrame, keys: list[str], null_safe: bool =
     of which no key has a large share, meet the group table by key.
     """
     values = [c for c in groups.columns if c not in keys]
-    saved = materialise(groups)
-    if _estimated_bytes(saved, keys) <= broadcast_bytes:
+    size = Observation()
+    saved = materialise(groups.observe(size, _estimated_bytes(groups).alias("bytes")))
+    if size.get["bytes"] <= broadcast_bytes:
         return _left(df, F.broadcast(saved), keys, null_safe).select(*_names(df), *values)
 
     largest = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
@@ -62,12 +63,11 @@ def _left(df: DataFrame, groups: DataFrame, keys: list[str], null_safe: bool) ->
     return df.join(other, same, "left").drop(*[f"_g_{k}" for k in keys])
 
 
-def _estimated_bytes(groups: DataFrame, keys: list[str]) -> int:
-    """Rows times fixed width, plus the text in string columns."""
+def _estimated_bytes(groups: DataFrame) -> Column:
+    """Rows times a fixed width, plus the text in string columns."""
     texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in groups.schema if isinstance(f.dataType, T.StringType)]
-    width = 16 * len(groups.columns)
-    size = F.coalesce(F.sum(reduce(lambda a, b: a + b, texts, F.lit(width)).cast("bigint")), F.lit(0))
-    return groups.agg(size).first()[0]
+    row = reduce(lambda a, b: a + b, texts, F.lit(16 * len(groups.columns)))
+    return F.coalesce(F.sum(row.cast("bigint")), F.lit(0).cast("bigint"))
 
 
 def _hashable(df: DataFrame) -> list[Column]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablecraft.functions import fixed_values as fixed
 from tablecraft.functions.scalars import starts_with_any
+from tablecraft.session import materialise
 
 # Name patterns that never show, neither as table nor as parent ("_" stands for any character).
 HIDDEN = ["ir_%", "mail_%", "sms_%", "report_%", "l10n_%"]
@@ -37,7 +38,8 @@ def table_hierarchy(edges: DataFrame, tables: DataFrame, root: str, max_level: i
 
     A path starts with the module name, so the module's own tables, which have no parent,
     share one path and are not shown. Rows with equal paths continue alike: each level
-    keeps one row per path before the next, and no level multiplies.
+    keeps one row per path before the next, and no level multiplies. Each level is
+    computed once and the next starts from it.
     """
     steps = edges.select("source_table", "target_table").distinct()
     steps = steps.filter(~starts_with_any(F.col("target_table"), fixed.TREE_STEP_EXCLUDES))
@@ -53,7 +55,7 @@ def table_hierarchy(edges: DataFrame, tables: DataFrame, root: str, max_level: i
         # Same path means same table; the lowest shown parent name stands for all of them.
         shown = F.when(~_hidden("parent_table"), F.col("parent_table"))
         front = reached.groupBy("level", "table_name", "path").agg(F.min(shown).alias("parent_table"))
-        front = front.select("level", "parent_table", "table_name", "path")
+        front = materialise(front.select("level", "parent_table", "table_name", "path"))
         found = front if found is None else found.unionByName(front)
     return found.filter(~_hidden("table_name") & F.col("parent_table").isNotNull())
 

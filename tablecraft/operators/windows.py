@@ -74,7 +74,7 @@ def page_rows(df: DataFrame, order_by: list[str], offset: int, size: int, shallo
     """Rows ``offset`` < row number <= ``offset + size`` in order of a unique key, numbered as ``rn``.
 
     A page near the start is a top-k. For a deep page the key range that holds it is
-    narrowed first, about 250-fold per pass, until a top-k over that range is cheap. Only
+    narrowed first, about 60-fold per pass, until a top-k over that range is cheap. Only
     cut points and counts reach the driver; the range reaches the scan as a filter.
     """
     if not order_by:
@@ -96,9 +96,8 @@ def _narrow(df: DataFrame, order_by: list[str], offset: int, size: int) -> tuple
     key = F.struct(*order_by) if len(order_by) > 1 else F.col(order_by[0])
     keys = df.select(key.alias("k"))
     sample = keys.orderBy(F.xxhash64("k"), "k").limit(1024)
-    bounds = sorted(r["k"] for r in sample.collect())[::4]
-    cuts = F.array(*[_literal(b) for b in bounds])
-    located = keys.select(F.size(F.filter(cuts, lambda c: c <= F.col("k"))).alias("slice"))
+    bounds = sorted(r["k"] for r in sample.collect())[::16]
+    located = keys.select(_slice_number(F.col("k"), bounds, 0, len(bounds)).alias("slice"))
     counts = {r["slice"]: r["n"] for r in located.groupBy("slice").agg(F.count("*").alias("n")).collect()}
     before, seen, held, wanted = 0, 0, 0, []
     for number in range(len(bounds) + 1):
@@ -119,6 +118,15 @@ def _narrow(df: DataFrame, order_by: list[str], offset: int, size: int) -> tuple
     return part, offset - before, held
 
 
+def _slice_number(key: Column, bounds: list, low: int, high: int) -> Column:
+    """How many of the sorted bounds are at most ``key``, by halving."""
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    return F.when(key < _literal(bounds[mid]), _slice_number(key, bounds, low, mid)).otherwise(
+        _slice_number(key, bounds, mid + 1, high))
+
+
 def _literal(value) -> Column:
     if isinstance(value, tuple) and hasattr(value, "asDict"):
         return F.struct(*[F.lit(v).alias(k) for k, v in value.asDict().items()])

@@ -66,7 +66,33 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists on whatever file system it names."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+def _open_folder(spark: SparkSession, path: str):
+    """Hadoop path and the file system it lies on, be it local, hdfs or an object store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none when it does not exist."""
+    where, system = _open_folder(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(where)] if system.exists(where) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    where, system = _open_folder(spark, path)
+    stream = system.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file under its final name only when it is complete."""
+    where, system = _open_folder(spark, path)
+    draft = where.suffix(".draft")
+    stream = system.create(draft, True)
+    stream.write(bytearray(text.encode("utf-8")))
+    stream.close()
+    if not system.rename(draft, where):
+        raise RuntimeError(f"{path} is there already: another writer?")

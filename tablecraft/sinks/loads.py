@@ -1,9 +1,9 @@
 """Loads into evolving Parquet tables.
 
 A table is a folder with ``data/`` and ``versions/``. Every load writes new files below
-``data/<version>`` and then appends one row to ``versions/`` that lists the folders the
-table now consists of, so readers see a load wholly or not at all and a failed load
-leaves the table as it was. One writer at a time is assumed.
+``data/`` and then one small file in ``versions/`` that lists the folders the table now
+consists of, so readers see a load wholly or not at all and a failed load leaves the
+table as it was. One writer at a time is assumed.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tablecraft.operators.joins import ForeignKey, wide_table
 from tablecraft.operators.transforms import dedup
-from tablecraft.session import path_exists
+from tablecraft.session import list_names, read_text, write_text
 
 LOAD_ID = "_load_id"
 BUCKET = "_bucket"
@@ -61,33 +61,45 @@ def merge_load(spark: SparkSession, target: str, df: DataFrame, pk: list[str] |
                order_by: list[Column] | None = None, buckets: int = 16) -> DataFrame:
     """Rows of ``df`` replace target rows with the same key; without a key they are added.
 
-    The table is kept in buckets by a hash of the key and only buckets the batch touches
-    are rewritten. Choose ``buckets`` so that one is about a gigabyte. Of several batch
-    rows with one key, one stays: the first by ``order_by``, else any.
+    The table is kept in buckets by a hash of the key. The batch is computed and written
+    once; then only the buckets it touches are rewritten without the replaced rows.
+    Choose ``buckets`` so that one is about a gigabyte. Of several batch rows with one
+    key, one stays: the first by ``order_by``, else any.
     """
     state = read_state(spark, target)
     batch = stamp_load(df, load_id)
+    schema = merged_schema(spark, state, batch)
+    next_state = TableState(state.version + 1, state.buckets, schema, dict(state.parts))
+    folder = f"v{next_state.version}"
+    batch = _as_schema(batch, schema)
     if not pk:
-        return _commit(spark, target, state, batch, APPENDED, add=True)
-    count = state.buckets or buckets
-    batch = dedup(batch, pk, order_by).withColumn(BUCKET, _bucket_of(pk, count))
-    if not state.version:
-        return _commit(spark, target, state, batch, BUCKET, count)
-
-    touched = {str(r[0]) for r in batch.select(BUCKET).distinct().collect()}
-    schema = evolve(spark.createDataFrame([], state.schema), batch.drop(BUCKET)).schema
-    if any(schema[f.name].dataType != f.dataType for f in state.schema):
+        batch.write.mode("overwrite").parquet(f"{target}/data/{folder}")
+        next_state.parts[APPENDED] = [*state.parts.get(APPENDED, []), folder]
+        return _publish(spark, target, next_state)
+
+    next_state.buckets = count = state.buckets or buckets
+    fresh = f"{folder}-batch"
+    written = _write_buckets(spark, target, dedup(batch, pk, order_by), pk, count, fresh)
+    touched = set(state.parts) & (set(written) | {APPENDED})
+    if state.schema and any(schema[f.name].dataType != f.dataType for f in state.schema):
         touched = set(state.parts)  # a changed type is stored alike in all files
-    touched |= {APPENDED} & set(state.parts)
-    old = _read(spark, target, state, sorted(touched))
-    kept = old.join(batch.select(*pk), pk, "left_anti").withColumn(BUCKET, _bucket_of(pk, count))
-    return _commit(spark, target, state, evolve(kept.select(*old.columns, BUCKET), batch), BUCKET, count, touched)
+    kept = {}
+    if touched:
+        keys = spark.read.parquet(f"{target}/data/{fresh}").select(*pk)
+        rest = _as_schema(_read(spark, target, state, sorted(touched)), schema).join(keys, pk, "left_anti")
+        kept = _write_buckets(spark, target, rest, pk, count, folder)
+    untouched = {n: p for n, p in state.parts.items() if n not in touched}
+    next_state.parts = {n: [*untouched.get(n, []), *kept.get(n, []), *written.get(n, [])]
+                        for n in {*untouched, *kept, *written}}
+    return _publish(spark, target, next_state)
 
 
 def replace_load(spark: SparkSession, target: str, df: DataFrame, load_id: str) -> DataFrame:
     """The table becomes exactly the rows of ``df``."""
-    state = read_state(spark, target)
-    return _commit(spark, target, state, stamp_load(df, load_id), APPENDED, touched=set(state.parts))
+    rows = stamp_load(df, load_id)
+    version = read_state(spark, target).version + 1
+    rows.write.mode("overwrite").parquet(f"{target}/data/v{version}")
+    return _publish(spark, target, TableState(version, 0, rows.schema, {APPENDED: [f"v{version}"]}))
 
 
 def refresh_wide(tables: dict[str, DataFrame], fks: list[ForeignKey], load_ids: list[str]) -> DataFrame:
@@ -128,42 +140,41 @@ def read_target(spark: SparkSession, target: str) -> DataFrame:
 
 
 def read_state(spark: SparkSession, target: str) -> TableState:
-    if not path_exists(spark, f"{target}/versions"):
-        return TableState()
-    rows = spark.read.schema("version int, state string").json(f"{target}/versions")
-    last = rows.orderBy(F.col("version").desc()).first()
-    if last is None:
+    versions = sorted(int(n.removesuffix(".json")) for n in list_names(spark, f"{target}/versions") if n.endswith(".json"))
+    if not versions:
         return TableState()
-    saved = json.loads(last["state"])
-    return TableState(last["version"], saved["buckets"], T.StructType.fromJson(saved["schema"]), saved["parts"])
+    saved = json.loads(read_text(spark, f"{target}/versions/{versions[-1]}.json"))
+    return TableState(versions[-1], saved["buckets"], T.StructType.fromJson(saved["schema"]), saved["parts"])
 
 
-def _bucket_of(pk: list[str], count: int) -> Column:
-    return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in pk]), F.lit(count)).cast("int")
+def merged_schema(spark: SparkSession, state: TableState, batch: DataFrame) -> T.StructType:
+    """Schema of the table once the batch is in."""
+    if state.schema is None:
+        return batch.schema
+    return evolve(spark.createDataFrame([], state.schema), batch.limit(0)).schema
 
 
-def _read(spark: SparkSession, target: str, state: TableState, names: list[str]) -> DataFrame:
-    paths = [f"{target}/data/{p}" for n in names for p in state.parts.get(n, [])]
-    return spark.read.schema(state.schema).parquet(*paths) if paths else spark.createDataFrame([], state.schema)
+def _publish(spark: SparkSession, target: str, state: TableState) -> DataFrame:
+    saved = {"buckets": state.buckets, "schema": state.schema.jsonValue(), "parts": state.parts}
+    write_text(spark, f"{target}/versions/{state.version}.json", json.dumps(saved))
+    return _read(spark, target, state, list(state.parts))
 
 
-def _commit(spark: SparkSession, target: str, state: TableState, rows: DataFrame, layout: str, buckets: int = 0,
-            touched: set[str] | None = None, add: bool = False) -> DataFrame:
-    version = state.version + 1
-    folder = f"v{version}"
+def _as_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of ``schema`` in its order and types; a missing one is NULL."""
+    return df.select(*[(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                       for f in schema])
+
+
+def _write_buckets(spark: SparkSession, target: str, rows: DataFrame, pk: list[str], count: int, folder: str) -> dict[str, list[str]]:
+    """Write rows by bucket, one task per bucket, and list the folders that came to be."""
+    bucket = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in pk]), F.lit(count)).cast("int")
     path = f"{target}/data/{folder}"
-    parts = {n: p for n, p in state.parts.items() if touched is None or n not in touched}
-    if layout == BUCKET:
-        rows.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
-        written = spark.read.parquet(path).select(BUCKET).distinct().collect()
-        parts |= {str(r[0]): [f"{folder}/{BUCKET}={r[0]}"] for r in written}
-    else:
-        rows.write.mode("overwrite").parquet(path)
-        parts[APPENDED] = [*(parts.get(APPENDED, []) if add else []), folder]
-    schema = rows.drop(BUCKET).schema
-    if state.schema is not None and (add or layout == BUCKET):
-        schema = evolve(spark.createDataFrame([], state.schema), spark.createDataFrame([], schema)).schema
-    saved = {"buckets": buckets or state.buckets, "schema": schema.jsonValue(), "parts": parts}
-    row = spark.createDataFrame([(version, json.dumps(saved))], "version int, state string")
-    row.coalesce(1).write.mode("append").json(f"{target}/versions")
-    return read_target(spark, target)
+    rows.withColumn(BUCKET, bucket).repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+    mark = f"{BUCKET}="
+    return {n.removeprefix(mark): [f"{folder}/{n}"] for n in list_names(spark, path) if n.startswith(mark)}
+
+
+def _read(spark: SparkSession, target: str, state: TableState, names: list[str]) -> DataFrame:
+    paths = [f"{target}/data/{p}" for n in names for p in state.parts.get(n, [])]
+    return spark.read.schema(state.schema).parquet(*paths) if paths else spark.createDataFrame([], state.schema)

@@ -31,7 +31,7 @@ def test_quantiles_match_python(spark):
     random.seed(1)
     data = [("hot" if i % 3 else f"g{i % 40}", float(random.randint(0, 500)) / 4) for i in range(6000)]
     df = spark.createDataFrame(data, "g string, v double").repartition(8)
-    got = {r["g"]: (r["m"], r["q"]) for r in ag.exact_quantiles(df, "g", "v", {"m": 0.5, "q": 0.9}).collect()}
+    got = {r["g"]: (r["m"], r["q"]) for r in ag.exact_quantiles(df, "g", [Agg("median", "v", "m"), Agg("quantile", "v", "q", q=0.9)]).collect()}
     for g in {g for g, _ in data}:
         values = sorted(v for k, v in data if k == g)
         assert got[g][0] == pytest.approx(statistics.median(values))
