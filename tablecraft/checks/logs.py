@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablecraft.checks.fixtures import RUN_LOGS_SQL, run_logs
 from tablecraft.checks.registry import AS_OF, TS_SQL, check, rounded, ts_text
 from tablecraft.operators import logs as lg
+from tablecraft.session import scratch_path
 
 WITH = f"WITH {RUN_LOGS_SQL}"
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -33,6 +34,14 @@ def l1(spark, sf):
     return out.select(ts_text("timestamp").alias("ts"), "namespace", "pipeline_id", "execution_id", "log_level", "message", "extra_data")
 
 
+@check("l0_stored_logs", f"""{WITH}
+    SELECT id, execution_id, log_level FROM logs WHERE timestamp >= {NOW}::DATE - 7""")
+def l0(spark, sf):
+    path = scratch_path(spark, "log-store")
+    lg.store_logs(run_logs(spark, sf), path)
+    return lg.stored_logs(spark, path, 7, AS_OF).select("id", "execution_id", "log_level")
+
+
 @check("l2_log_view_filtered", f"""{WITH}
     SELECT id, message FROM logs WHERE log_level = 'ERROR' AND pipeline_id = 'Load 3' AND timestamp >= {NOW}::DATE - 10""")
 def l2(spark, sf):

@@ -69,25 +69,3 @@ def starts_with_any(col: Column, prefixes: list[str]) -> Column:
 def normalised_id(col: Column) -> Column:
     """Trimmed, lower-case id with runs of blanks and underscores as one underscore."""
     return F.lower(F.regexp_replace(F.trim(col), r"[_\s]+", "_"))
-
-
-def squared_distance(vector: str, query: list[float]) -> Column:
-    """Squared L2 distance to a fixed vector, as one flat expression that is compiled."""
-    return reduce(lambda a, b: a + b, [_square(_diff(vector, i, q)) for i, q in enumerate(query)])
-
-
-def dot_product(vector: str, query: list[float]) -> Column:
-    return reduce(lambda a, b: a + b, [F.get(F.col(vector), F.lit(i)).cast("double") * F.lit(float(q))
-                                       for i, q in enumerate(query)])
-
-
-def squared_norm(vector: str, size: int) -> Column:
-    return reduce(lambda a, b: a + b, [_square(F.get(F.col(vector), F.lit(i)).cast("double")) for i in range(size)])
-
-
-def _diff(vector: str, i: int, q: float) -> Column:
-    return F.get(F.col(vector), F.lit(i)).cast("double") - F.lit(float(q))
-
-
-def _square(c: Column) -> Column:
-    return c * c

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecraft.functions import fixed_values as fixed
@@ -41,6 +41,21 @@ def _user_logs(logs: DataFrame, ns: str) -> DataFrame:
     return logs.filter((F.col("namespace") == ns) & ~F.col("pipeline_id").isin(fixed.INTERNAL_LOG_IDS))
 
 
+def store_logs(logs: DataFrame, path: str, mode: str = "append") -> None:
+    """Write log rows in folders by date, sorted by namespace, so that reports read few files."""
+    dated = logs.withColumn("log_date", F.to_date("timestamp"))
+    (dated.repartition("log_date", F.pmod(F.col("id"), F.lit(16))).sortWithinPartitions("log_date", "namespace")
+     .write.mode(mode).partitionBy("log_date").parquet(path))
+
+
+def stored_logs(spark: SparkSession, path: str, days: int | None = None, as_of: str | None = None) -> DataFrame:
+    """Stored log rows, only the folders of the last ``days`` where given."""
+    logs = spark.read.parquet(path)
+    if days is not None:
+        logs = logs.filter(F.col("log_date") >= F.date_sub(F.to_date(_now(as_of)), days))
+    return logs.drop("log_date")
+
+
 def parse_log_lines(lines: DataFrame) -> DataFrame:
     """(line, logger_name, ts) to log rows.
 

@@ -42,7 +42,7 @@ def table_hierarchy(edges: DataFrame, tables: DataFrame, root: str, max_level: i
     computed once and the next starts from it.
     """
     steps = edges.select("source_table", "target_table").distinct()
-    steps = steps.filter(~starts_with_any(F.col("target_table"), fixed.TREE_STEP_EXCLUDES))
+    steps = materialise(steps.filter(~starts_with_any(F.col("target_table"), fixed.TREE_STEP_EXCLUDES)))
     front = tables.filter(F.col("table_name").like(f"{root.lower()}_%")
                           & ~starts_with_any(F.col("table_name"), fixed.TREE_ROOT_EXCLUDES)).select(
         F.col("table_name"), F.lit(root.upper()).alias("path")).distinct()

@@ -11,14 +11,16 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecraft.operators.joins import ForeignKey, wide_table
+from tablecraft.operators.attach import attach
+from tablecraft.operators.joins import ForeignKey, join_tree, wide_table
 from tablecraft.operators.transforms import dedup
-from tablecraft.session import list_names, read_text, write_text
+from tablecraft.session import list_names, materialise, read_text, write_text
 
 LOAD_ID = "_load_id"
 BUCKET = "_bucket"
@@ -105,14 +107,43 @@ def replace_load(spark: SparkSession, target: str, df: DataFrame, load_id: str)
 def refresh_wide(tables: dict[str, DataFrame], fks: list[ForeignKey], load_ids: list[str]) -> DataFrame:
     """Wide rows in which any table's row came with one of the loads.
 
-    A parent that arrives after its child gives the child a second wide row.
+    Before the join every table is cut to the rows that can stand in such a wide row:
+    the fresh ones and those tied to a fresh row of another table. What ties them is
+    passed from table to table as key sets about as large as the loads, so that the big
+    tables are scanned but do not move. A parent that arrives after its child gives the
+    child a second wide row.
     """
-    wide = wide_table(tables, fks)
+    edges = join_tree(list(tables), fks)
+    passed: dict[tuple[str, str], DataFrame] = {}
+    cut = {name: _tied_rows(name, None, tables, edges, load_ids, passed) for name in tables}
     marks = [f"{n}_{LOAD_ID}" for n, t in tables.items() if LOAD_ID in t.columns]
-    fresh = F.lit(False)
-    for mark in marks:
-        fresh = fresh | F.col(mark).isin(load_ids)
-    return wide.filter(fresh).drop(*marks)
+    fresh = reduce(lambda a, b: a | b, [F.col(m).isin(load_ids) for m in marks], F.lit(False))
+    return wide_table(cut, fks).filter(fresh).drop(*marks)
+
+
+def _tied_rows(name: str, came_from: str | None, tables: dict[str, DataFrame], edges: list[ForeignKey],
+               load_ids: list[str], passed: dict[tuple[str, str], DataFrame]) -> DataFrame:
+    """Fresh rows of a table and rows tied to fresh rows beyond its other neighbours.
+
+    ``passed`` keeps the key sets that went from one table to another.
+    """
+    rows, wanted = tables[name], F.lit(False)
+    if LOAD_ID in rows.columns:
+        wanted = F.col(LOAD_ID).isin(load_ids)
+    for i, edge in enumerate(edges):
+        if name not in (edge.child, edge.parent):
+            continue
+        other, mine, theirs = ((edge.parent, edge.columns, edge.parent_columns) if edge.child == name
+                               else (edge.child, edge.parent_columns, edge.columns))
+        if other == came_from:
+            continue
+        if (other, name) not in passed:
+            tied = _tied_rows(other, name, tables, edges, load_ids, passed)
+            passed[other, name] = materialise(tied.select(*[F.col(t).alias(m) for m, t in zip(mine, theirs)]).distinct())
+        keys = passed[other, name].withColumn(f"_tied{i}", F.lit(True))
+        rows = attach(rows, keys, list(mine), null_safe=False)
+        wanted = wanted | F.coalesce(f"_tied{i}", F.lit(False))
+    return rows.filter(wanted).select(*tables[name].columns)
 
 
 def wide_load(spark: SparkSession, target: str, tables: dict[str, DataFrame], fks: list[ForeignKey],
@@ -170,7 +201,7 @@ def _write_buckets(spark: SparkSession, target: str, rows: DataFrame, pk: list[s
     """Write rows by bucket, one task per bucket, and list the folders that came to be."""
     bucket = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in pk]), F.lit(count)).cast("int")
     path = f"{target}/data/{folder}"
-    rows.withColumn(BUCKET, bucket).repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+    rows.withColumn(BUCKET, bucket).repartition(count, BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
     mark = f"{BUCKET}="
     return {n.removeprefix(mark): [f"{folder}/{n}"] for n in list_names(spark, path) if n.startswith(mark)}
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablecraft.operators import catalog as ct
 from tablecraft.operators import logs as lg
 from tablecraft.operators import relations as rl
+from tablecraft.session import scratch_path
 
 
 def log_rows(spark, data):
@@ -48,6 +49,16 @@ def test_stuck_runs_look_at_message_and_status(spark):
     assert [r["execution_id"] for r in lg.stuck_runs(log_rows(spark, data), 1, "2024-01-31 00:30:00").collect()] == ["a"]
 
 
+def test_stored_logs_are_pruned_by_date_and_time(spark):
+    path = scratch_path(spark, "logs")
+    lg.store_logs(log_rows(spark, [(f"2024-01-{d:02d} 10:00:00", "p", f"e{d}", "INFO", "m", "x", "{}") for d in range(1, 31)]), path)
+    recent = lg.stored_logs(spark, path, 7, "2024-01-31 00:00:00")
+    ids = lg.execution_ids(recent, "ns", "2024-01-31 00:00:00")
+    plan = ids._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(log_date" in plan and "GreaterThanOrEqual(timestamp" in plan and "EqualTo(namespace,ns)" in plan
+    assert ids.count() == 7
+
+
 def test_filters_with_all_labels_do_nothing(spark):
     logs = log_rows(spark, [("2024-01-30 10:00:00", "p", "e", "INFO", "m", "x", "{}")])
     labels = {"pipeline_id": "All Pipelines", "execution_id": "All Runs", "level": "All Levels"}

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tablecraft.operators.joins import ForeignKey
+from tablecraft.operators.joins import ForeignKey, wide_table
 from tablecraft.session import scratch_path
 from tablecraft.sinks import export, loads
 from tablecraft.sources import databases, files, payloads
@@ -112,6 +112,22 @@ def test_late_parent_gives_a_second_wide_row(spark):
     assert sorted(((r["p_id"], r["c_id"]) for r in out.collect()), key=str) == [(1, 10), (None, 10)]
 
 
+def test_refresh_equals_filter_of_the_whole_wide_table(spark):
+    mark = "case when id % {} = 0 then '2' else '1' end as _load_id"
+    tables = {
+        "c": spark.range(10).selectExpr("id as ck", mark.format(9)),
+        "o": spark.range(40).selectExpr("id as ok", "nullif(id % 12, 3) as ck", mark.format(17)),
+        "l": spark.range(90).selectExpr("id as lk", "id % 45 as ok", "id % 7 as pk", mark.format(31)),
+        "p": spark.range(6).selectExpr("id as pk", mark.format(5))}
+    fks = [ForeignKey("o", ("ck",), "c", ("ck",)), ForeignKey("l", ("ok",), "o", ("ok",)), ForeignKey("l", ("pk",), "p", ("pk",))]
+    got = loads.refresh_wide(tables, fks, ["2", "7"])
+    whole = wide_table(tables, fks)
+    marks = [c for c in whole.columns if c.endswith("_load_id")]
+    want = whole.filter(" or ".join(f"{m} = '2'" for m in marks)).drop(*marks)
+    assert got.columns == want.columns and want.count() > 5
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
 def test_table_names():
     assert loads.table_name("main.order items") == "main_order_items"
     assert loads.table_name("sales*.csv") == "sales__csv"
