@@ -14,15 +14,15 @@ from tablecraft.operators import similarity
 WITH = f"WITH {COLUMN_CATALOG_SQL}"
 CURRENT_SQL = """
     current AS (
-      SELECT table_name, original_column_name, CASE WHEN n % 11 = 0 THEN 'json' ELSE data_type END AS data_type FROM base
-      WHERE n % 7 <> 0 AND table_name <> 'tbl_3'
+      SELECT table_name, original_column_name, CASE WHEN size < 5 THEN 'json' ELSE data_type END AS data_type FROM base
+      WHERE pipeline <> 'ns_at_promo' AND table_name <> 'tbl_3'
       UNION ALL SELECT 'tbl_' || (s_suppkey // 5), 'extra_' || s_suppkey, 'text' FROM supplier)"""
 
 
 def current_columns(spark, sf):
     base = column_catalog(spark, sf).filter("column_version = 1")
-    kept = base.filter("n % 7 <> 0 and table_name <> 'tbl_3'").select(
-        "table_name", "original_column_name", F.when(F.col("n") % 11 == 0, "json").otherwise(F.col("data_type")).alias("data_type"))
+    kept = base.filter("pipeline <> 'ns_at_promo' and table_name <> 'tbl_3'").select(
+        "table_name", "original_column_name", F.when(F.col("size") < 5, "json").otherwise(F.col("data_type")).alias("data_type"))
     extra = table(spark, sf, "supplier").select(
         F.concat(F.lit("tbl_"), F.floor(F.col("s_suppkey") / 5)).alias("table_name"),
         F.concat(F.lit("extra_"), "s_suppkey").alias("original_column_name"), F.lit("text").alias("data_type"))
@@ -68,20 +68,20 @@ def c3(spark, sf):
 
 
 @check("c4_attach_labels", f"""{WITH}
-    SELECT table_name, original_column_name, CASE WHEN n % 3 = 0 THEN 'concept ' || n ELSE '' END AS semantic_concept,
-           CASE WHEN n % 3 = 0 THEN 0.75::DOUBLE ELSE 0.0::DOUBLE END AS confidence_score,
-           CASE WHEN n % 3 = 0 THEN 'about ' || n ELSE '' END AS description, CASE WHEN n % 3 = 0 THEN 'model' ELSE '' END AS source,
+    SELECT table_name, original_column_name, CASE WHEN size > 25 THEN 'concept ' || n ELSE '' END AS semantic_concept,
+           CASE WHEN size > 25 THEN 0.75::DOUBLE ELSE 0.0::DOUBLE END AS confidence_score,
+           CASE WHEN size > 25 THEN 'about ' || n ELSE '' END AS description, CASE WHEN size > 25 THEN 'model' ELSE '' END AS source,
            0 AS validated, '' AS validated_by, '' AS validated_at FROM base""")
 def c4(spark, sf):
-    base = column_catalog(spark, sf).filter("column_version = 1").select("table_name", "original_column_name", "n")
-    labels = base.filter("n % 3 = 0").select(
+    base = column_catalog(spark, sf).filter("column_version = 1").select("table_name", "original_column_name", "n", "size")
+    labels = base.filter("size > 25").select(
         "table_name", "original_column_name", F.concat(F.lit("concept "), "n").alias("semantic_concept"),
         F.lit(0.75).alias("confidence_score"), F.concat(F.lit("about "), "n").alias("description"), F.lit("model").alias("source"))
-    return ct.attach_labels(base.drop("n"), labels)
+    return ct.attach_labels(base.drop("n", "size"), labels)
 
 
 @check("c5_update_semantics", f"""{WITH},
-    hit AS (SELECT table_name, original_column_name FROM base WHERE n % 6 = 0 AND n % 12 <> 0)
+    hit AS (SELECT table_name, original_column_name FROM base WHERE size BETWEEN 10 AND 35)
     SELECT table_name, original_column_name, column_version, semantic_concept, description, validated, validated_at FROM catalog
     WHERE (table_name, original_column_name) NOT IN (SELECT (table_name, original_column_name) FROM hit)
     UNION ALL
@@ -90,8 +90,8 @@ def c4(spark, sf):
     QUALIFY row_number() OVER (PARTITION BY table_name, original_column_name ORDER BY column_version DESC) = 1""")
 def c5(spark, sf):
     catalog = column_catalog(spark, sf)
-    same = F.col("n") % 12 == 0
-    edits = catalog.filter("column_version = 1 and n % 6 = 0").select(
+    same = ~F.col("size").between(10, 35)
+    edits = catalog.filter("column_version = 1").select(
         "pipeline", "table_name", F.col("original_column_name").alias("name"),
         F.when(same, F.col("semantic_concept")).otherwise("edited").alias("semantic"), F.lit(1.0).alias("confidence"),
         F.lit("user").alias("sem_source"), F.lit(1).alias("validated"),
@@ -176,14 +176,14 @@ def run_metadata(spark, sf):
     """Metadata rows, one per customer, with two further columns added as NULL."""
     k = F.col("c_custkey")
     meta = table(spark, sf, "customer").select(
-        F.concat(F.lit("p"), F.floor(k / 2)).alias("pipeline"), F.when(k % 3 == 0, "ns").otherwise("other").alias("namespace"),
+        F.concat(F.lit("p"), F.floor(k / 2)).alias("pipeline"), F.when(F.col("c_acctbal") > 4000, "ns").otherwise("other").alias("namespace"),
         F.col("c_mktsegment").alias("source_type"), F.lit("duckdb").alias("dest_type"), F.col("c_name").alias("dest_secret_name"),
         F.concat(F.lit("db"), "c_nationkey").alias("dataset_name"), F.when(k % 2 == 0, "true").otherwise("false").alias("domain_pipeline"))
     return ct.add_missing(meta, {"source_config": "string", "namespace": "string", "short_query": "string"})
 
 
 META_SQL = """
-    meta AS (SELECT 'p' || (c_custkey // 2) AS pipeline, CASE WHEN c_custkey % 3 = 0 THEN 'ns' ELSE 'other' END AS namespace,
+    meta AS (SELECT 'p' || (c_custkey // 2) AS pipeline, CASE WHEN c_acctbal > 4000 THEN 'ns' ELSE 'other' END AS namespace,
              c_mktsegment AS source_type, 'duckdb' AS dest_type, c_name AS dest_secret_name, 'db' || c_nationkey AS dataset_name,
              (c_custkey % 2 = 0)::VARCHAR AS domain_pipeline FROM customer)"""
 

@@ -90,9 +90,9 @@ def column_catalog(spark: SparkSession, sf: str) -> DataFrame:
         .alias("original_column_name"),
         F.when(n % 3 == 0, "bigint").when(n % 3 == 1, "text").otherwise("double").alias("data_type"),
         F.concat(F.lit("ns_at_"), F.lower("p_type")).alias("pipeline"), F.lit("store").alias("source_store"),
-        F.lit("ns").alias("namespace"), n.alias("n"))
-    second = base.filter("n % 5 = 0").withColumns(
-        {"column_version": F.lit(2), "is_deleted": F.expr("int(n % 10 = 0)"), "ingested_at": F.lit("2024-02-01")})
+        F.lit("ns").alias("namespace"), n.alias("n"), F.col("p_size").alias("size"))
+    second = base.filter("size > 30").withColumns(
+        {"column_version": F.lit(2), "is_deleted": F.expr("int(size > 40)"), "ingested_at": F.lit("2024-02-01")})
     first = base.withColumns({"column_version": F.lit(1), "is_deleted": F.lit(0), "ingested_at": F.lit("2024-01-01")})
     both = first.unionByName(second)
     return both.withColumns({
@@ -109,10 +109,10 @@ COLUMN_CATALOG_SQL = f"""
       SELECT 'tbl_' || (p_partkey // 20) AS table_name,
              replace(p_name, ' ', '_') || '_' || p_partkey || ({SUFFIXES!r})[(p_partkey % 12 + 1)::INTEGER] AS original_column_name,
              CASE p_partkey % 3 WHEN 0 THEN 'bigint' WHEN 1 THEN 'text' ELSE 'double' END AS data_type,
-             'ns_at_' || lower(p_type) AS pipeline, 'store' AS source_store, 'ns' AS namespace, p_partkey AS n FROM part),
+             'ns_at_' || lower(p_type) AS pipeline, 'store' AS source_store, 'ns' AS namespace, p_partkey AS n, p_size AS size FROM part),
     versions AS (
       SELECT *, 1 AS column_version, 0 AS is_deleted, '2024-01-01' AS ingested_at FROM base
-      UNION ALL SELECT *, 2, (n % 10 = 0)::INTEGER, '2024-02-01' FROM base WHERE n % 5 = 0),
+      UNION ALL SELECT *, 2, (size > 40)::INTEGER, '2024-02-01' FROM base WHERE size > 30),
     catalog AS (
       SELECT *, original_column_name AS column_name, CASE WHEN n % 4 = 0 THEN '' ELSE 'known' END AS semantic_concept,
              (n % 10) / 10.0 AS confidence_score, '' AS description, 'rule' AS source, 0 AS validated,

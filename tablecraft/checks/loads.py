@@ -11,17 +11,18 @@ from tablecraft.session import scratch_path
 from tablecraft.sinks import export, loads
 from tablecraft.sources import files
 
-MERGED_SQL = """
-    SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'NEW' ELSE o_orderstatus END AS o_orderstatus,
-           CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS extra, CASE WHEN o_orderkey % 3 = 0 THEN '2' ELSE '1' END AS _load_id
-    FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0"""
+NEW = "(o_orderstatus = 'F' OR o_orderpriority = '1-URGENT')"
+OLD = "o_orderstatus <> 'F'"
+MERGED_SQL = f"""
+    SELECT o_orderkey, CASE WHEN {NEW} THEN 'NEW' ELSE o_orderstatus END AS o_orderstatus,
+           CASE WHEN {NEW} THEN o_custkey END AS extra, CASE WHEN {NEW} THEN '2' ELSE '1' END AS _load_id FROM orders"""
 
 
 def batches(spark, sf):
-    """Two overlapping batches of orders; the second has one more column."""
+    """Two overlapping batches that make up all orders; the second has one more column."""
     o = table(spark, sf, "orders")
-    old = o.filter("o_orderkey % 2 = 0").select("o_orderkey", "o_orderstatus")
-    new = o.filter("o_orderkey % 3 = 0").select("o_orderkey", F.lit("NEW").alias("o_orderstatus"), F.col("o_custkey").alias("extra"))
+    old = o.filter(OLD).select("o_orderkey", "o_orderstatus")
+    new = o.filter(NEW).select("o_orderkey", F.lit("NEW").alias("o_orderstatus"), F.col("o_custkey").alias("extra"))
     return old, new
 
 
@@ -39,16 +40,15 @@ def k1_duplicates(spark, sf):
     return loads.merge_load(spark, scratch_path(spark, "merge"), o, ["o_custkey"], "1", [F.col("o_orderkey").desc()])
 
 
-@check("k1_append_without_key", """
-    SELECT o_orderkey, '1' AS _load_id FROM orders WHERE o_orderkey % 2 = 0
-    UNION ALL SELECT o_orderkey, '2' FROM orders WHERE o_orderkey % 3 = 0""")
+@check("k1_append_without_key", f"""
+    SELECT o_orderkey, '1' AS _load_id FROM orders WHERE {OLD} UNION ALL SELECT o_orderkey, '2' FROM orders WHERE {NEW}""")
 def k1_append(spark, sf):
     target, (old, new) = scratch_path(spark, "append"), batches(spark, sf)
     loads.merge_load(spark, target, old.select("o_orderkey"), None, "1")
     return loads.merge_load(spark, target, new.select("o_orderkey"), None, "2")
 
 
-@check("k2_replace_load", "SELECT o_orderkey, 'NEW' AS o_orderstatus, o_custkey AS extra, '2' AS _load_id FROM orders WHERE o_orderkey % 3 = 0")
+@check("k2_replace_load", f"SELECT o_orderkey, 'NEW' AS o_orderstatus, o_custkey AS extra, '2' AS _load_id FROM orders WHERE {NEW}")
 def k2(spark, sf):
     target, (old, new) = scratch_path(spark, "replace"), batches(spark, sf)
     loads.replace_load(spark, target, old, "1")
@@ -60,9 +60,9 @@ def k3(spark, sf):
     return loads.stamp_load(table(spark, sf, "customer").select("c_custkey"), "load-7")
 
 
-@check("k4_evolve", """
-    SELECT o_orderkey, o_orderstatus, NULL::BIGINT AS extra FROM orders WHERE o_orderkey % 2 = 0
-    UNION ALL SELECT o_orderkey, 'NEW', o_custkey FROM orders WHERE o_orderkey % 3 = 0""")
+@check("k4_evolve", f"""
+    SELECT o_orderkey, o_orderstatus, NULL::BIGINT AS extra FROM orders WHERE {OLD}
+    UNION ALL SELECT o_orderkey, 'NEW', o_custkey FROM orders WHERE {NEW}""")
 def k4(spark, sf):
     return loads.evolve(*batches(spark, sf))
 
@@ -75,15 +75,15 @@ def k4_names(spark, sf):
 
 
 def stamped(spark, sf):
-    """Customers and orders with load ids; every tenth order and every fiftieth customer is new."""
-    c = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 50 == 0, "2").otherwise("1").alias("_load_id"))
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 10 == 0, "2").otherwise("1").alias("_load_id"))
+    """Customers and orders with load ids; the largest orders and the richest customers are new."""
+    c = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_acctbal") > 9500, "2").otherwise("1").alias("_load_id"))
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_totalprice") > 450000, "2").otherwise("1").alias("_load_id"))
     return {"customer": c, "orders": o}
 
 
 REFRESH_SQL = """
     SELECT c_custkey AS customer_c_custkey, o_orderkey AS orders_o_orderkey, o_custkey AS orders_o_custkey
-    FROM customer FULL OUTER JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 50 = 0 OR o_orderkey % 10 = 0"""
+    FROM customer FULL OUTER JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 9500 OR o_totalprice > 450000"""
 
 
 @check("k5_refresh_wide", REFRESH_SQL)
@@ -94,7 +94,7 @@ def k5(spark, sf):
 @check("k6_wide_load", f"""
     SELECT *, '1' AS _load_id FROM (
       SELECT c_custkey AS customer_c_custkey, o_orderkey AS orders_o_orderkey, o_custkey AS orders_o_custkey
-      FROM (SELECT * FROM customer WHERE c_custkey % 50 <> 0) FULL OUTER JOIN (SELECT * FROM orders WHERE o_orderkey % 10 <> 0) ON o_custkey = c_custkey)
+      FROM (SELECT * FROM customer WHERE c_acctbal <= 9500) FULL OUTER JOIN (SELECT * FROM orders WHERE o_totalprice <= 450000) ON o_custkey = c_custkey)
     UNION ALL SELECT *, '2' FROM ({REFRESH_SQL})""")
 def k6(spark, sf):
     target, tables = scratch_path(spark, "wide"), stamped(spark, sf)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tablecraft.checks.registry import check, table
@@ -66,6 +68,12 @@ def s3(spark, sf):
     return files.read_files(spark, base, "part-", "parquet", good, ignore_corrupt=True)
 
 
+@check("s4_read_anonymous", ORDERS_SQL)
+def s4(spark, sf):
+    # The credentials setting only acts on s3a; a shared folder stands for the bucket.
+    return files.read_files(spark, written_orders(spark, sf, "csv"), "part-.csv", "csv", ORDERS_SCHEMA, anonymous=True)
+
+
 @check("s6_jdbc_projection", """
     WITH cols AS (
       SELECT 'tbl_' || (p_partkey // 20) AS table_name, 'col_' || p_partkey AS c, p_partkey AS pos,
@@ -113,14 +121,15 @@ def s7_selector(spark, sf):
     return payloads.decode_messages(wrapped, EVENT_RECORD, "data").select("event_id", "event_type", "_kafka_offset")
 
 
-@check("s8_explode_payloads", """
-    SELECT 'events' AS resource, event_id, user_id, event_type, value FROM events WHERE (event_id // 100) % 5 <> 0""")
+@check("s8_explode_payloads", "SELECT 'events' AS resource, event_id, user_id, event_type, value FROM events")
 def s8(spark, sf):
-    page = F.floor(F.col("event_id") / 100)
-    record = F.when(page % 5 != 0, F.to_json(F.struct("event_id", "user_id", "event_type", "value")))
-    pages = table(spark, sf, "events").groupBy(page.alias("page")).agg(
+    record = F.to_json(F.struct("event_id", "user_id", "event_type", "value"))
+    pages = table(spark, sf, "events").groupBy(F.floor(F.col("event_id") / 100).alias("page")).agg(
         F.concat(F.lit('{"total": 9, "items": ['), F.array_join(F.collect_list(record), ","), F.lit("]}")).alias("payload"))
-    return payloads.explode_payloads(pages.withColumn("resource", F.lit("events")), EVENT_RECORD, "items", keep=("resource",))
+    # After every page comes an empty one.
+    empty = pages.select("page", F.lit('{"total": 9, "items": []}').alias("payload"))
+    both = pages.unionByName(empty).withColumn("resource", F.lit("events"))
+    return payloads.explode_payloads(both, EVENT_RECORD, "items", keep=("resource",))
 
 
 @check("s9_project_fields", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
@@ -161,6 +170,6 @@ def s13(spark, sf):
 
 @check("s14_counted_load", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000")
 def s14(spark, sf):
-    rows_in, _ = with_counts(table(spark, sf, "orders"), f"in-{id(sf)}")
-    rows_out, _ = with_counts(rows_in.filter("o_totalprice > 100000"), f"out-{id(sf)}")
+    rows_in, _ = with_counts(table(spark, sf, "orders"), f"in-{uuid.uuid4()}")
+    rows_out, _ = with_counts(rows_in.filter("o_totalprice > 100000"), f"out-{uuid.uuid4()}")
     return rows_out.select("o_orderkey", "o_totalprice")
