@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -12,40 +13,56 @@ from tablecraft.session import materialise
 
 # A group table of at most this estimated size is broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
-# A key with more than 1/HOT_KEYS of all rows is always among the HOT_KEYS largest.
-HOT_KEYS = 200
+# A key with more rows than one task should handle, and how many such keys are treated apart.
+HOT_ROWS = 5_000_000
+HOT_KEYS = 200_000
 SALTS = 1024
 
 
+def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The keys with more than ``HOT_ROWS`` rows, or None when there is none.
+
+    Rows are counted per key on the map side first. At most ``HOT_KEYS`` keys are given,
+    the largest first, so the result is always small enough to broadcast.
+    """
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > HOT_ROWS)
+    found = materialise(counted.orderBy(F.col("_rows").desc(), *keys).limit(HOT_KEYS).select(*keys))
+    return None if found.isEmpty() else found
+
+
 def attach(df: DataFrame, groups: DataFrame, keys: list[str], null_safe: bool = True,
            broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Left join of ``groups``, which has one row per value of ``keys``.
 
     The group table is computed first and its size is known before the rows move. A small
-    one is broadcast and the rows stay where they are. Otherwise the rows of the largest
-    ``HOT_KEYS`` groups take their values from a broadcast of these few groups and, like
-    rows with NULL keys that match nothing, get a random partition; only the other rows,
-    of which no key has a large share, meet the group table by key.
+    one is broadcast and the rows stay where they are. Otherwise rows and groups meet by
+    key, except for hot keys: their rows take their values from a broadcast of just these
+    groups and, like rows with NULL keys that match nothing, are spread over salts.
     """
     values = [c for c in groups.columns if c not in keys]
     size = Observation()
-    saved = materialise(groups.observe(size, _estimated_bytes(groups).alias("bytes")))
-    if size.get["bytes"] <= broadcast_bytes:
-        return _left(df, F.broadcast(saved), keys, null_safe).select(*_names(df), *values)
-
-    largest = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-               .orderBy(F.col("_rows").desc(), *keys).limit(HOT_KEYS).drop("_rows"))
-    # At most HOT_KEYS rows, by the limit.
-    hot = _left(largest, saved, keys, null_safe).withColumn("_hot", F.lit(True))
-    hot = hot.select(*keys, "_hot", *[F.col(v).alias(f"_hot_{v}") for v in values])
-    marked = _left(df, F.broadcast(hot), keys, null_safe)
-
-    alone = F.col("_hot").isNotNull()
+    saved = materialise(groups.observe(size, estimated_bytes(groups).alias("bytes")))
+    if size.get.get("bytes", math.inf) <= broadcast_bytes:
+        return left_join(df, F.broadcast(saved), keys, null_safe).select(*_names(df), *values)
+
+    whole = df if null_safe else df.dropna(subset=keys)
+    largest = hot_keys(whole, keys)
+    if largest is None and null_safe:
+        return left_join(df, saved, keys, null_safe).select(*_names(df), *values)
+
+    marked, alone = df.withColumn("_hot", F.lit(False)), F.lit(False)
+    if largest is not None:
+        hot = left_join(largest, saved, keys, null_safe).withColumn("_hot", F.lit(True))
+        hot = hot.select(*keys, "_hot", *[F.col(v).alias(f"_hot_{v}") for v in values])
+        marked = left_join(df, F.broadcast(hot), keys, null_safe)
+        alone = F.coalesce("_hot", F.lit(False))
     if not null_safe:
         alone = alone | reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    spread = F.pmod(F.xxhash64(*[c for c in _hashable(df)]), F.lit(SALTS)) + 1
+    spread = F.pmod(F.xxhash64(*_hashable(df)), F.lit(SALTS)) + 1
     salted = marked.withColumn("_salt", F.when(alone, spread).otherwise(0))
-    joined = _left(salted, saved.withColumn("_salt", F.lit(0).cast("bigint")), [*keys, "_salt"], null_safe)
+    joined = left_join(salted, saved.withColumn("_salt", F.lit(0).cast("bigint")), [*keys, "_salt"], null_safe)
+    if largest is None:
+        return joined.select(*_names(df), *values)
     return joined.select(*_names(df), *[
         F.when(F.col("_hot"), F.col(f"_hot_{v}")).otherwise(F.col(v)).alias(v) for v in values])
 
@@ -56,14 +73,15 @@ def keep_matching(df: DataFrame, values: DataFrame, column: str) -> DataFrame:
     return attach(df, found, [column], null_safe=False).filter(F.col("_found")).drop("_found")
 
 
-def _left(df: DataFrame, groups: DataFrame, keys: list[str], null_safe: bool) -> DataFrame:
+def left_join(df: DataFrame, groups: DataFrame, keys: list[str], null_safe: bool) -> DataFrame:
+    """Left join by equal column names that keeps the columns of ``df`` as they are."""
     other = groups.select(*[F.col(k).alias(f"_g_{k}") for k in keys], *[c for c in groups.columns if c not in keys])
     pairs = [(df[k], F.col(f"_g_{k}")) for k in keys]
     same = reduce(lambda a, b: a & b, [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs])
     return df.join(other, same, "left").drop(*[f"_g_{k}" for k in keys])
 
 
-def _estimated_bytes(groups: DataFrame) -> Column:
+def estimated_bytes(groups: DataFrame) -> Column:
     """Rows times a fixed width, plus the text in string columns."""
     texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in groups.schema if isinstance(f.dataType, T.StringType)]
     row = reduce(lambda a, b: a + b, texts, F.lit(16 * len(groups.columns)))

@@ -16,6 +16,7 @@ from tablecraft.functions import fixed_values as fixed
 from tablecraft.functions.aggs import latest_value
 from tablecraft.functions.scalars import normalised_id, starts_with_any
 from tablecraft.operators.windows import any_in_group, step_lag
+from tablecraft.session import materialise
 
 # Days from 1970-01-01 to Monday 2000-01-03, the day time buckets are counted from.
 BUCKET_ORIGIN_DAYS = 10959
@@ -231,12 +232,15 @@ def run_status(logs: DataFrame, ns: str, as_of: str | None = None, days: int = 7
               count_of("Failed").alias("failed_count"), count_of("Warning").alias("warning_count")]
     trend = F.array(*[F.count_if(day == F.date_sub(today, days - 1 - i)) for i in range(days)])
     worst = F.when(count_of("Failed") > 0, "Failed").when(count_of("Warning") > 0, "Warning").otherwise("Success")
-    per_id = runs.groupBy("pipeline_id").agg(
+    # One row per pipeline, computed once; the totals add these rows up.
+    per_id = materialise(runs.groupBy("pipeline_id").agg(
         *shared, worst.alias("status_indicator"), trend.alias("trend_data"),
         F.round(F.avg("duration_seconds")).cast("bigint").alias("avg_duration"),
-        F.sum("total_records").alias("total_records"))
-    totals = runs.agg(*shared, F.sum("total_records").alias("total_records")).select(
-        F.lit("ALL").alias("pipeline_id"), "total_runs", "success_count", "failed_count", "warning_count",
+        F.sum("total_records").alias("total_records")))
+    counts = ["total_runs", "success_count", "failed_count", "warning_count"]
+    totals = per_id.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts],
+                        F.sum("total_records").alias("total_records")).select(
+        F.lit("ALL").alias("pipeline_id"), *counts,
         F.lit("N/A").alias("status_indicator"), F.array().cast("array<bigint>").alias("trend_data"),
         F.lit(0).cast("bigint").alias("avg_duration"), "total_records")
     both = totals.withColumn("report_type", F.lit("SUMMARY")).unionByName(per_id.withColumn("report_type", F.lit("LIST")))

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tablecraft.functions.scalars import contains_text, label_or, number_or_zero
 from tablecraft.operators.attach import attach, keep_matching
+from tablecraft.session import materialise
 
 TOTAL = "TOTAL"
 
@@ -117,7 +118,7 @@ def pivot_heat(long: DataFrame, mode: str = "sum") -> DataFrame:
     A node without the cell shows 0, so 0 takes part when cells are missing. TOTAL cells
     and flat columns have no heat.
     """
-    cells = long.withColumn("value", pivot_measure(mode))
+    cells = materialise(long.withColumn("value", pivot_measure(mode)))
     nodes = cells.filter(F.col("col_key") == TOTAL).groupBy("field").agg(F.count(F.lit(1)).alias("_nodes"))
     stats = (cells.filter(F.col("col_key") != TOTAL).groupBy("col_key", "field")
              .agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.count(F.lit(1)).alias("_cells"))

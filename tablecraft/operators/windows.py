@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablecraft.operators.attach import attach
+from tablecraft.operators.attach import attach, hot_keys, left_join
 
 
 def first_per(df: DataFrame, keys: list[str], order_by: list[Column]) -> DataFrame:
@@ -51,23 +49,22 @@ def step_lag(df: DataFrame, ts: str, by: list[str], ties: list[str], alias: str
              slice_unit: str = "minute") -> DataFrame:
     """Seconds since the previous row of the same group, in order of ``ts`` and ``ties``.
 
-    Each group is cut into time slices. The lag runs inside a slice; the first row of a
-    slice takes the last time of the group's previous slice, found from one row per
-    slice. A group with very many rows is thereby spread over its slices.
+    A group too large for one task is cut into time slices. The lag runs inside a slice;
+    the first row of a slice takes the last time of the group's previous slice, found
+    from one row per slice.
     """
-    sliced = df.withColumn("_slice", F.date_trunc(slice_unit, ts))
-    ends = (sliced.groupBy(*by, "_slice").agg(F.max(ts).alias("_end"))
-            .withColumn("_before", F.lag("_end").over(Window.partitionBy(*by).orderBy("_slice")))
-            .select(*[F.col(k).alias(f"_g_{k}") for k in by], F.col("_slice").alias("_g_slice"), "_before"))
-    inside = sliced.withColumn(
-        "_prev", F.lag(ts).over(Window.partitionBy(*by, "_slice").orderBy(ts, *ties)))
-    same = reduce(lambda a, b: a & b, [inside[k].eqNullSafe(ends[f"_g_{k}"]) for k in by],
-                  inside["_slice"].eqNullSafe(ends["_g_slice"]))
-    joined = inside.join(ends, same, "left")
-    previous = F.coalesce("_prev", "_before")
-    micros = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(previous.cast("timestamp"))
-    return (joined.withColumn(alias, micros / F.lit(1e6))
-            .drop("_slice", "_prev", "_before", "_g_slice", *[f"_g_{k}" for k in by]))
+    large = hot_keys(df, by)
+    if large is None:
+        previous = df.withColumn("_prev", F.lag(ts).over(Window.partitionBy(*by).orderBy(ts, *ties)))
+    else:
+        marked = left_join(df, F.broadcast(large.withColumn("_large", F.lit(True))), by, True)
+        sliced = marked.withColumn("_slice", F.when(F.col("_large"), F.date_trunc(slice_unit, ts)))
+        ends = (sliced.filter("_large").groupBy(*by, "_slice").agg(F.max(ts).alias("_end"))
+                .withColumn("_before", F.lag("_end").over(Window.partitionBy(*by).orderBy("_slice"))).drop("_end"))
+        inside = sliced.withColumn("_prev", F.lag(ts).over(Window.partitionBy(*by, "_slice").orderBy(ts, *ties)))
+        previous = attach(inside, ends, [*by, "_slice"]).withColumn("_prev", F.coalesce("_prev", "_before"))
+    micros = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_prev").cast("timestamp"))
+    return previous.select(*df.columns, (micros / F.lit(1e6)).alias(alias))
 
 
 def page_rows(df: DataFrame, order_by: list[str], offset: int, size: int, shallow: int = 10_000) -> DataFrame:

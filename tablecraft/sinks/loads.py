@@ -9,15 +9,16 @@ table as it was. One writer at a time is assumed.
 from __future__ import annotations
 
 import json
+import math
 import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecraft.operators.attach import attach
+from tablecraft.operators.attach import BROADCAST_BYTES, attach, estimated_bytes
 from tablecraft.operators.joins import ForeignKey, join_tree, wide_table
 from tablecraft.operators.transforms import dedup
 from tablecraft.session import list_names, materialise, read_text, write_text
@@ -25,6 +26,7 @@ from tablecraft.session import list_names, materialise, read_text, write_text
 LOAD_ID = "_load_id"
 BUCKET = "_bucket"
 APPENDED = "appended"
+COMPACT_EVERY = 10
 
 
 @dataclass
@@ -64,9 +66,12 @@ def merge_load(spark: SparkSession, target: str, df: DataFrame, pk: list[str] |
     """Rows of ``df`` replace target rows with the same key; without a key they are added.
 
     The table is kept in buckets by a hash of the key. The batch is computed and written
-    once; then only the buckets it touches are rewritten without the replaced rows.
-    Choose ``buckets`` so that one is about a gigabyte. Of several batch rows with one
-    key, one stays: the first by ``order_by``, else any.
+    once; then only the buckets it touches are rewritten without the replaced rows. If
+    the batch's keys were measured as small, they are broadcast and the old rows are
+    rewritten file by file, without a shuffle; every ``COMPACT_EVERY`` versions, and with
+    many keys, they are shuffled into one file per bucket. Choose ``buckets`` so that one
+    is about a gigabyte. Of several batch rows with one key, one stays: the first by
+    ``order_by``, else any.
     """
     state = read_state(spark, target)
     batch = stamp_load(df, load_id)
@@ -81,15 +86,20 @@ def merge_load(spark: SparkSession, target: str, df: DataFrame, pk: list[str] |
 
     next_state.buckets = count = state.buckets or buckets
     fresh = f"{folder}-batch"
-    written = _write_buckets(spark, target, dedup(batch, pk, order_by), pk, count, fresh)
+    size = Observation()
+    rows = dedup(batch, pk, order_by).observe(size, estimated_bytes(batch.select(*pk)).alias("keys"))
+    written = _write_buckets(spark, target, rows, pk, count, fresh)
     touched = set(state.parts) & (set(written) | {APPENDED})
     if state.schema and any(schema[f.name].dataType != f.dataType for f in state.schema):
         touched = set(state.parts)  # a changed type is stored alike in all files
     kept = {}
     if touched:
         keys = spark.read.parquet(f"{target}/data/{fresh}").select(*pk)
-        rest = _as_schema(_read(spark, target, state, sorted(touched)), schema).join(keys, pk, "left_anti")
-        kept = _write_buckets(spark, target, rest, pk, count, folder)
+        few = size.get.get("keys", math.inf) <= BROADCAST_BYTES
+        old = _as_schema(_read(spark, target, state, sorted(touched)), schema)
+        rest = old.join(F.broadcast(keys) if few else keys, pk, "left_anti").select(*old.columns)
+        in_place = few and APPENDED not in touched and next_state.version % COMPACT_EVERY
+        kept = _write_buckets(spark, target, rest, pk, count, folder, shuffle=not in_place)
     untouched = {n: p for n, p in state.parts.items() if n not in touched}
     next_state.parts = {n: [*untouched.get(n, []), *kept.get(n, []), *written.get(n, [])]
                         for n in {*untouched, *kept, *written}}
@@ -197,11 +207,16 @@ def _as_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
                        for f in schema])
 
 
-def _write_buckets(spark: SparkSession, target: str, rows: DataFrame, pk: list[str], count: int, folder: str) -> dict[str, list[str]]:
-    """Write rows by bucket, one task per bucket, and list the folders that came to be."""
+def _write_buckets(spark: SparkSession, target: str, rows: DataFrame, pk: list[str], count: int, folder: str,
+                   shuffle: bool = True) -> dict[str, list[str]]:
+    """Write rows by bucket and list the folders that came to be.
+
+    With ``shuffle`` one task writes a bucket; rows read from bucket files need none.
+    """
     bucket = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in pk]), F.lit(count)).cast("int")
     path = f"{target}/data/{folder}"
-    rows.withColumn(BUCKET, bucket).repartition(count, BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+    placed = rows.withColumn(BUCKET, bucket)
+    (placed.repartition(count, BUCKET) if shuffle else placed).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
     mark = f"{BUCKET}="
     return {n.removeprefix(mark): [f"{folder}/{n}"] for n in list_names(spark, path) if n.startswith(mark)}
 

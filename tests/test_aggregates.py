@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tablecraft.functions.aggs import Agg, agg_column, latest_value
 from tablecraft.operators import aggregation as ag
+from tablecraft.operators import attach as attaching
 from tablecraft.operators.attach import attach, keep_matching
 
 
@@ -71,9 +72,10 @@ def test_chart_counts_null_label_and_bad_number(spark, rows):
     assert rows(ag.chart_series(df, "x", "y", "avg"), "label") == [("a", 1.0), ("null", 0.0)]
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
+@pytest.mark.parametrize("limit, hot", [(10**9, 100), (0, 100), (0, 10**9)])
 @pytest.mark.parametrize("null_safe", [True, False])
-def test_attach_gives_the_same_rows_on_both_ways(spark, limit, null_safe):
+def test_attach_gives_the_same_rows_on_all_ways(spark, monkeypatch, limit, hot, null_safe):
+    monkeypatch.setattr(attaching, "HOT_ROWS", hot)
     # A third of the rows share one key and some keys are NULL; more groups than hot keys.
     df = spark.range(6000).select(
         F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 700).alias("k"), "id")
@@ -87,7 +89,8 @@ def test_attach_gives_the_same_rows_on_both_ways(spark, limit, null_safe):
         assert (r["s"], r["m"]) == (want[r["k"]] if r["k"] is not None or null_safe else (None, None))
 
 
-def test_attach_spreads_a_hot_key(spark):
+def test_attach_spreads_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(attaching, "HOT_ROWS", 5000)
     df = spark.range(30000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id")
     groups = df.groupBy("k").agg(F.count("*").alias("n"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -107,6 +110,14 @@ def test_attach_moves_no_rows_when_groups_are_few(spark):
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
 
 
+def test_attach_to_and_of_nothing(spark):
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    none = spark.createDataFrame([], "k int, n int")
+    assert [tuple(r) for r in attach(df, none, ["k"]).collect()] == [(1, "a", None)]
+    assert attach(df.limit(0), none, ["k"], broadcast_bytes=-1).collect() == []
+    assert ag.aggregate_back(df.filter("k > 5"), [("v", [Agg("median", "k", "m")])]).collect() == []
+
+
 def test_keep_matching(spark, rows):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, v string")
     values = spark.createDataFrame([(2,), (2,), (None,)], "k int")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tablecraft.operators import attach as attaching
 from tablecraft.operators import joins as jn
 from tablecraft.operators import ordering as od
 from tablecraft.operators import pivots as pv
@@ -137,13 +138,23 @@ def test_latest_by_limits_rows_before_the_shuffle(spark, sf):
     assert plan.count("WindowGroupLimit") >= 2
 
 
-def test_step_lag_over_slices(spark):
+@pytest.mark.parametrize("hot", [0, 10**9])
+def test_step_lag_over_slices(spark, monkeypatch, hot):
+    monkeypatch.setattr(attaching, "HOT_ROWS", hot)
     df = spark.createDataFrame([(1, "2024-01-01 00:00:10"), (2, "2024-01-01 00:00:40"), (3, "2024-01-01 05:00:00"), (4, "2024-01-01 05:00:00")],
                                "id int, t string").select("id", F.to_timestamp("t").alias("t"), F.lit(None).cast("string").alias("g"))
     got = {r["id"]: r["step_seconds"] for r in wn.step_lag(df, "t", ["g"], ["id"]).collect()}
     assert got == {1: None, 2: 30.0, 3: 17960.0, 4: 0.0}
 
 
+def test_step_lag_of_large_groups_agrees_with_a_window(spark, sf, monkeypatch):
+    e = spark.read.parquet(f"{sf}/events.parquet").selectExpr("event_id", "case when user_id < 60 then null else user_id end as u", "timestamp(ts) as ts")
+    plain = sorted(map(tuple, wn.step_lag(e, "ts", ["u"], ["event_id"]).collect()), key=str)
+    monkeypatch.setattr(attaching, "HOT_ROWS", 20)
+    for unit in ("hour", "week"):
+        assert sorted(map(tuple, wn.step_lag(e, "ts", ["u"], ["event_id"], slice_unit=unit).collect()), key=str) == plain
+
+
 @pytest.mark.parametrize("offset", [0, 3, 995, 996, 1990, 1999, 5000])
 def test_pages_agree_with_a_row_number(spark, offset):
     df = spark.range(2000).select((F.lit(4000) - F.col("id") * 2).alias("k"), "id").repartition(7)

@@ -70,6 +70,17 @@ def test_merge_rewrites_only_touched_buckets(spark):
     assert [tuple(r) for r in out.filter("id = 5").collect()] == [(5, "new", "2")]
 
 
+@pytest.mark.parametrize("limit", [0, 10**9])
+def test_many_merges_keep_one_row_per_key(spark, monkeypatch, limit):
+    monkeypatch.setattr(loads, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(loads, "COMPACT_EVERY", 3)
+    target = scratch_path(spark, "many")
+    for n in range(5):
+        out = loads.merge_load(spark, target, spark.range(n * 10, n * 10 + 30).selectExpr("id", f"{n} as n"), ["id"], str(n), buckets=3)
+    got = sorted((r["id"], r["n"]) for r in out.collect())
+    assert got == [(i, min(i // 10, 4)) for i in range(70)]
+
+
 def test_merge_is_repeatable_and_survives_type_changes(spark):
     target = scratch_path(spark, "types")
     loads.merge_load(spark, target, spark.createDataFrame([(1, 10), (2, 20)], "id int, v int"), ["id"], "1", buckets=4)
