@@ -64,8 +64,7 @@ def s2(spark, sf):
 def s3(spark, sf):
     base = written_orders(spark, sf, "parquet", "year/month")
     spark.createDataFrame([("no parquet",)], "value string").coalesce(1).write.text(f"{base}/broken")
-    good = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate string, o_orderpriority string"
-    return files.read_files(spark, base, "part-", "parquet", good, ignore_corrupt=True)
+    return files.read_files(spark, base, "part-", "parquet", ORDERS_SCHEMA, ignore_corrupt=True)
 
 
 @check("s4_read_anonymous", ORDERS_SQL)

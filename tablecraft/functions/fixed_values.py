@@ -51,6 +51,10 @@ DATE_LIKE_COLUMNS = r"(?i).*(date|time|ts).*"
 # Source types read as text or as a plain timestamp.
 TEXT_READ_TYPES = ["hierarchyid", "geometry", "geography", "xml"]
 
+# Names of system tables and columns, and of staging schemas.
+SYSTEM_PREFIX = "_dlt_"
+STAGING_SUFFIX = "_staging"
+
 # Technical table prefixes kept out of table trees, at the root, at each
 # later step, and on both ends of a relation.
 TREE_ROOT_EXCLUDES = [
@@ -66,6 +70,9 @@ RELATION_EXCLUDES = [
     "report_", "wizard_", "res_users", "res_groups", "auth_",
 ]
 
+# Name patterns never shown as table or parent ("_" is any character).
+TREE_HIDDEN = ["ir_%", "mail_%", "sms_%", "report_%", "l10n_%"]
+
 # Module prefixes that are not business modules.
 MODULE_EXCLUDES = [
     "IR", "BASE", "MAIL", "BUS", "REPORT", "SMS", "SNAILMAIL", "CALENDAR", "SPREADSHEET",

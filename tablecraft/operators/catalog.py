@@ -14,7 +14,7 @@ from tablecraft.operators.windows import latest_by
 COLUMN_KEY = ["table_name", "original_column_name"]
 
 
-def drop_system(cols: DataFrame, prefix: str = "_dlt_") -> DataFrame:
+def drop_system(cols: DataFrame, prefix: str = fixed.SYSTEM_PREFIX) -> DataFrame:
     """Leave out system tables and system columns."""
     return cols.filter(~F.col("table_name").startswith(prefix) & ~F.col("original_column_name").startswith(prefix))
 

@@ -11,9 +11,6 @@ from tablecraft.functions import fixed_values as fixed
 from tablecraft.functions.scalars import starts_with_any
 from tablecraft.session import materialise
 
-# Name patterns that never show, neither as table nor as parent ("_" stands for any character).
-HIDDEN = ["ir_%", "mail_%", "sms_%", "report_%", "l10n_%"]
-
 
 def module_list(models: DataFrame, excludes: list[str] | None = None) -> DataFrame:
     """Business modules: the upper-case first part of the names of permanent base models."""
@@ -41,11 +38,11 @@ def table_hierarchy(edges: DataFrame, tables: DataFrame, root: str, max_level: i
     keeps one row per path before the next, and no level multiplies. Each level is
     computed once and the next starts from it.
     """
-    steps = edges.select("source_table", "target_table").distinct()
-    steps = materialise(steps.filter(~starts_with_any(F.col("target_table"), fixed.TREE_STEP_EXCLUDES)))
+    steps = (edges.filter(~starts_with_any(F.col("target_table"), fixed.TREE_STEP_EXCLUDES))
+             .select("source_table", "target_table"))
     front = tables.filter(F.col("table_name").like(f"{root.lower()}_%")
                           & ~starts_with_any(F.col("table_name"), fixed.TREE_ROOT_EXCLUDES)).select(
-        F.col("table_name"), F.lit(root.upper()).alias("path")).distinct()
+        F.col("table_name"), F.lit(root.upper()).alias("path"))
     found = None
     for level in range(2, max_level + 1):
         reached = (front.join(steps, front["table_name"] == steps["source_table"])
@@ -61,4 +58,4 @@ def table_hierarchy(edges: DataFrame, tables: DataFrame, root: str, max_level: i
 
 
 def _hidden(name: str) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(name).like(p) for p in HIDDEN])
+    return reduce(lambda a, b: a | b, [F.col(name).like(p) for p in fixed.TREE_HIDDEN])

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablecraft.functions.fixed_values import STAGING_SUFFIX, SYSTEM_PREFIX
+
 FORMATS = {"csv": "csv", "jsonl": "json", "ndjson": "json", "json": "json", "parquet": "parquet"}
 S3_ANONYMOUS = {"fs.s3a.aws.credentials.provider": "org.apache.hadoop.fs.s3a.AnonymousAWSCredentialsProvider"}
 
@@ -69,7 +71,8 @@ def file_schemas(spark: SparkSession, base: str, pattern: str, threads: int = 16
     return spark.createDataFrame(rows, "file string, position int, column string, type string")
 
 
-def table_inventory(tables: dict[str, DataFrame], hidden_prefix: str = "_dlt_", hidden_suffix: str = "_staging") -> DataFrame:
+def table_inventory(tables: dict[str, DataFrame], hidden_prefix: str = SYSTEM_PREFIX,
+                    hidden_suffix: str = STAGING_SUFFIX) -> DataFrame:
     """(schema_name, table_name, column_name, data_type, column_count, row_count), in name order.
 
     Tables are named ``schema.table`` or ``table``; system tables and staging schemas are
