@@ -38,8 +38,8 @@ def table_hierarchy(edges: DataFrame, tables: DataFrame, root: str, max_level: i
     keeps one row per path before the next, and no level multiplies. Each level is
     computed once and the next starts from it.
     """
-    steps = (edges.filter(~starts_with_any(F.col("target_table"), fixed.TREE_STEP_EXCLUDES))
-             .select("source_table", "target_table"))
+    allowed = edges.filter(~starts_with_any(F.col("target_table"), fixed.TREE_STEP_EXCLUDES))
+    steps = materialise(allowed.select("source_table", "target_table"))
     front = tables.filter(F.col("table_name").like(f"{root.lower()}_%")
                           & ~starts_with_any(F.col("table_name"), fixed.TREE_ROOT_EXCLUDES)).select(
         F.col("table_name"), F.lit(root.upper()).alias("path"))

@@ -90,6 +90,14 @@ def test_merge_is_repeatable_and_survives_type_changes(spark):
     assert sorted(tuple(r) for r in out.select("id", "v", "w").collect()) == [(1, "10", None), (2, "x", True)]
 
 
+def test_empty_batches(spark):
+    target, none = scratch_path(spark, "empty"), spark.createDataFrame([], "id int, v string")
+    assert loads.merge_load(spark, target, none, ["id"], "0").count() == 0
+    one = spark.createDataFrame([(1, "a")], "id int, v string")
+    loads.merge_load(spark, target, one, ["id"], "1")
+    assert [tuple(r) for r in loads.merge_load(spark, target, none, ["id"], "2").collect()] == [(1, "a", "1")]
+
+
 def test_append_then_merge(spark):
     target = scratch_path(spark, "mixed")
     loads.merge_load(spark, target, spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), None, "1")
