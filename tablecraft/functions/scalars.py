@@ -16,7 +16,10 @@ def casing(col: str, mode: str) -> Column:
 
 
 def calculate(field: str, expr: str) -> Column:
-    """Arithmetic over columns and literals, written as a Spark SQL expression."""
+    """Arithmetic over columns and literals, written as a Spark SQL expression.
+
+    Division by zero is an error in Spark SQL; write ``nullif`` or ``try_divide`` for NULL.
+    """
     return F.expr(expr).alias(field)
 
 

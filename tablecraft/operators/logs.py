@@ -91,7 +91,7 @@ def filter_logs(logs: DataFrame, filters: dict | None = None, as_of: str | None
             out = out.filter(F.col("timestamp") >= F.date_sub(F.to_date(_now(as_of)), int(value)).cast("timestamp"))
         else:
             column = "log_level" if field == "level" else field
-            if value != fixed.ALL_LABELS[column]:
+            if value != fixed.ALL_LABELS.get(column):
                 out = out.filter(F.col(column) == value)
     return out
 

@@ -99,3 +99,8 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     stream.close()
     if not system.rename(draft, where):
         raise RuntimeError(f"{path} is there already: another writer?")
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where, system = _open_folder(spark, path)
+    system.delete(where, True)

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from tablecraft.operators.attach import BROADCAST_BYTES, attach, estimated_bytes
 from tablecraft.operators.joins import ForeignKey, join_tree, wide_table
 from tablecraft.operators.transforms import dedup
-from tablecraft.session import list_names, materialise, read_text, write_text
+from tablecraft.session import delete_folder, list_names, materialise, read_text, write_text
 
 LOAD_ID = "_load_id"
 BUCKET = "_bucket"
@@ -180,12 +180,39 @@ def read_target(spark: SparkSession, target: str) -> DataFrame:
     return _read(spark, target, state, list(state.parts))
 
 
+def drop_old_versions(spark: SparkSession, target: str, keep: int = 10) -> list[str]:
+    """Delete data folders that none of the last ``keep`` versions lists; returns their names.
+
+    Folders of a load that has not published its version yet are left alone.
+    """
+    numbers = _version_numbers(spark, target)
+    if not numbers:
+        return []
+    listed = {p for n in numbers[-keep:] for parts in _load_state(spark, target, n).parts.values() for p in parts}
+    dropped = []
+    for folder in list_names(spark, f"{target}/data"):
+        if folder in listed or int(re.sub(r"\D", "", folder)) > numbers[-1]:
+            continue
+        inside = [f"{folder}/{n}" for n in list_names(spark, f"{target}/data/{folder}") if n.startswith(f"{BUCKET}=")]
+        unlisted = [p for p in inside if p not in listed]
+        dropped += [folder] if len(unlisted) == len(inside) else unlisted
+    for name in dropped:
+        delete_folder(spark, f"{target}/data/{name}")
+    return dropped
+
+
 def read_state(spark: SparkSession, target: str) -> TableState:
-    versions = sorted(int(n.removesuffix(".json")) for n in list_names(spark, f"{target}/versions") if n.endswith(".json"))
-    if not versions:
-        return TableState()
-    saved = json.loads(read_text(spark, f"{target}/versions/{versions[-1]}.json"))
-    return TableState(versions[-1], saved["buckets"], T.StructType.fromJson(saved["schema"]), saved["parts"])
+    numbers = _version_numbers(spark, target)
+    return _load_state(spark, target, numbers[-1]) if numbers else TableState()
+
+
+def _version_numbers(spark: SparkSession, target: str) -> list[int]:
+    return sorted(int(n.removesuffix(".json")) for n in list_names(spark, f"{target}/versions") if n.endswith(".json"))
+
+
+def _load_state(spark: SparkSession, target: str, number: int) -> TableState:
+    saved = json.loads(read_text(spark, f"{target}/versions/{number}.json"))
+    return TableState(number, saved["buckets"], T.StructType.fromJson(saved["schema"]), saved["parts"])
 
 
 def merged_schema(spark: SparkSession, state: TableState, batch: DataFrame) -> T.StructType:

@@ -12,13 +12,12 @@ def records(text: Column, schema: T.StructType | str, selector: str | None = Non
 
     Text that is no JSON gives NULL.
     """
-    struct = schema if isinstance(schema, str) else schema.simpleString()
-    if struct.startswith("struct<"):
-        struct = f"array<{struct}>"
-    else:
-        struct = f"array<struct<{struct}>>"
     source = F.get_json_object(text, f"$.{selector}") if selector else text
-    return F.from_json(source, struct)
+    return F.from_json(source, T.ArrayType(_struct(schema)))
+
+
+def _struct(schema: T.StructType | str) -> T.StructType:
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
 def decode_messages(df: DataFrame, record_schema: T.StructType | str, selector: str | None = None) -> DataFrame:
@@ -48,9 +47,8 @@ def explode_payloads(df: DataFrame, schema: T.StructType | str, selector: str |
 def project_fields(df: DataFrame, schema: T.StructType | str, payload: str = "payload",
                    selector: str | None = "records") -> DataFrame:
     """Pages of record envelopes ``{"id": .., "fields": {..}}`` to the columns of ``fields``."""
-    inner = schema if isinstance(schema, str) else schema.simpleString()
-    inner = inner if inner.startswith("struct<") else f"struct<{inner}>"
-    return explode_payloads(df, f"struct<fields:{inner}>", selector, payload).select("fields.*")
+    envelope = T.StructType([T.StructField("fields", _struct(schema))])
+    return explode_payloads(df, envelope, selector, payload).select("fields.*")
 
 
 def normalise_id(df: DataFrame, key: str = "_id") -> DataFrame:

@@ -90,6 +90,18 @@ def test_merge_is_repeatable_and_survives_type_changes(spark):
     assert sorted(tuple(r) for r in out.select("id", "v", "w").collect()) == [(1, "10", None), (2, "x", True)]
 
 
+def test_old_versions_can_be_dropped(spark):
+    target = scratch_path(spark, "drop")
+    for n in range(4):
+        loads.merge_load(spark, target, spark.range(n, n + 2).selectExpr("id", f"{n} as n"), ["id"], str(n), buckets=4)
+    want = sorted(map(tuple, loads.read_target(spark, target).collect()))
+    dropped = loads.drop_old_versions(spark, target, keep=1)
+    assert dropped and loads.drop_old_versions(spark, target, keep=1) == []
+    assert sorted(map(tuple, loads.read_target(spark, target).collect())) == want
+    spark.range(1).write.parquet(f"{target}/data/v9")
+    assert loads.drop_old_versions(spark, target, keep=1) == []
+
+
 def test_empty_batches(spark):
     target, none = scratch_path(spark, "empty"), spark.createDataFrame([], "id int, v string")
     assert loads.merge_load(spark, target, none, ["id"], "0").count() == 0
