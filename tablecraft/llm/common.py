@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +34,15 @@ def measured(df: DataFrame) -> tuple[DataFrame, int]:
     return saved, int(saved.agg(estimated_bytes(saved)).first()[0] or 0)
 
 
+def share(df: DataFrame, value):
+    """A broadcast of any object whose classes need not be importable in tasks; read it with ``shared``."""
+    return df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(broadcast):
+    return cloudpickle.loads(broadcast.value)
+
+
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """The computed frame, to be broadcast only if it was measured to be at most ``limit`` bytes.
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecraft.llm import decontamination, line_dedup, mixing
+from tablecraft.llm import decontamination, language_id, line_dedup, mixing, near_dup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,6 +80,24 @@ def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@query("op5_near_duplicates")
+def op5_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    found = near_dup.assign_components(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select(F.col("_id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+def _fold(parts: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % parts == 2
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.filter(~F.coalesce(_fold(4), F.lit(False))))
+    judged = language_id.identify(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", F.coalesce(_fold(4), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,25 +32,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, ``size`` of each."""
-    inverse = pow(base, -1, 1 << 64)
+class _Powers(dict):
+    """Powers kept per task; travels empty."""
+
+    def __reduce__(self):
+        return _Powers, ()
 
-    def up(b: int) -> np.ndarray:
-        steps = np.full(size, b, U64)
-        steps[0] = 1
-        return np.multiply.accumulate(steps)
-    return up(base), up(inverse)
+
+_KEPT = _Powers()
 
 
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    room = 1 << max(16, (size - 1).bit_length())
-    if room > 1 << 21:  # a text longer than that: not kept
-        a, b = _powers.__wrapped__(base, room)
-    else:
-        a, b = _powers(base, room)
-    return a[:size], b[:size]
+    """Powers of an odd base and of its inverse modulo 2**64, ``size`` of each."""
+    up, down = _KEPT.get(base, ((), ()))
+    if len(up) < size:
+        room = 1 << max(16, (size - 1).bit_length())
+        steps = np.array([base, pow(base, -1, 1 << 64)], U64).repeat(room).reshape(2, room)
+        steps[:, 0] = 1
+        up, down = np.multiply.accumulate(steps, axis=1)
+        if room <= 1 << 21:  # beyond that the text is an unusually long one
+            _KEPT[base] = up, down
+    return up[:size], down[:size]
 
 
 @dataclass
