@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecraft.llm import decontamination, language_id, line_dedup, mixing, near_dup
+from tablecraft.llm import chat_format, decontamination, language_id, line_dedup, mixing, near_dup, substring_dedup, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,6 +98,27 @@ def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("doc_id", F.coalesce(_fold(4), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query("op2_url_rules")
+def op2_url_rules(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    judged = url_rules.judge_urls(pages, table(spark, sf, "labels").select("doc_id", "toxic"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op8_chat_format")
+def op8_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    says = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    talks = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat_format.read_back(chat_format.format_turns(talks))
+
+
+@query("op10_substring_dedup")
+def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    cut = substring_dedup.remove_repeated_windows(table(spark, sf, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
