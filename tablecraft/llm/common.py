@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablecraft.operators.attach import estimated_bytes
-from tablecraft.session import materialise
+from tablecraft.session import materialise, scratch_path
 
 BLANK = r"[\x20\x09-\x0D]+"
 BROADCAST_BYTES = 32 << 20
@@ -28,6 +28,13 @@ def row_key(*cols: str) -> list[Column]:
     return [F.xxhash64(*values, *marks).alias("_key1"), F.xxhash64(F.lit(77), *marks, *values).alias("_key2")]
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table in the shared folder, read more than once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def measured(df: DataFrame) -> tuple[DataFrame, int]:
     """The computed frame and its size in bytes."""
     saved = materialise(df)

@@ -100,13 +100,23 @@ def word_scores(model: Model, words: list[str]) -> np.ndarray:
 def fit(counts: dict[str, dict[str, int]], order: int = ORDER) -> Model:
     """Models from word counts by language; lower orders use continuation counts, except after the word's start."""
     languages = sorted(counts)
-    raw = [[defaultdict(int) for _ in range(order)] for _ in languages]
-    for per, language in zip(raw, languages, strict=True):
+    longest: dict[str, dict[str, int]] = {language: defaultdict(int) for language in languages}
+    for language in languages:
         for word, times in counts[language].items():
             padded = START + word + END
             for end in range(2, len(padded) + 1):
-                for n in range(1, min(order, end) + 1):
-                    per[n - 1][padded[end - n:end]] += times
+                longest[language][padded[max(0, end - order):end]] += times
+    return fit_grams(longest, order)
+
+
+def fit_grams(longest: dict[str, dict[str, int]], order: int) -> Model:
+    """Models from counts of each symbol with the up to ``order - 1`` symbols before it in its word."""
+    languages = sorted(longest)
+    raw = [[defaultdict(int) for _ in range(order)] for _ in languages]
+    for per, language in zip(raw, languages, strict=True):
+        for gram, times in longest[language].items():
+            for n in range(1, len(gram) + 1):
+                per[n - 1][gram[-n:]] += times
     prob: list[dict[str, list[float]]] = []
     orders: list[Orders] = []
     for n in range(1, order + 1):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecraft.llm import chat_format, decontamination, language_id, line_dedup, mixing, near_dup, substring_dedup, url_rules
+from tablecraft.llm import chat_format, decontamination, fingerprints, language_id, line_dedup, lm_scoring, mixing, near_dup, substring_dedup, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,6 +119,16 @@ def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query("op4_fingerprints")
+def op4_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.compare_with_edited(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("op7_lm_scoring")
+def op7_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf, "documents").select("doc_id", "text"), F.coalesce(_fold(7), F.lit(False)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecraft.llm.common import row_key
+from tablecraft.llm.common import row_key, written
 from tablecraft.llm.words import SECOND_BASE, U64, mix, powers, window_hashes, words_of
-from tablecraft.session import scratch_path
 
 WIDTH = 50
 GRAM = 8
@@ -23,13 +22,6 @@ CELLS_PER_ENTRY = 8
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """A table in the shared folder, read more than once."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def anchors(hashes: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The anchors of one text: hash, hash of the whole stretch, first and last window start.
 
@@ -105,17 +97,17 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
     """Ranges of window starts (``_from``, ``_to``) of the rows (``_id``, ``_key``, ``_text``) that a smaller id has too."""
     known = docs.filter(F.col("_id").isNotNull())
     entries = known.mapInArrow(_anchor_rows(width, gram), "_id long, _key long, _anchor long, _stretch long, _from int, _to int")
-    entries = _written(estimated_repeats(_written(entries, "anchors")), "repeats")
+    entries = written(estimated_repeats(written(entries, "anchors")), "repeats")
     stretches = entries.groupBy("_anchor", "_stretch").agg(F.min("_id").alias("_low"))
     kinds = stretches.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_kinds"))
     told = entries.join(stretches, ["_anchor", "_stretch"]).join(kinds, "_anchor")
-    told = _written(told.select("_id", "_key", "_from", "_to", "_low", "_kinds").filter((F.col("_id") > F.col("_low")) | (F.col("_kinds") > 1)), "told")
+    told = written(told.select("_id", "_key", "_from", "_to", "_low", "_kinds").filter((F.col("_id") > F.col("_low")) | (F.col("_kinds") > 1)), "told")
     # A stretch that a smaller id has as a whole is settled. Of the others, those whose anchor stands in different stretches
     # may share single windows; these are grouped exactly, by 128 bits.
     whole = told.filter(F.col("_id") > F.col("_low")).select("_id", "_key", "_from", "_to")
     open_ = told.filter(F.col("_id") == F.col("_low")).groupBy("_id", "_key").agg(F.collect_list(F.struct("_from", "_to")).alias("_ranges"))
     windows = known.join(open_, ["_id", "_key"]).select("_id", "_key", "_text", "_ranges")
-    windows = _written(windows.mapInArrow(_window_rows(width), "_id long, _key long, _one long, _two long, _from int"), "windows")
+    windows = written(windows.mapInArrow(_window_rows(width), "_id long, _key long, _one long, _two long, _from int"), "windows")
     lows = windows.groupBy("_one", "_two").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high")).filter(F.col("_low") < F.col("_high"))
     single = windows.join(lows, ["_one", "_two"]).filter(F.col("_id") > F.col("_low"))
     return whole.unionByName(single.select("_id", "_key", "_from", F.col("_from").alias("_to")))
