@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +45,7 @@ def fingerprints(terms: DataFrame, keys: list[str], weights: list[str], samples:
     rows = terms.select(*keys, "_term", *[F.log(F.col(w).cast("double")).alias(w) for w in weights],
                         F.explode(F.array(*[F.lit(i) for i in range(0, samples, AT_ONCE)])).alias("_part"))
     best = rows.groupBy(*keys, "_part").agg(*[F.min(_sample(F.col("_term"), F.col("_part") + j, F.col(w))).alias(f"_{w}{j}") for w in weights for j in range(AT_ONCE)])
-    digits = lambda c: F.lpad(F.lower(F.hex(F.col(c).bitwiseAND(F.lit(0xFFFF)))), 4, "0")
+    digits = lambda c: F.lpad(F.lower(F.hex(F.coalesce(F.col(c), F.lit(0)).bitwiseAND(F.lit(0xFFFF)))), 4, "0")
     parts = best.select(*keys, "_part", *[F.concat(*[digits(f"_{w}{j}") for j in range(AT_ONCE)]).alias(w) for w in weights])
     joined = lambda w: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_part", w))), lambda x: x[w]), "").alias(w)
     return parts.groupBy(*keys).agg(*[joined(w) for w in weights])
@@ -55,8 +53,9 @@ def fingerprints(terms: DataFrame, keys: list[str], weights: list[str], samples:
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     """The share of equal samples of two fingerprints."""
-    same = [(F.substring(a, 4 * i + 1, 4) == F.substring(b, 4 * i + 1, 4)).cast("int") for i in range(samples)]
-    return reduce(lambda x, y: x + y, same) / float(samples)
+    digits = lambda c, i: c.substr(i * 4 + 1, F.lit(4))
+    same = F.filter(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: digits(a, i) == digits(b, i))
+    return F.size(same) / float(samples)
 
 
 def next_rows(docs: DataFrame, order: list[str], keys: list[str]) -> DataFrame:

@@ -65,7 +65,7 @@ def gram_hashes(words: list[str], order: int) -> tuple[list[np.ndarray], np.ndar
     scrambled, hashes, total, power = mix(codes + np.uint64(1)), [], np.zeros(len(codes), np.uint64), np.ones(1, np.uint64)
     for n in range(1, order + 1):
         shifted = np.zeros(len(codes), np.uint64)
-        shifted[n - 1:] = scrambled[:len(codes) - n + 1]
+        shifted[n - 1:] = scrambled[:max(0, len(codes) - n + 1)]
         total = total + shifted * power
         power = power * _BASE
         hashes.append(np.where(depth >= n - 1, mix(total) | np.uint64(1), np.uint64(0)))

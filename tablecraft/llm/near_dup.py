@@ -139,8 +139,8 @@ def _confirm(table: pa.Table) -> pa.Table:
     ids = table.column("_id").to_numpy()
     sets = [np.frombuffer(b, U64) for b in table.column("_set").to_pylist()]
     left, right = np.flatnonzero(part == 0), np.flatnonzero(part == 1)
-    if len(right) and not len(left):
-        left, right = right, left[:0]
+    if not len(left):
+        right = left
     at = np.concatenate([left, right])
     forest = links_between([sets[i] for i in left], [sets[i] for i in right] if len(right) else None)
     return pa.table({"_u": pa.array([int(ids[at[a]]) for a, _ in forest], pa.int64()), "_v": pa.array([int(ids[at[b]]) for _, b in forest], pa.int64())})
@@ -186,7 +186,7 @@ def _links(sets: DataFrame) -> DataFrame:
     inner = close.join(nearest, "_group").filter(~F.col("_far")).groupBy("_group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_inner"))
     rim = rim.join(inner, "_group", "left").withColumn("_inner", F.coalesce("_inner", F.lit(1)))
     rim = rim.withColumn("_block", F.when(F.col("_far"), spot).otherwise(-1 - F.pmod(F.xxhash64("_id"), F.col("_inner"))))
-    every = F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)
+    every = F.sequence(F.when(F.col("_far"), -F.col("_inner")).otherwise(0).cast("long"), F.col("_blocks") - 1)
     own = F.transform(every, lambda b: F.struct(F.greatest(b, F.col("_block")).alias("a"), F.least(b, F.col("_block")).alias("b"),
                                                F.when(b > F.col("_block"), 1).otherwise(0).alias("part")))
     dealt = rim.select("_id", "_group", F.explode(own).alias("_pair"))
