@@ -10,7 +10,7 @@ from tablecraft.checks.registry import check, table
 from tablecraft.operators.transforms import preview
 from tablecraft.session import scratch_path
 from tablecraft.sources import databases, files, payloads
-from tablecraft.sources.counts import with_counts
+from tablecraft.sources.counts import load_delta, with_counts
 
 ORDERS_SQL = """
     SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders"""
@@ -149,22 +149,37 @@ def s11(spark, sf):
     return preview(table(spark, sf, "pages"), 10, [F.col("page_id")]).select("page_id", "url")
 
 
-@check("s12_file_schemas", """
-    SELECT t || '.parquet' AS file, column_name AS "column", CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int'
-           WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS type
-    FROM (SELECT 'orders' AS t, * FROM (DESCRIBE orders) UNION ALL SELECT 'events', * FROM (DESCRIBE events))""")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+          "benchmark", "labels", "conversations")
+TYPE_SQL = """CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'FLOAT[]' THEN 'array<float>'
+           WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END"""
+
+
+@check("s12_file_schemas", " UNION ALL ".join(
+    f"""SELECT '{t}.parquet' AS file, column_name AS "column", {TYPE_SQL} AS type FROM (DESCRIBE {t})""" for t in TABLES))
 def s12(spark, sf):
-    found = files.file_schemas(spark, sf, "{orders,events}.parquet")
+    found = files.file_schemas(spark, sf, "*.parquet")
     return found.select(F.element_at(F.split("file", "/"), -1).alias("file"), "column", "type")
 
 
 @check("s13_table_inventory", " UNION ALL ".join(
-    f"""SELECT 'main' AS schema_name, '{t}' AS table_name, column_name, (SELECT count(*) FROM (DESCRIBE {t}))::INTEGER AS column_count,
-        (SELECT count(*) FROM {t}) AS row_count FROM (DESCRIBE {t})""" for t in ("orders", "customer", "lineitem", "documents")))
+    f"""SELECT 'main' AS schema_name, '{t}' AS table_name, column_name, {TYPE_SQL} AS data_type,
+        (SELECT count(*) FROM (DESCRIBE {t}))::INTEGER AS column_count, (SELECT count(*) FROM {t}) AS row_count FROM (DESCRIBE {t})"""
+    for t in TABLES))
 def s13(spark, sf):
-    tables = {f"main.{t}": table(spark, sf, t) for t in ("orders", "customer", "lineitem", "documents")}
+    tables = {f"main.{t}": table(spark, sf, t) for t in TABLES}
     hidden = {"main._dlt_loads": tables["main.orders"], "main_staging.orders": tables["main.orders"]}
-    return files.table_inventory(tables | hidden).drop("data_type")
+    return files.table_inventory(tables | hidden)
+
+
+@check("s1_read_partitioned", """
+    SELECT event_id, user_id, value, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE ts::DATE >= DATE '2024-01-10'""")
+def s1_partitioned(spark, sf):
+    base = scratch_path(spark, "events-by-day")
+    e = table(spark, sf, "events").select("event_id", "user_id", "value", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    e.repartition("day").write.partitionBy("day").parquet(base)
+    read = files.read_files(spark, base, "part-.parquet", "parquet", "event_id bigint, user_id bigint, value double, day string", partitioned=True)
+    return read.filter("day >= '2024-01-10'")
 
 
 @check("s14_counted_load", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000")
@@ -172,3 +187,14 @@ def s14(spark, sf):
     rows_in, _ = with_counts(table(spark, sf, "orders"), f"in-{uuid.uuid4()}")
     rows_out, _ = with_counts(rows_in.filter("o_totalprice > 100000"), f"out-{uuid.uuid4()}")
     return rows_out.select("o_orderkey", "o_totalprice")
+
+
+@check("s14_load_report", """
+    SELECT count(*) AS rows_in, count_if(o_totalprice > 100000) AS rows_out, count_if(o_totalprice > 100000) - count(*) AS rows_changed
+    FROM orders""")
+def s14_report(spark, sf):
+    rows_in, seen_in = with_counts(table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("price")), f"in-{uuid.uuid4()}")
+    rows_out, seen_out = with_counts(rows_in.filter("price > 100000"), f"out-{uuid.uuid4()}")
+    rows_out.write.parquet(scratch_path(spark, "counted-orders"))
+    report = load_delta(seen_in, seen_out)
+    return spark.createDataFrame([tuple(report.values())], ", ".join(f"{name} bigint" for name in report))

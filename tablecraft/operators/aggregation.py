@@ -91,15 +91,20 @@ def distinct_values(df: DataFrame, field: str) -> DataFrame:
     return df.select(field).distinct()
 
 
-def chart_series(df: DataFrame, x: str, y: str, agg: str, order_by: list[Column] | None = None) -> DataFrame:
+def chart_series(df: DataFrame, x: str, y: str, agg: str, order_by: list[Column] | None = None,
+                 limit: int | None = 50) -> DataFrame:
     """(label, value) pairs of a chart: count, sum, avg, max or min per label.
 
-    ``agg='none'`` gives the first 50 rows, by ``order_by`` where given.
+    ``agg='none'`` gives the first ``limit`` rows, by ``order_by`` where given; None gives all.
     """
     if agg == "none":
-        rows = (df.orderBy(*order_by) if order_by else df).limit(50)
+        rows = df.orderBy(*order_by) if order_by else df
+        rows = rows if limit is None else rows.limit(limit)
         return rows.select(label_or(x, "").alias("label"), number_or_zero(y).alias("value"))
-    value = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min}.get(agg)
+    values = {"count": None, "sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min}
+    if agg not in values:
+        raise ValueError(f"unknown chart aggregate: {agg}")
+    value = values[agg]
     cells = df.select(label_or(x, "null").alias("label"), number_or_zero(y).alias("y"))
     measure = value("y") if value else F.count(F.lit(1)).cast("double")
     return cells.groupBy("label").agg(measure.alias("value"))

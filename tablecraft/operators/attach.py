@@ -13,20 +13,19 @@ from tablecraft.session import materialise
 
 # A group table of at most this estimated size is broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
-# A key with more rows than one task should handle, and how many such keys are treated apart.
+# A key with more rows than one task should handle.
 HOT_ROWS = 5_000_000
-HOT_KEYS = 200_000
 SALTS = 1024
 
 
 def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
     """The keys with more than ``HOT_ROWS`` rows, or None when there is none.
 
-    Rows are counted per key on the map side first. At most ``HOT_KEYS`` keys are given,
-    the largest first, so the result is always small enough to broadcast.
+    Rows are counted per key on the map side first. There is at most one such key for every
+    ``HOT_ROWS`` rows.
     """
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > HOT_ROWS)
-    found = materialise(counted.orderBy(F.col("_rows").desc(), *keys).limit(HOT_KEYS).select(*keys))
+    found = materialise(counted.select(*keys))
     return None if found.isEmpty() else found
 
 
@@ -37,22 +36,26 @@ def attach(df: DataFrame, groups: DataFrame, keys: list[str], null_safe: bool =
     The group table is computed first and its size is known before the rows move. A small
     one is broadcast and the rows stay where they are. Otherwise rows and groups meet by
     key, except for hot keys: their rows take their values from a broadcast of just these
-    groups and, like rows with NULL keys that match nothing, are spread over salts.
+    groups, if these are measured small too, and, like rows with NULL keys that match
+    nothing, are spread over salts. Hot groups too wide to broadcast are left to the skew
+    join, which can split the row side of a left join.
     """
     values = [c for c in groups.columns if c not in keys]
-    size = Observation()
-    saved = materialise(groups.observe(size, estimated_bytes(groups).alias("bytes")))
-    if size.get.get("bytes", math.inf) <= broadcast_bytes:
+    saved, size = _measured(groups)
+    if size <= broadcast_bytes:
         return left_join(df, F.broadcast(saved), keys, null_safe).select(*_names(df), *values)
 
     whole = df if null_safe else df.dropna(subset=keys)
     largest = hot_keys(whole, keys)
+    if largest is not None:
+        hot, size = _measured(left_join(largest, saved, keys, null_safe))
+        largest = largest if size <= broadcast_bytes else None
     if largest is None and null_safe:
         return left_join(df, saved, keys, null_safe).select(*_names(df), *values)
 
     marked, alone = df.withColumn("_hot", F.lit(False)), F.lit(False)
     if largest is not None:
-        hot = left_join(largest, saved, keys, null_safe).withColumn("_hot", F.lit(True))
+        hot = hot.withColumn("_hot", F.lit(True))
         hot = hot.select(*keys, "_hot", *[F.col(v).alias(f"_hot_{v}") for v in values])
         marked = left_join(df, F.broadcast(hot), keys, null_safe)
         alone = F.coalesce("_hot", F.lit(False))
@@ -81,10 +84,26 @@ def left_join(df: DataFrame, groups: DataFrame, keys: list[str], null_safe: bool
     return df.join(other, same, "left").drop(*[f"_g_{k}" for k in keys])
 
 
+def _measured(df: DataFrame) -> tuple[DataFrame, float]:
+    """The computed frame and its estimated bytes, counted while it is written."""
+    size = Observation()
+    saved = materialise(df.observe(size, estimated_bytes(df).alias("bytes")))
+    return saved, size.get.get("bytes", math.inf)
+
+
 def estimated_bytes(groups: DataFrame) -> Column:
-    """Rows times a fixed width, plus the text in string columns."""
-    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in groups.schema if isinstance(f.dataType, T.StringType)]
-    row = reduce(lambda a, b: a + b, texts, F.lit(16 * len(groups.columns)))
+    """Rows times a fixed width, plus the bytes in strings and binaries; nested values by eight times their JSON text.
+
+    JSON spends at least two bytes on a list element, so nested values are never taken for smaller than they are.
+    """
+    lengths = []
+    for f in groups.schema:
+        value = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            lengths.append(F.octet_length(value))
+        elif isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType, T.VariantType)):
+            lengths.append(8 * F.octet_length(F.to_json(F.struct(value.alias("v")))))
+    row = reduce(lambda a, b: a + b, [F.coalesce(n, F.lit(0)).cast("bigint") for n in lengths], F.lit(16 * len(groups.columns)).cast("bigint"))
     return F.coalesce(F.sum(row.cast("bigint")), F.lit(0).cast("bigint"))
 
 

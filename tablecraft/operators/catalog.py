@@ -5,7 +5,7 @@ A catalog row describes one version of one column of one table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecraft.functions import fixed_values as fixed
@@ -19,27 +19,40 @@ def drop_system(cols: DataFrame, prefix: str = fixed.SYSTEM_PREFIX) -> DataFrame
     return cols.filter(~F.col("table_name").startswith(prefix) & ~F.col("original_column_name").startswith(prefix))
 
 
-def catalog_diff(catalog: DataFrame, current: DataFrame) -> DataFrame:
+def catalog_diff(catalog: DataFrame, current: DataFrame, whole_rows: bool = False) -> DataFrame:
     """New catalog rows that bring ``catalog`` up to the ``current`` columns.
 
+    Where both sides name a pipeline, tables are compared within it, and ``pipeline`` is the first
+    column. ``whole_rows`` gives all columns of ``catalog``, ready to append: those ``current`` does not
+    give, such as the labels, are carried over from the last version.
+
     A new column gets version 1; a changed type or a column that came back gets the next
     version; a column that vanished from a table still present gets the next version as
     deleted; an unchanged column gives no row.
     """
-    old = latest_by(catalog, COLUMN_KEY, "column_version").select(
-        *COLUMN_KEY, F.col("data_type").alias("_type"), F.col("column_version").alias("_version"),
-        (F.col("is_deleted") == 1).alias("_gone"))
-    new = current.select(*COLUMN_KEY, F.col("data_type").alias("_now"), F.lit(True).alias("_here"))
-    loaded = current.select("table_name").distinct()
-    known = old.join(loaded, "table_name", "left_semi")
-    both = known.join(new, COLUMN_KEY, "full")
+    owner = ["pipeline"] if "pipeline" in catalog.columns and "pipeline" in current.columns else []
+    key = [*owner, *COLUMN_KEY]
+    old = latest_by(catalog, key, "column_version").select(
+        *key, F.col("data_type").alias("_type"), F.col("column_version").alias("_version"),
+        (F.col("is_deleted") == 1).alias("_gone"), F.struct(*catalog.columns).alias("_old"))
+    new = current.select(*key, F.col("data_type").alias("_now"), F.lit(True).alias("_here"), F.struct(*current.columns).alias("_new"))
+    known = old.join(current, [*owner, "table_name"], "left_semi")
+    both = known.join(new, key, "full")
     is_new = F.col("_version").isNull()
     changed = F.col("_here") & ((F.col("_type") != F.col("_now")) | F.col("_gone"))
     vanished = F.col("_here").isNull() & ~F.col("_gone")
-    return both.filter(is_new | changed | vanished).select(
-        *COLUMN_KEY, F.coalesce("_now", "_type").alias("data_type"),
-        F.when(is_new, F.lit(1)).otherwise(F.col("_version") + 1).cast("int").alias("column_version"),
-        F.when(vanished, 1).otherwise(0).alias("is_deleted"))
+    made = {"data_type": F.coalesce("_now", "_type"),
+            "column_version": F.when(is_new, F.lit(1)).otherwise(F.col("_version") + 1).cast("int"),
+            "is_deleted": F.when(vanished, 1).otherwise(0)}
+    rows = both.filter(is_new | changed | vanished)
+    if not whole_rows:
+        return rows.select(*key, *[c.alias(n) for n, c in made.items()])
+
+    def carried(name: str) -> Column:
+        sides = [F.col(f"_new.`{name}`")] * (name in current.columns) + [F.col(f"_old.`{name}`")]
+        return made.get(name, F.col(name) if name in key else F.coalesce(*sides)).cast(catalog.schema[name].dataType)
+
+    return rows.select(*[carried(c).alias(c) for c in catalog.columns])
 
 
 def tag_columns(cols: DataFrame, rules: list[tuple[str, str, float]] | None = None) -> DataFrame:

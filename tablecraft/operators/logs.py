@@ -34,8 +34,13 @@ def _seconds(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(1e6)
 
 
+def _until(as_of: str | None) -> Column:
+    """Nothing later than a given ``as_of`` takes part."""
+    return F.col("timestamp") <= _now(as_of) if as_of else F.lit(True)
+
+
 def _since(days: int, as_of: str | None) -> Column:
-    return F.col("timestamp") >= _now(as_of) - F.make_dt_interval(F.lit(days))
+    return (F.col("timestamp") >= _now(as_of) - F.make_dt_interval(F.lit(days))) & _until(as_of)
 
 
 def _user_logs(logs: DataFrame, ns: str) -> DataFrame:
@@ -88,7 +93,7 @@ def filter_logs(logs: DataFrame, filters: dict | None = None, as_of: str | None
     out = logs
     for field, value in (filters or {}).items():
         if field == "days_back":
-            out = out.filter(F.col("timestamp") >= F.date_sub(F.to_date(_now(as_of)), int(value)).cast("timestamp"))
+            out = out.filter(F.col("timestamp") >= F.date_sub(F.to_date(_now(as_of)), int(value)).cast("timestamp")).filter(_until(as_of))
         else:
             column = "log_level" if field == "level" else field
             if value != fixed.ALL_LABELS.get(column):
@@ -148,7 +153,7 @@ def timeline(logs: DataFrame, execution_id: str | None = None) -> DataFrame:
 
 def volume_histogram(logs: DataFrame, width_seconds: int = 300, hours: int = 6, as_of: str | None = None) -> DataFrame:
     """Log rows per time bucket and level over the last ``hours``."""
-    recent = logs.filter(F.col("timestamp") > _now(as_of) - F.make_dt_interval(hours=F.lit(hours)))
+    recent = logs.filter((F.col("timestamp") > _now(as_of) - F.make_dt_interval(hours=F.lit(hours))) & _until(as_of))
     bucket = time_bucket("timestamp", width_seconds)
     return (recent.groupBy(bucket.alias("_w"), "log_level").agg(F.count(F.lit(1)).alias("log_count"))
             .select(F.col("_w.start").alias("time_window"), "log_level", "log_count")

@@ -32,19 +32,19 @@ def summary_and_list(summary: DataFrame, listing: DataFrame, order_by: list[Colu
 
 
 def range_slice(df: DataFrame, field: str | None, lo=None, hi=None, fields: list[str] | None = None) -> DataFrame:
-    """Rows whose date lies in [lo, hi]; without a field, all rows.
+    """Rows whose date lies in [lo, hi]; a bound of None is open; without a field, all rows.
 
     Written as a half-open range on the column itself, so that it reaches the scan as a
     pushed filter; a timestamp of day ``hi`` is still inside.
     """
     out = df
     if field is not None:
-        after = F.date_add(F.to_date(F.lit(str(hi))), 1)
         kind = df.schema[field].dataType.simpleString()
-        first = F.to_date(F.lit(str(lo)))
-        if kind.startswith("timestamp"):
-            first, after = first.cast(kind), after.cast(kind)
-        out = df.filter((F.col(field) >= first) & (F.col(field) < after))
+        kind = kind if kind.startswith("timestamp") else "date"
+        if lo is not None:
+            out = out.filter(F.col(field) >= F.to_date(F.lit(str(lo))).cast(kind))
+        if hi is not None:
+            out = out.filter(F.col(field) < F.date_add(F.to_date(F.lit(str(hi))), 1).cast(kind))
     return out.select(*fields) if fields else out
 
 

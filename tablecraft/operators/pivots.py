@@ -89,7 +89,9 @@ def pivot_measure(mode: str) -> Column:
         "count": F.col("count").cast("double"),
         "max": F.col("max"),
     }
-    return F.coalesce(measures.get(mode, F.lit(0.0)), F.lit(0.0))
+    if mode not in measures:
+        raise ValueError(f"unknown measure: {mode}")
+    return F.coalesce(measures[mode], F.lit(0.0))
 
 
 def pivot_wide(long: DataFrame, rows: list[str], mode: str = "sum", keys: list[str] | None = None,

@@ -36,10 +36,11 @@ def table_hierarchy(edges: DataFrame, tables: DataFrame, root: str, max_level: i
     A path starts with the module name, so the module's own tables, which have no parent,
     share one path and are not shown. Rows with equal paths continue alike: each level
     keeps one row per path before the next, and no level multiplies. Each level is
-    computed once and the next starts from it.
+    computed once and the next starts from it; the relations are scanned per level, which
+    keeps columnar reads, and the walk ends when nothing more is reached.
     """
     allowed = edges.filter(~starts_with_any(F.col("target_table"), fixed.TREE_STEP_EXCLUDES))
-    steps = materialise(allowed.select("source_table", "target_table"))
+    steps = allowed.select("source_table", "target_table")
     front = tables.filter(F.col("table_name").like(f"{root.lower()}_%")
                           & ~starts_with_any(F.col("table_name"), fixed.TREE_ROOT_EXCLUDES)).select(
         F.col("table_name"), F.lit(root.upper()).alias("path"))
@@ -54,6 +55,8 @@ def table_hierarchy(edges: DataFrame, tables: DataFrame, root: str, max_level: i
         front = reached.groupBy("level", "table_name", "path").agg(F.min(shown).alias("parent_table"))
         front = materialise(front.select("level", "parent_table", "table_name", "path"))
         found = front if found is None else found.unionByName(front)
+        if front.isEmpty():
+            break
     return found.filter(~_hidden("table_name") & F.col("parent_table").isNotNull())
 
 

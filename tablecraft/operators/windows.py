@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablecraft.operators.attach import attach, hot_keys, left_join
+from tablecraft.operators.attach import attach, hot_keys
 
 
 def first_per(df: DataFrame, keys: list[str], order_by: list[Column]) -> DataFrame:
@@ -57,7 +58,7 @@ def step_lag(df: DataFrame, ts: str, by: list[str], ties: list[str], alias: str
     if large is None:
         previous = df.withColumn("_prev", F.lag(ts).over(Window.partitionBy(*by).orderBy(ts, *ties)))
     else:
-        marked = left_join(df, F.broadcast(large.withColumn("_large", F.lit(True))), by, True)
+        marked = attach(df, large.withColumn("_large", F.lit(True)), by)
         sliced = marked.withColumn("_slice", F.when(F.col("_large"), F.date_trunc(slice_unit, ts)))
         ends = (sliced.filter("_large").groupBy(*by, "_slice").agg(F.max(ts).alias("_end"))
                 .withColumn("_before", F.lag("_end").over(Window.partitionBy(*by).orderBy("_slice"))).drop("_end"))
@@ -72,7 +73,8 @@ def page_rows(df: DataFrame, order_by: list[str], offset: int, size: int, shallo
 
     A page near the start is a top-k. For a deep page the key range that holds it is
     narrowed first, about 60-fold per pass, until a top-k over that range is cheap. Only
-    cut points and counts reach the driver; the range reaches the scan as a filter.
+    cut points and counts reach the driver; the range of a single key reaches the scan as a
+    filter. NULL keys come first, as in a sort, at any depth.
     """
     if not order_by:
         raise ValueError("pagination needs an order key")
@@ -90,11 +92,14 @@ def page_rows(df: DataFrame, order_by: list[str], offset: int, size: int, shallo
 
 def _narrow(df: DataFrame, order_by: list[str], offset: int, size: int) -> tuple[DataFrame, int, int]:
     """The slices of ``df`` that hold the page, the rows to skip in them, and their row count."""
+    # A struct is never NULL and compares its NULL fields as lowest.
     key = F.struct(*order_by) if len(order_by) > 1 else F.col(order_by[0])
     keys = df.select(key.alias("k"))
-    sample = keys.orderBy(F.xxhash64("k"), "k").limit(1024)
-    bounds = sorted(r["k"] for r in sample.collect())[::16]
-    located = keys.select(_slice_number(F.col("k"), bounds, 0, len(bounds)).alias("slice"))
+    kind = keys.schema["k"].dataType
+    sample = keys.filter(F.col("k").isNotNull()).orderBy(F.xxhash64("k"), "k").limit(1024).orderBy("k")
+    bounds = [_literal(r["k"], kind) for r in sample.collect()[::16]]
+    inner = F.when(F.col("k").isNotNull(), _slice_number(F.col("k"), bounds, 0, len(bounds)))
+    located = keys.select(F.coalesce(inner, F.lit(0)).alias("slice"))
     counts = {r["slice"]: r["n"] for r in located.groupBy("slice").agg(F.count("*").alias("n")).collect()}
     before, seen, held, wanted = 0, 0, 0, []
     for number in range(len(bounds) + 1):
@@ -109,9 +114,9 @@ def _narrow(df: DataFrame, order_by: list[str], offset: int, size: int) -> tuple
     low, high = wanted[0], wanted[-1]
     part = df
     if low > 0:
-        part = part.filter(key >= _literal(bounds[low - 1]))
+        part = part.filter(key >= bounds[low - 1])
     if high < len(bounds):
-        part = part.filter(key < _literal(bounds[high]))
+        part = part.filter(key < bounds[high] if low > 0 else (key < bounds[high]) | key.isNull())
     return part, offset - before, held
 
 
@@ -120,11 +125,11 @@ def _slice_number(key: Column, bounds: list, low: int, high: int) -> Column:
     if low == high:
         return F.lit(low)
     mid = (low + high) // 2
-    return F.when(key < _literal(bounds[mid]), _slice_number(key, bounds, low, mid)).otherwise(
+    return F.when(key < bounds[mid], _slice_number(key, bounds, low, mid)).otherwise(
         _slice_number(key, bounds, mid + 1, high))
 
 
-def _literal(value) -> Column:
-    if isinstance(value, tuple) and hasattr(value, "asDict"):
-        return F.struct(*[F.lit(v).alias(k) for k, v in value.asDict().items()])
-    return F.lit(value)
+def _literal(value, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind)])
+    return F.lit(value).cast(kind)

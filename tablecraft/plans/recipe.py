@@ -7,6 +7,7 @@ only, then filters, de-duplication and drops in list order.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -128,13 +129,17 @@ def preview_recipe(df: DataFrame, steps: list, at: int, order_by: list[str] | No
 
     An aggregate shows its groups (20 rows), a CaseSet the rows its condition matches, a
     Split or Calculate the rows with a result (5 rows each), de-duplication and filters 20
-    rows, a drop 2 rows.
+    rows, a drop 2 rows. Aggregates whose names the step, or a column step before it, uses are
+    there as in the run, where aggregates come first.
     """
     step = steps[at]
     if isinstance(step, Aggregate):
         same = [s.agg for s in steps if isinstance(s, Aggregate) and s.field == step.field]
         return _few(aggregate_by(df, step.field, same), [step.field] if order_by else None, 20)
-    before = apply_recipe(df, [s for s in steps[:at] if hasattr(s, "columns")])
+    earlier = [s for s in steps[:at] if hasattr(s, "columns")]
+    used = " ".join(map(repr, [*earlier, step]))
+    aggregates = [s for s in steps if isinstance(s, Aggregate) and re.search(rf"\b{re.escape(s.agg.alias)}\b", used)]
+    before = apply_recipe(df, [*aggregates, *earlier])
     if isinstance(step, CaseSet):
         return _few(before.filter(F.expr(step.cond)).withColumns(step.columns()), order_by, 5)
     if isinstance(step, Split):

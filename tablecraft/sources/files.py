@@ -31,18 +31,19 @@ def format_options(fmt: str, schema: T.StructType | str | None = None) -> dict:
 
 
 def read_files(spark: SparkSession, base: str, pattern: str, fmt: str, schema: T.StructType | str | None = None,
-               ignore_corrupt: bool = False, anonymous: bool = False, **options) -> DataFrame:
+               ignore_corrupt: bool = False, anonymous: bool = False, partitioned: bool = False, **options) -> DataFrame:
     """All files below ``base`` whose name matches ``pattern`` with ``*`` before the extension.
 
     ``fmt`` is csv, parquet, jsonl (one record per line) or json (one document per file).
     ``base`` may be a local folder, hdfs or s3a. A given schema saves the inference pass
     and is needed with ``ignore_corrupt``, which skips unreadable files. ``anonymous``
-    reads a public bucket without credentials.
+    reads a public bucket without credentials. ``partitioned`` says that the folders below
+    ``base`` are named ``<column>=<value>``: the columns are kept, and filters on them skip folders.
     """
     if ignore_corrupt and schema is None:
         raise ValueError("ignore_corrupt needs a schema: inference would read the bad file")
     reader = spark.read.format(FORMATS[fmt]).options(
-        pathGlobFilter=file_glob(pattern), recursiveFileLookup=True, ignoreCorruptFiles=ignore_corrupt,
+        pathGlobFilter=file_glob(pattern), recursiveFileLookup=not partitioned, ignoreCorruptFiles=ignore_corrupt,
         **format_options(fmt, schema), **(S3_ANONYMOUS if anonymous else {}), **options)
     if schema is not None:
         reader = reader.schema(schema)

@@ -10,10 +10,23 @@ from tablecraft.sources.files import FORMATS, format_options
 
 
 def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
-    """A query over named DataFrames; ``df.columns`` is its field list."""
-    for name, df in (tables or {}).items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql)
+    """A query over named DataFrames; ``df.columns`` is its field list.
+
+    The names stand for the frames in this query only; temporary views of these names are
+    as they were afterwards.
+    """
+    named = tables or {}
+    before = {name: spark.table(name) for name in named
+              if any(t.isTemporary and t.name == name.lower() for t in spark.catalog.listTables(pattern=name))}
+    try:
+        for name, df in named.items():
+            df.createOrReplaceTempView(name)
+        return spark.sql(sql)
+    finally:
+        for name in named:
+            spark.catalog.dropTempView(name)
+        for name, df in before.items():
+            df.createOrReplaceTempView(name)
 
 
 def sql_over_files(spark: SparkSession, sql: str, files: dict[str, tuple[str, str]]) -> DataFrame:
