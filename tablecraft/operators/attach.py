@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tablecraft.session import materialise
 
-# A group table of at most this estimated size is broadcast.
+# A group table, or the hot groups of a larger one, of at most this estimated size is broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
 # A key with more rows than one task should handle.
 HOT_ROWS = 5_000_000
@@ -49,7 +49,7 @@ def attach(df: DataFrame, groups: DataFrame, keys: list[str], null_safe: bool =
     largest = hot_keys(whole, keys)
     if largest is not None:
         hot, size = _measured(left_join(largest, saved, keys, null_safe))
-        largest = largest if size <= broadcast_bytes else None
+        largest = largest if size <= BROADCAST_BYTES else None
     if largest is None and null_safe:
         return left_join(df, saved, keys, null_safe).select(*_names(df), *values)
 

@@ -49,9 +49,11 @@ def test_list_aggregates_are_measured(spark, limit):
 
 
 @pytest.mark.parametrize("hot_rows", [10, 10**9])
-@pytest.mark.parametrize("limit", [0, 200, 1 << 30])
-def test_hot_keys_at_both_sides_of_the_switch(spark, monkeypatch, hot_rows, limit):
+@pytest.mark.parametrize("hot_bytes", [0, 1 << 30])
+def test_hot_keys_at_both_sides_of_the_switch(spark, monkeypatch, hot_rows, hot_bytes):
     monkeypatch.setattr(attaching, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(attaching, "BROADCAST_BYTES", hot_bytes)
+    limit = 0
     df = spark.range(300).selectExpr("nullif(if(id % 3 = 0, 1, id), 5) as k", "id")
     groups = df.groupBy("k").agg(F.count("*").alias("n"))
     got = {(r["k"], r["n"]) for r in attaching.attach(df, groups, ["k"], broadcast_bytes=limit).collect()}
