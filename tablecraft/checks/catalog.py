@@ -202,6 +202,23 @@ def c10_endpoints(spark, sf):
     return ct.endpoints(run_metadata(spark, sf), "other")
 
 
+@check("c10_endpoint_types", f"""WITH {META_SQL}
+    SELECT pipeline, json_object('sourceType', source_type, 'destType', dest_type, 'pipeline', pipeline, 'sourceSecretName', NULL,
+           'destSecretName', dest_secret_name, 'destinationConfig', NULL, 'referencedSecrets', NULL, 'datasetName', dataset_name)::VARCHAR AS types_json
+    FROM meta WHERE namespace = 'ns'""")
+def c10_types(spark, sf):
+    return ct.endpoint_types(run_metadata(spark, sf), "ns")
+
+
+@check("a15_by_namespace", f"""{WITH},
+    tables AS (SELECT pipeline, table_name, '[' || string_agg('{{"name":"' || column_name || '","type":"' || data_type || '"}}', ',' ORDER BY column_name) || ']' AS cols
+               FROM catalog WHERE size > 25 GROUP BY 1, 2)
+    SELECT pipeline, '{{' || string_agg('"' || table_name || '":' || cols, ',' ORDER BY table_name) || '}}' AS tables_json FROM tables GROUP BY 1""")
+def a15_namespace(spark, sf):
+    catalog = column_catalog(spark, sf).withColumn("namespace", F.when(F.col("size") > 25, "big_ns").otherwise("ns"))
+    return ag.tables_by_source(catalog, namespace="big-ns")
+
+
 @check("c11_add_missing", f"""WITH {META_SQL}
     SELECT *, CAST(NULL AS VARCHAR) AS source_config, CAST(NULL AS VARCHAR) AS short_query FROM meta""")
 def c11(spark, sf):

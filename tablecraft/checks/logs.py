@@ -34,6 +34,13 @@ def l1(spark, sf):
     return out.select(ts_text("timestamp").alias("ts"), "namespace", "pipeline_id", "execution_id", "log_level", "message", "extra_data")
 
 
+@check("l1_carry_errors", f"""{WITH}
+    SELECT id, CASE WHEN log_level = 'INFO' AND timestamp > failed_at THEN 'ERROR' ELSE log_level END AS log_level
+    FROM (SELECT *, min(CASE WHEN log_level = 'ERROR' THEN timestamp END) OVER (PARTITION BY namespace, pipeline_id, execution_id) AS failed_at FROM logs)""")
+def l1_errors(spark, sf):
+    return lg.carry_errors(run_logs(spark, sf)).select("id", "log_level")
+
+
 @check("l0_stored_logs", f"""{WITH}
     SELECT id, execution_id, log_level FROM logs WHERE timestamp >= {NOW}::DATE - 7""")
 def l0(spark, sf):

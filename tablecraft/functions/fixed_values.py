@@ -30,6 +30,19 @@ WARNING_PREFIX = "RUNTIME_WARNING:"
 ERROR_PREFIXES = ["RUNTIME_ERROR:", "ERROR:"]
 DROPPED_LEVEL_WORDS = ["DEBUG: ", "WARNING: "]
 
+# Lines by which a run speaks to its runner; they are no log lines.
+CONTROL_LINES = ["RUN_SUCCESSFULLY"]
+CONTROL_PREFIXES = ["SHORT_QUERY=__e2e_short_query_:", "DATA=__dlt__destination__datasetname__:"]
+NOISE = "import pkg_resources"
+
+# Keys of the list of source and destination types, with their columns.
+ENDPOINT_KEYS = {
+    "sourceType": "source_type", "destType": "dest_type", "pipeline": "pipeline",
+    "sourceSecretName": "source_secret_name", "destSecretName": "dest_secret_name",
+    "destinationConfig": "destination_config", "referencedSecrets": "referenced_secrets",
+    "datasetName": "dataset_name",
+}
+
 # Ids of non-user log sources, no-op filter labels, and completion marks.
 INTERNAL_LOG_IDS = ["system", "flask_server"]
 ALL_LABELS = {

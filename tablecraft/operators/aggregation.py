@@ -118,8 +118,13 @@ def columns_by_table(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy("table_name").agg(F.to_json(cols).alias("columns_json"))
 
 
-def tables_by_source(catalog: DataFrame, key: str = "pipeline") -> DataFrame:
-    """Per source, its tables as a JSON object of table name -> list of {name, type}."""
+def tables_by_source(catalog: DataFrame, key: str = "pipeline", namespace: str | None = None) -> DataFrame:
+    """Per source (of a namespace), its tables as a JSON object of table name -> list of {name, type}.
+
+    A row per source; an object of all sources would put a whole namespace into one cell.
+    """
+    if namespace is not None:
+        catalog = catalog.filter(F.col("namespace") == namespace.replace("-", "_"))
     cols = F.sort_array(F.collect_list(F.struct(F.col("column_name").alias("name"), F.col("data_type").alias("type"))))
     tables = catalog.groupBy(key, "table_name").agg(cols.alias("cols"))
     entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct("table_name", "cols"))))

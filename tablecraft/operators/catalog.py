@@ -149,6 +149,16 @@ def endpoints(meta: DataFrame, ns: str) -> DataFrame:
             .agg(F.to_json(F.sort_array(F.collect_list(entry))).alias("endpoints_json")))
 
 
+def endpoint_types(meta: DataFrame, ns: str) -> DataFrame:
+    """Source and destination types of a namespace: a JSON object per metadata row, absent columns as null.
+
+    One row each instead of one list, which would put a whole namespace into a cell.
+    """
+    whole = add_missing(meta.filter(F.col("namespace") == ns), dict.fromkeys(fixed.ENDPOINT_KEYS.values(), "string"))
+    entry = F.struct(*[F.col(c).alias(k) for k, c in fixed.ENDPOINT_KEYS.items()])
+    return whole.select("pipeline", F.to_json(entry, {"ignoreNullFields": "false"}).alias("types_json"))
+
+
 def add_missing(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Columns that are not there yet are added as NULL of the given type."""
     return df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns})

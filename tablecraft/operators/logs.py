@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tablecraft.functions import fixed_values as fixed
 from tablecraft.functions.aggs import latest_value
 from tablecraft.functions.scalars import normalised_id, starts_with_any
+from tablecraft.operators.attach import attach
 from tablecraft.operators.windows import any_in_group, step_lag
 from tablecraft.session import materialise
 
@@ -66,9 +67,11 @@ def parse_log_lines(lines: DataFrame) -> DataFrame:
     """(line, logger_name, ts) to log rows.
 
     A prefix sets the level, ``text |+| json`` splits into message and extra data, and a
-    logger name ``pipeline.<namespace...>.<pipeline>.<execution>`` gives the ids.
+    logger name ``pipeline.<namespace...>.<pipeline>.<execution>`` gives the ids. Blank lines
+    and lines meant for the runner are left out. ``carry_errors`` adds the error state of runs.
     """
     line = F.trim("line")
+    control = line.isin(fixed.CONTROL_LINES) | starts_with_any(line, fixed.CONTROL_PREFIXES) | line.contains(fixed.NOISE)
     level = (F.when(line.startswith(fixed.WARNING_PREFIX), "WARNING")
              .when(starts_with_any(line, fixed.ERROR_PREFIXES), "ERROR").otherwise("INFO"))
     prefix = "|".join(re.escape(p) for p in [fixed.WARNING_PREFIX, *fixed.ERROR_PREFIXES])
@@ -79,7 +82,7 @@ def parse_log_lines(lines: DataFrame) -> DataFrame:
 
     parts = F.split("logger_name", r"\.")
     known = (F.size(parts) >= 4) & (F.get(parts, F.lit(0)) == "pipeline")
-    rows = lines.select(
+    rows = lines.filter(~control).select(
         F.col("ts").alias("timestamp"), "logger_name", level.alias("log_level"),
         F.trim(F.get(pieces, F.lit(0))).alias("message"), F.get(pieces, F.lit(1)).alias("extra_data"),
         F.when(known, F.array_join(F.slice(parts, F.lit(2), F.size(parts) - 3), ".")).otherwise("global").alias("namespace"),
@@ -88,6 +91,20 @@ def parse_log_lines(lines: DataFrame) -> DataFrame:
     return rows.filter(F.col("message") != "")
 
 
+def carry_errors(logs: DataFrame) -> DataFrame:
+    """Log rows of whole runs: after a run's first error its INFO rows are errors too; warnings stay.
+
+    Rows of the very time of that error keep their level, and so do rows outside of runs. The
+    first error is a minimum, combined before the shuffle and attached to the rows, so a run
+    of any size is spread over many tasks.
+    """
+    run = ["namespace", "pipeline_id", "execution_id"]
+    failed = logs.filter((F.col("log_level") == "ERROR") & (F.col("execution_id") != "na"))
+    marked = attach(logs, failed.groupBy(*run).agg(F.min("timestamp").alias("_failed_at")), run)
+    later = (F.col("log_level") == "INFO") & (F.col("timestamp") > F.col("_failed_at"))
+    return marked.withColumn("log_level", F.when(later, "ERROR").otherwise(F.col("log_level"))).drop("_failed_at")
+
+
 def filter_logs(logs: DataFrame, filters: dict | None = None, as_of: str | None = None) -> DataFrame:
     """Filters by pipeline, execution, level and ``days_back``; an 'All ...' label does nothing."""
     out = logs

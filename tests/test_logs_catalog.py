@@ -23,6 +23,23 @@ def test_line_without_extra_and_short_logger_name(spark):
     assert got == {"plain text": ("global", "system", "na", "INFO", None), "bad": ("a.b", "load", "e1", "ERROR", '{"a": 1}')}
 
 
+def test_lines_for_the_runner_are_no_log_lines(spark):
+    texts = ["RUN_SUCCESSFULLY", "SHORT_QUERY=__e2e_short_query_:1", "DATA=__dlt__destination__datasetname__:d", "  import pkg_resources", "RUN_SUCCESSFULLY now", None]
+    lines = spark.createDataFrame([(t, "pipeline.n.p.e", None) for t in texts], "line string, logger_name string, ts timestamp")
+    assert [r["message"] for r in lg.parse_log_lines(lines).collect()] == ["RUN_SUCCESSFULLY now"]
+
+
+def test_errors_carry_on_within_their_run(spark):
+    data = [("2024-01-01 00:00:01", "p", "a", "INFO", "m", "x", "{}"), ("2024-01-01 00:00:02", "p", "a", "ERROR", "m", "x", "{}"),
+            ("2024-01-01 00:00:02", "p", "a", "INFO", "m", "x", "{}"), ("2024-01-01 00:00:03", "p", "a", "INFO", "m", "x", "{}"),
+            ("2024-01-01 00:00:04", "p", "a", "WARNING", "m", "x", "{}"), ("2024-01-01 00:00:05", "p", "b", "INFO", "m", "x", "{}"),
+            ("2024-01-01 00:00:01", "p", "na", "ERROR", "m", "x", "{}"), ("2024-01-01 00:00:05", "p", "na", "INFO", "m", "x", "{}"),
+            (None, "p", "a", "INFO", "m", "x", "{}"), ("2024-01-01 00:00:05", None, "c", "ERROR", "m", "x", "{}"),
+            ("2024-01-01 00:00:06", None, "c", "INFO", "m", "x", "{}")]
+    got = {r["id"]: r["log_level"] for r in lg.carry_errors(log_rows(spark, data)).collect()}
+    assert [got[i] for i in range(11)] == ["INFO", "ERROR", "INFO", "ERROR", "WARNING", "INFO", "ERROR", "INFO", "INFO", "ERROR", "ERROR"]
+
+
 def test_run_status_of_no_runs(spark):
     status = lg.run_status(log_rows(spark, [("2020-01-01 00:00:00", "p", "e", "INFO", "m", "x", "{}")]), "ns", "2024-01-31 00:00:00")
     found = status.collect()
