@@ -1,31 +1,37 @@
 """Scores of texts under a weighted backoff automaton learned from the whole collection.
 
-States are the last frequent word read (or the text's begin); a traversal from left to right carries the state along. An arc of
-a state holds the discounted probability of a frequent word after it; the failure arc, at the state's back-off weight, leads to the root. The
-root has an arc for each learned word and a failure arc into character states: contexts of up to four signs of the word, with interpolated
-Kneser-Ney weights. P(word) at the root is max(c - D, 0) / N + D * V / N * P(signs of the word). The text's end is read like a frequent word.
+States are the last word read (or the text's begin); a traversal from left to right carries the state along. An arc of a state holds
+the discounted probability of the word after it, for every pair that the training texts have at least ``MIN_PAIRS`` times; the failure arc,
+at the state's back-off weight, leads to the root. The root has an arc for each learned word and a failure arc into character states: contexts
+of up to four signs of the word, with interpolated Kneser-Ney weights over all words. P(word) at the root is
+max(c - D, 0) / N + D * V / N * P(signs of the word). The text's end is read like a word.
+
+Arcs of words and of signs are tables that grow with the input; a block of texts or words gets those that it asks for, and no more.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablecraft.llm.common import row_key, share, shared, written
-from tablecraft.llm.language_id import END, START, Model, fit_grams, word_scores
+from tablecraft.llm.common import row_key, written
+from tablecraft.llm.language_id import END, START, SYMBOLS
 
 ORDER = 5
-MAX_GRAMS = 200_000
-FREQUENT = 4096
-MAX_ARCS = 300_000
+MIN_PAIRS = 2
 PAIR_DISCOUNT = 0.5
 BLOCK_BYTES = 24 << 20
-FLUSH_WORDS = 500_000
+BLOCK_WORDS = 100_000
+FLUSH_GRAMS = 500_000
+SLICE_TEXTS = 1000
+BEGIN_STATE, END_WORD, NO_WORD = -1, -2, -3
+FLOOR = math.log(1e-3 / SYMBOLS)
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -33,118 +39,222 @@ def tokens(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-def _count(batches):
-    """(block, word, count in training texts) of the texts that pass by; also of words that only other texts have."""
-    counts: dict[int, Counter] = defaultdict(Counter)
+class _Places(dict):
+    """Numbers words in the order they come."""
 
-    def flush():
-        for block, own in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block, np.int64)), pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())],
-                                             ["_block", "_word", "_times"])
-        counts.clear()
+    def __missing__(self, word):
+        self[word] = place = len(self)
+        return place
 
-    for batch in batches:
-        for block, train, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            words = tokens(text)
-            if train:
-                counts[block].update(words)
-            else:
-                own = counts[block]
-                for word in set(words):
-                    own[word] += 0
-            if sum(map(len, counts.values())) > FLUSH_WORDS:
-                yield from flush()
-    yield from flush()
 
+def _encoder(kind: pa.DataType):
+    """Texts as places of their words in the word list of their block, then these lists with the counts in training texts."""
+    names = ["_block", "_id", "_train", "_codes", "_place", "_word", "_times"]
 
-def _grams(order: int):
     def rows(batches):
-        counts: Counter = Counter()
+        places: dict[int, _Places] = defaultdict(_Places)
+        counts: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(0, np.int64))
         for batch in batches:
-            for word in batch.column(0).to_pylist():
-                padded = START + word.decode("utf-8", "replace") + END
-                counts.update([padded[max(0, end - order):end] for end in range(2, len(padded) + 1)])
-            if len(counts) > FLUSH_WORDS:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["_gram", "_times"])
-                counts.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["_gram", "_times"])
+            out, training = [], defaultdict(list)
+            for block, train, text in zip(*[batch.column(c).to_pylist() for c in ("_block", "_train", "_text")], strict=True):
+                found = tokens(text)
+                codes = np.fromiter(map(places[block].__getitem__, found), np.int32, len(found))
+                out.append(codes.tobytes())
+                if train:
+                    training[block].append(codes)
+            for block, codes in training.items():
+                new = np.bincount(np.concatenate(codes), minlength=len(places[block]))
+                new[:len(counts[block])] += counts[block]
+                counts[block] = new
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("_block"), batch.column("_id"), batch.column("_train"), pa.array(out, pa.binary()),
+                                              pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names)
+        for block, place in places.items():
+            words, times = list(place), np.zeros(len(place), np.int64)
+            times[:len(counts[block])] = counts[block]
+            for at in range(0, len(words), 50_000):
+                n = len(words[at:at + 50_000])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, block, np.int64)), pa.nulls(n, kind), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()),
+                     pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(words[at:at + n], pa.binary()), pa.array(times[at:at + n])], names)
     return rows
 
 
-def sign_model(words: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> Model:
-    """Character states learned from all words (``_word``), each once.
+def padded(word: bytes) -> str:
+    return START + word.decode("utf-8", "replace") + END
+
+
+def longest_grams(signs: str, order: int = ORDER) -> list[str]:
+    """For each sign after the first, the sign with the up to ``order - 1`` before it."""
+    return [signs[max(0, end - order):end] for end in range(2, len(signs) + 1)]
 
-    All of them are counted; the automaton has arcs for the ``max_grams`` most frequent, the rest is reached by failure arcs.
+
+def _grams(batches):
+    counts: dict[str, int] = defaultdict(int)
+    names = ["_gram", "_times"]
+    for batch in batches:
+        for word in batch.column(0).to_pylist():
+            for gram in longest_grams(padded(word)):
+                counts[gram] += 1
+        if len(counts) > FLUSH_GRAMS:
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names)
+            counts.clear()
+    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names)
+
+
+def sign_arcs(words: DataFrame, order: int = ORDER) -> DataFrame:
+    """Arcs and back-off weights of all character states learned from all words (``_word``), each once: ``_gram``, ``_back``, ``_value``.
+
+    ``_value`` is the natural log of the probability of the gram's last sign after the others or, where ``_back``, of the back-off weight
+    of the gram as a context. Lower orders use continuation counts, except after the word's start, as ``language_id.fit`` does.
     """
-    grams = words.select("_word").mapInArrow(_grams(order), "_gram string, _times long")
-    grams = grams.groupBy("_gram").agg(F.sum("_times").alias("_times")).orderBy(F.col("_times").desc(), "_gram").limit(max_grams)
-    return fit_grams({"text": {g: t for g, t in grams.collect()}}, order)  # at most max_grams rows
+    grams = words.select("_word").mapInArrow(_grams, "_gram string, _times long")
+    grams = written(grams.groupBy("_gram").agg(F.sum("_times").alias("_times")), "grams")
+    of = lambda n: grams.filter(F.char_length("_gram") == n).select("_gram", F.col("_times").alias("_count"))
+    levels = {order: written(of(order), "grams-level")}
+    for n in range(order - 1, 0, -1):
+        left = levels[n + 1].select(F.substring("_gram", 2, n).alias("_gram"), F.lit(1).alias("_one"), F.lit(None).cast("long").alias("_own"))
+        own = of(n).select("_gram", F.lit(0).alias("_one"), F.col("_count").alias("_own"))
+        both = left.unionByName(own).groupBy("_gram").agg(F.coalesce(F.max("_own"), F.sum("_one")).alias("_count"))
+        levels[n] = written(both, "grams-level")
+    lower, arcs = None, []
+    for n in range(1, order + 1):
+        level = levels[n].withColumn("_context", F.substring("_gram", 1, n - 1))
+        once, twice = level.agg(F.sum((F.col("_count") == 1).cast("long")), F.sum((F.col("_count") == 2).cast("long"))).first()
+        discount = min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.9)
+        contexts = level.groupBy("_context").agg(F.sum("_count").alias("_total"), (F.lit(discount) * F.count(F.lit(1)) / F.sum("_count")).alias("_gamma"))
+        share = F.greatest(F.col("_count") - discount, F.lit(0.0)) / F.col("_total")
+        found = level.join(contexts, "_context")
+        if lower is None:
+            found = found.select("_gram", (share + F.col("_gamma") / SYMBOLS).alias("_p"))
+        else:
+            below = lower.select(F.col("_gram").alias("_suffix"), F.col("_p").alias("_below"))
+            found = found.withColumn("_suffix", F.substring("_gram", 2, n - 1)).join(below, "_suffix").select(
+                "_gram", (share + F.col("_gamma") * F.col("_below")).alias("_p"))
+            arcs.append(contexts.select(F.col("_context").alias("_gram"), F.lit(True).alias("_back"), F.log("_gamma").alias("_value")))
+        lower = written(found, "sign-arcs")
+        arcs.append(lower.select("_gram", F.lit(False).alias("_back"), F.log("_p").alias("_value")))
+    every = arcs[0]
+    for more in arcs[1:]:
+        every = every.unionByName(more)
+    return every
+
+
+def _asked_grams(batches):
+    """(word block, gram, whether as a context) of the words that pass by; learned words have all their longest grams."""
+    asked: dict[int, set] = defaultdict(set)
+
+    def flush():
+        for block, own in asked.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block, np.int64)), pa.array([g for g, _ in own], pa.string()),
+                                              pa.array([b for _, b in own], pa.bool_())], ["_part", "_gram", "_back"])
+        asked.clear()
 
+    for batch in batches:
+        for block, word, times in zip(*[batch.column(c).to_pylist() for c in ("_part", "_word", "_times")], strict=True):
+            signs, own = padded(word), asked[block]
+            if times:
+                own.update([(g, False) for g in longest_grams(signs)])
+            else:
+                for g in longest_grams(signs):
+                    own.update([(g[-n:], False) for n in range(1, len(g) + 1)])
+                    own.update([(g[-n:-1], True) for n in range(2, len(g) + 1)])
+        if sum(map(len, asked.values())) > FLUSH_GRAMS:
+            yield from flush()
+    yield from flush()
 
-def pairs_of(words: list[bytes], place: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """For each word and the end: the state it is read in, and its number (-1 if not frequent).
 
-    State and number of the end are the number of frequent words; the first state is one more.
+def sign_weight(signs: str, arcs: dict[str, float], backs: dict[str, float], learned: bool) -> float:
+    """Natural log of the probability of the signs after the first."""
+    grams = longest_grams(signs)
+    if learned:
+        return sum([arcs[g] for g in grams])
+    total = 0.0
+    for gram in grams:
+        value = arcs.get(gram[-1], FLOOR)
+        for n in range(2, len(gram) + 1):
+            value = arcs[gram[-n:]] if gram[-n:] in arcs else value + backs.get(gram[-n:-1], 0.0)
+        total += value
+    return total
+
+
+def spelled(words: DataFrame, known: int, total: int) -> DataFrame:
+    """``words`` with ``_signs``, the natural log of the probability of their signs; ``known`` of the ``total`` words are learned."""
+    if not known:
+        length = F.char_length(F.decode("_word", "UTF-8"))
+        return words.withColumn("_signs", (length + 1) * math.log(1e-6))
+    parts = max(1, math.ceil(total / BLOCK_WORDS))
+    rows = words.withColumn("_part", F.pmod(F.xxhash64("_word"), F.lit(parts)))
+    asked = rows.select("_part", "_word", "_times").mapInArrow(_asked_grams, "_part long, _gram string, _back boolean").distinct()
+    told = asked.join(sign_arcs(words.filter(F.col("_times") > 0)), ["_gram", "_back"])
+
+    def weigh(own: pa.Table, grams: pa.Table) -> pa.Table:
+        arcs, backs = {}, {}
+        for gram, back, value in zip(*[grams.column(c).to_pylist() for c in ("_gram", "_back", "_value")], strict=True):
+            (backs if back else arcs)[gram] = value
+        signs = [sign_weight(padded(w), arcs, backs, t > 0) for w, t in zip(own.column("_word").to_pylist(), own.column("_times").to_pylist(), strict=True)]
+        return own.select(["_number", "_word", "_times"]).append_column("_signs", pa.array(signs, pa.float64()))
+
+    return rows.groupBy("_part").cogroup(told.groupBy("_part")).applyInArrow(weigh, "_number long, _word binary, _times long, _signs double")
+
+
+def _joined(texts: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """States and words read in all texts one after another, as places (``size`` is the begin, one more the end), and each text's number of tokens."""
+    begin, end = np.array([size]), np.array([size + 1])
+    codes = [np.frombuffer(data, np.int32).astype(np.int64) for data in texts.column("_codes").to_pylist()]
+    states = [x for c in codes for x in (begin, c)]
+    words = [x for c in codes for x in (c, end)]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *states]), np.concatenate([none, *words]), np.array([len(c) + 1 for c in codes], np.int64)
+
+
+def _pairs(texts: pa.Table, own: pa.Table) -> pa.Table:
+    """Pairs of a state and a word that texts of the block have, with their counts in training texts; words as numbers of the whole."""
+    places = own.column("_place").to_numpy()
+    size = int(max(places.max(initial=-1), max((np.frombuffer(d, np.int32).max(initial=-1) for d in texts.column("_codes").to_pylist()), default=-1))) + 1
+    numbers = np.full(size + 2, NO_WORD, np.int64)
+    numbers[places] = own.column("_number").to_numpy()
+    numbers[size:] = BEGIN_STATE, END_WORD
+    seen, times, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while at < texts.num_rows:  # a few texts at a time, as the arrays of a whole block take much memory
+        part = texts.slice(at, SLICE_TEXTS)
+        states, words, lengths = _joined(part, size)
+        fit = (numbers[states] != NO_WORD) & (numbers[words] != NO_WORD)
+        train = np.repeat(np.array(part.column("_train").to_pylist(), bool), lengths)[fit]
+        keys, of = np.unique((states * (size + 2) + words)[fit], return_inverse=True)
+        seen.append(keys)
+        times.append(np.bincount(of, train, len(keys)).astype(np.int64))
+        at += SLICE_TEXTS
+    keys, of = np.unique(np.concatenate(seen), return_inverse=True)
+    seen, times = keys, np.bincount(of, np.concatenate(times), len(keys)).astype(np.int64)
+    block = texts.column("_block")[0].as_py() if texts.num_rows else 0
+    first, second = numbers[seen // (size + 2)], numbers[seen % (size + 2)]
+    order = np.lexsort((second, first))
+    return pa.table({"_block": np.full(len(seen), block, np.int64), "_state": first[order], "_next": second[order], "_times": times[order]})
+
+
+def learn_pairs(coded: DataFrame, told: DataFrame) -> DataFrame:
+    """The arcs that the texts of each block ask for: ``_block``, ``_state``, ``_next``, ``_all`` (the count in all training texts), ``_nth``
+    block that asks.
+
+    Both words of a pair that comes twice come twice, so only these words are numbered.
     """
-    size = len(place)
-    numbers = np.fromiter((place.get(w, -1) for w in words), np.int64, len(words))
-    numbers = np.append(numbers, size)
-    spots = np.where(numbers[:-1] >= 0, np.arange(1, len(numbers)), 0)
-    last = np.concatenate([[0], np.maximum.accumulate(spots)]) if len(spots) else np.zeros(1, np.int64)
-    return np.where(last > 0, numbers[last - 1], size + 1), numbers
-
-
-class Arcs:
-    """Arcs of the word states as a sorted array, and the states' back-off weights, in log10."""
-
-    def __init__(self, frequent: list[bytes], counts: dict[int, int], totals: np.ndarray, root: np.ndarray, kept: int):
-        self.frequent, self.width = frequent, len(frequent) + 2
-        keys = sorted(sorted((k for k, c in counts.items() if c > 1), key=lambda k: (-counts[k], k))[:kept])
-        self.keys = np.array(keys, np.int64)
-        state, word = self.keys // self.width, self.keys % self.width
-        share = (np.array([counts[k] for k in keys], np.float64) - PAIR_DISCOUNT) / totals[state] if keys else np.zeros(0)
-        used, back = np.bincount(state, share, self.width), np.bincount(state, root[word], self.width)
-        self.weights = np.log10(share)
-        self.backoff = np.log10(np.maximum(1 - used, 1e-9) / np.maximum(1 - back, 1e-9))
-
-    def read(self, states: np.ndarray, numbers: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """log10 weights of one traversal; ``root`` has the weights of the words at the root."""
-        if not len(self.keys):
-            return root
-        wanted = np.where(numbers >= 0, states * self.width + numbers, -1)
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        return np.where(self.keys[at] == wanted, self.weights[at], self.backoff[states] + root)
-
-
-def learn_arcs(docs: DataFrame, text: str, train: Column, words: DataFrame, ends: int, n: int, v: int, discount: float, frequent: int, kept: int) -> Arcs:
-    """Counts all pairs of a state and a frequent word in all training texts; the ``kept`` most frequent pairs become arcs."""
-    top = words.orderBy(F.col("_times").desc(), "_word").limit(frequent).collect()  # at most ``frequent`` rows
-    names = [bytes(r[0]) for r in top]
-    size = len(names)
-    sent = share(docs, {w: i for i, w in enumerate(names)})
-
-    def count(batches):
-        place = shared(sent)
-        width, counts = len(place) + 2, Counter()
-        for batch in batches:
-            found = [pairs_of(tokens(data), place) for data in batch.column(0).to_pylist()]
-            if found:
-                states, numbers = (np.concatenate(x) for x in zip(*found, strict=True))
-                keys, times = np.unique(states * width + np.where(numbers < 0, width - 1, numbers), return_counts=True)
-                counts.update(dict(zip(keys.tolist(), times.tolist(), strict=True)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["_pair", "_times"])
-
-    pairs = docs.filter(train).select(F.col(f"`{text}`").cast("binary").alias("_text")).mapInArrow(count, "_pair long, _times long")
-    pairs = written(pairs.groupBy("_pair").agg(F.sum("_times").alias("_times")), "pairs")
-    width = size + 2
-    totals = np.ones(width)
-    for state, times in pairs.groupBy(F.floor(F.col("_pair") / width).alias("_state")).agg(F.sum("_times")).collect():  # one row a state
-        totals[int(state)] = times
-    chosen = pairs.filter((F.col("_pair") % width != width - 1) & (F.col("_times") > 1)).orderBy(F.col("_times").desc(), "_pair").limit(kept)
-    root = np.zeros(width)
-    root[:size] = np.maximum(np.array([r[1] for r in top], np.float64) - discount, 0) / max(n, 1)
-    root[size] = max(ends - discount, 0) / max(n, 1)
-    return Arcs(names, {int(p): int(t) for p, t in chosen.collect()}, totals, root, kept)  # at most ``kept`` rows
+    texts = coded.filter(F.col("_codes").isNotNull()).select("_block", "_train", "_codes")
+    numbers = told.filter(F.col("_times") >= MIN_PAIRS).select("_block", "_place", "_number")
+    pairs = texts.groupBy("_block").cogroup(numbers.groupBy("_block")).applyInArrow(_pairs, "_block long, _state long, _next long, _times long")
+    same = Window.partitionBy("_state", "_next")
+    pairs = pairs.select("_block", "_state", "_next", F.sum("_times").over(same).alias("_all"), F.row_number().over(same.orderBy("_block")).alias("_nth"))
+    return written(pairs.filter(F.col("_all") >= MIN_PAIRS), "pairs")
+
+
+def state_sums(pairs: DataFrame, words: DataFrame, end_weight: float, n: int, v: int, discount: float) -> DataFrame:
+    """For each state with arcs what these take (``_used``, not yet divided by the state's count) and what the root gives to the same words (``_root``)."""
+    root = F.greatest(F.col("_times") - discount, F.lit(0.0)) / n + F.lit(discount * v / n) * F.exp("_signs")
+    roots = words.filter(F.col("_times") >= MIN_PAIRS).select(F.col("_number").alias("_next"), root.alias("_weight"))
+    once = pairs.filter(F.col("_nth") == 1)
+    ends = once.filter(F.col("_next") == END_WORD).withColumn("_weight", F.lit(end_weight)).select("_state", "_all", "_weight")
+    arcs = once.filter(F.col("_next") != END_WORD).join(roots, "_next").select("_state", "_all", "_weight").unionByName(ends)
+    return arcs.groupBy("_state").agg(F.sum(F.col("_all") - PAIR_DISCOUNT).alias("_used"), F.sum("_weight").alias("_root"))
 
 
 def score_texts(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -153,57 +263,78 @@ def score_texts(docs: DataFrame, held_out: Column, text: str = "text", doc_id: s
     The model learns from all rows where ``held_out`` is not true. Tokens are words and one end; a null text is empty and has the
     end alone. With nothing to learn from, base and score follow the formulas with all counts 0. Repeated rows count each.
 
-    Texts are dealt into blocks of about ``block_bytes`` by a hash; a block sends its distinct words once, and gets back the counts and
-    weights of just these, so neither a task nor the driver ever holds the vocabulary of the whole.
+    Texts are dealt into blocks of about ``block_bytes`` by a hash; a block sends its distinct words and pairs once, and gets back the counts
+    and weights of just these, so neither a task nor the driver ever holds the model of the whole.
     """
-    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`"))), F.count(F.lit(1)), F.sum(F.when(held_out, 0).otherwise(1))).first()
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`"))), F.sum(F.when(held_out, 0).otherwise(1))).first()
     blocks = max(1, math.ceil((size[0] or 0) / block_bytes))
     rows = docs.select(F.pmod(row_key(doc_id, text)[1], F.lit(blocks)).alias("_block"), (~F.coalesce(held_out, F.lit(False))).alias("_train"),
                        F.col(f"`{text}`").cast("binary").alias("_text"), F.col(f"`{doc_id}`").alias("_id"))
-    asked = rows.select("_block", "_train", "_text").repartition(blocks, "_block").mapInArrow(_count, "_block long, _word binary, _times long")
-    asked = written(asked, "asked")
+    kind = rows.schema["_id"].dataType.simpleString()
+    id_type = rows.select("_id").limit(0).toArrow().schema.field(0).type
+    coded = rows.repartition(blocks, "_block").mapInArrow(
+        _encoder(id_type), f"_block long, _id {kind}, _train boolean, _codes binary, _place int, _word binary, _times long")
+    coded = written(coded, "coded")
+    asked = coded.filter(F.col("_word").isNotNull()).select("_block", "_place", "_word", "_times")
     words = written(asked.groupBy("_word").agg(F.sum("_times").alias("_times")), "words")
-    known = words.filter(F.col("_times") > 0)
-    n, v, once, twice = known.agg(F.sum("_times"), F.count(F.lit(1)), F.sum((F.col("_times") == 1).cast("long")), F.sum((F.col("_times") == 2).cast("long"))).first()
-    ends = int(size[2] or 0)
-    n, v = int(n or 0) + ends, int(v or 0) + (ends > 0)
+    n, v, once, twice, total = words.agg(F.sum("_times"), F.sum((F.col("_times") > 0).cast("long")), F.sum((F.col("_times") == 1).cast("long")),
+                                         F.sum((F.col("_times") == 2).cast("long")), F.count(F.lit(1))).first()
+    known, ends = int(v or 0), int(size[1] or 0)
+    n, v = int(n or 0) + ends, known + (ends > 0)
     discount = (once or 0) / ((once or 0) + 2 * (twice or 0)) if once else 0.5
     discount = min(max(discount, 0.1), 0.9)
-    sent = share(docs, sign_model(known))
-    arcs = share(docs, learn_arcs(docs, text, ~F.coalesce(held_out, F.lit(False)), known, ends, n, v, discount, FREQUENT, MAX_ARCS))
-
-    def weigh(batches):
-        model = shared(sent)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 10_000):
-                part = batch.slice(at, 10_000)
-                own = [w.decode("utf-8", "replace") for w in part.column(0).to_pylist()]
-                signs = word_scores(model, own)[:, 0] if model.orders and len(model.orders[0].grams) else np.array([len(w) + 1 for w in own]) * math.log(1e-6)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(signs)], ["_word", "_times", "_signs"])
-
-    weighted = words.mapInArrow(weigh, "_word binary, _times long, _signs double")
-    told = asked.select("_block", "_word").distinct().join(weighted, "_word").select("_block", "_word", "_times", "_signs")
+    end_base = math.log10((ends + 1) / (n + v + 1))
+    end = float(word_weight(np.array([float(ends)]), np.array([-math.inf]), n, v, discount)[0]) if ends else end_base
+    # frequent words get small numbers, which take less room in the tables of pairs
+    numbered = written(words.orderBy(F.col("_times").desc(), "_word").withColumn("_number", F.monotonically_increasing_id()), "numbered")
+    weighted = written(spelled(numbered, known, total).select("_number", "_word", "_times", "_signs"), "weighted")
+    told = asked.select("_block", "_place", "_word").join(weighted, "_word").select("_block", "_place", "_number", "_times", "_signs")
+    told = written(told, "told")
+    pairs = learn_pairs(coded, told)
+    sums = written(state_sums(pairs, weighted, 10 ** end, max(n, 1), v, discount), "states")
+    start = sums.filter(F.col("_state") == BEGIN_STATE).first()  # one row
+    start_sums = (float(start["_used"]), float(start["_root"])) if start else (0.0, 0.0)
+    states = sums.withColumnRenamed("_state", "_number")
+    nothing = lambda kind: F.lit(None).cast(kind)
+    arcs = pairs.select("_block", nothing("int").alias("_place"), F.col("_state").alias("_number"), F.col("_all").alias("_times"), nothing("double").alias("_signs"),
+                        nothing("double").alias("_used"), nothing("double").alias("_root"), "_next")
+    model = told.join(states, "_number", "left").select("_block", "_place", "_number", "_times", "_signs", "_used", "_root", nothing("long").alias("_next")).unionByName(arcs)
 
     def score(texts: pa.Table, own: pa.Table) -> pa.Table:
-        times = own.column("_times").to_numpy().astype(np.float64)
-        weight = word_weight(times, own.column("_signs").to_numpy(), n, v, discount)
-        base = np.log10((times + 1) / (n + v + 1))
-        place = dict(zip(own.column("_word").to_pylist(), range(len(times)), strict=True))
-        end_base = math.log10((ends + 1) / (n + v + 1))
-        end = float(word_weight(np.array([float(ends)]), np.array([-math.inf]), n, v, discount)[0]) if ends else end_base
-        automaton = shared(arcs)
-        numbered = {w: i for i, w in enumerate(automaton.frequent)}
-        out = []
-        for data in texts.column("_text").to_pylist():
-            ids = np.fromiter(map(place.__getitem__, found := tokens(data)), np.int64, len(found))
-            states, numbers = pairs_of(found, numbered)
-            read = automaton.read(states, numbers, np.append(weight[ids], end))
-            out.append((len(ids) + 1, int((times[ids] > 0).sum()) + (ends > 0), float(base[ids].sum()) + end_base, float(read.sum())))
-        return pa.table({"_id": texts.column("_id"), "_train": texts.column("_train"), **{name: pa.array([o[i] for o in out], kind) for i, (name, kind) in enumerate(
-            [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])}})
-
-    kind = rows.schema["_id"].dataType.simpleString()
-    scored = rows.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(
+        is_word = pc.is_null(own.column("_next"))
+        listed, linked = own.filter(is_word), own.filter(pc.invert(is_word))
+        order = np.argsort(listed.column("_place").to_numpy())
+        column = lambda name: listed.column(name).to_numpy()[order]
+        size, number, times = len(order), column("_number"), column("_times").astype(np.float64)
+        weight = np.append(word_weight(times, column("_signs"), n, v, discount), [0.0, end])
+        base = np.append(np.log10((times + 1) / (n + v + 1)), [0.0, end_base])
+        count = np.append(times, [ends, 0])
+        used, root = (np.append(np.nan_to_num(column(name).astype(np.float64)), [start_sums[i], 0.0]) for i, name in enumerate(("_used", "_root")))
+        backoff = np.log10(np.maximum(1 - used / np.maximum(count, 1), 1e-9) / np.maximum(1 - root, 1e-9))
+        by_number = np.argsort(number)
+
+        def place(numbers):
+            at = by_number[np.minimum(np.searchsorted(number[by_number], numbers), size - 1)] if size else np.zeros(len(numbers), np.int64)
+            return np.where(numbers == BEGIN_STATE, size, np.where(numbers == END_WORD, size + 1, at))
+        first = place(linked.column("_number").to_numpy())
+        keys = first * (size + 2) + place(linked.column("_next").to_numpy())
+        share = np.log10((linked.column("_times").to_numpy() - PAIR_DISCOUNT) / np.maximum(count[first], 1))
+        sort = np.argsort(keys)
+        keys, share = keys[sort], share[sort]
+        states, read, lengths = _joined(texts, size)
+        value = backoff[states] + weight[read]
+        if len(keys):
+            wanted = states * (size + 2) + read
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            value = np.where(keys[at] == wanted, share[at], value)
+        starts = np.cumsum(lengths) - lengths
+        total = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0, x.dtype)
+        learned = np.append(times > 0, [False, ends > 0]).astype(np.int64)
+        return pa.table({"_id": texts.column("_id"), "_train": texts.column("_train"), "n_tokens": lengths, "n_known": total(learned[read]),
+                         "base_score": total(base[read]), "score": total(value)})
+
+    scored = coded.filter(F.col("_codes").isNotNull()).select("_block", "_id", "_train", "_codes")
+    scored = scored.groupBy("_block").cogroup(model.groupBy("_block")).applyInArrow(
         score, f"_id {kind}, _train boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("_id").alias(doc_id), (~F.col("_train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
                          "base_score", "score")

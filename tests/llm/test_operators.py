@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -186,6 +187,40 @@ def test_lm_is_better_on_held_out_texts(spark):
     assert got.agg(F.sum("score") - F.sum("base_score")).first()[0] > 0
 
 
+def test_lm_scoring_reads_all_arcs(spark):
+    vocabulary = [f"v{i}" for i in range(6000)]
+    rows = [(i, " ".join(vocabulary[j % 6000] for j in range(i * 300, i * 300 + 400))) for i in range(40)]
+    rows += [(100, "V5990 v5991 unseené v5991 ퟿"), (101, ""), (102, None), (103, "v1 v1 new v2 v3"), (103, "v1 v1 new v2 v3")]
+    held = {3, 39, 100, 101, 103}
+    got = lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id").isin(*held), block_bytes=20_000).collect()
+    words = {i: [w.lower() for w in WORD.findall(t or "")] for i, t in rows}
+    train = [words[i] for i, _ in rows if i not in held]
+    counts = Counter(w for t in train for w in t)
+    pairs = Counter(p for t in train for p in zip(["", *t], [*t, None]))
+    totals = counts | {"": len(train)}
+    n, v = sum(counts.values()) + len(train), len(counts) + 1
+    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+    discount = min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.9)
+    model = language_id.fit({"x": dict.fromkeys(counts, 1)})
+    spelled = {w: np.exp(language_id.word_scores(model, [w])[0, 0]) for w in {w for t in words.values() for w in t}}
+    root = {w: max(counts[w] - discount, 0) / n + discount * v / n * p for w, p in spelled.items()} | {None: (len(train) - discount) / n}
+    arcs: dict = {}
+    for (a, b), c in pairs.items():
+        if c >= 2:
+            arcs.setdefault(a, {})[b] = (c - 0.5) / totals[a]
+    assert len(arcs) > 4096
+    want = {}
+    for i, text in words.items():
+        want[i] = 0.0
+        for a, b in zip(["", *text], [*text, None]):
+            own = arcs.get(a, {})
+            back = (1 - sum(own.values())) / (1 - sum(root[x] for x in own))
+            want[i] += np.log10(own[b] if b in own else back * root[b])
+    assert len(got) == len(rows)
+    for r in got:
+        assert abs(r["score"] - want[r["doc_id"]]) < 1e-6 * max(1, abs(want[r["doc_id"]]))
+
+
 @pytest.mark.parametrize("text", ["</s>[INST] ok [/INST]", "<\\/s> <\\\\/s> [\\INST]", "<|turn|><|end|><|text|>", "", "\u00e9 \U0001f600 \\"])
 def test_escape(text):
     safe = chat_format.escape(text)
