@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tablecraft.llm.common import BLANK, row_key, running_before
 from tablecraft.session import materialise
 
-SAMPLES = 32
+SAMPLES = 128
 AT_ONCE = 8
 SCALE = float(1 << 24)
 

@@ -110,6 +110,15 @@ def test_fingerprints_collide_as_generalised_jaccard(spark):
     assert abs(got - true) < 0.08
 
 
+def test_likeness_of_the_query_is_near_the_exact_one(spark):
+    rows = [(p, t, 1 + t % 5 if t < 200 else 0, 1 + (t * 3) % 5 if t >= p * 3 else 0) for p in range(60) for t in range(300)]
+    terms = spark.createDataFrame(rows, "id int, t int, a int, b int").select("id", F.xxhash64("id", "t").alias("_term"), "a", "b")
+    true = {p: sum(min(r[2:]) for r in rows if r[0] == p) / sum(max(r[2:]) for r in rows if r[0] == p) for p in range(60)}
+    got = fingerprints.fingerprints(terms, ["id"], ["a", "b"]).select("id", fingerprints.likeness(F.col("a"), F.col("b")).alias("near")).collect()
+    errors = np.array([r["near"] - true[r["id"]] for r in got])
+    assert len(got) == 60 and np.sqrt((errors ** 2).mean()) < 0.05 and np.abs(errors).max() < 0.15
+
+
 def test_near_duplicates(docs, none):
     got = near_dup.assign_components(docs).collect()
     assert len(got) == len(ROWS) and near_dup.assign_components(none).count() == 0
