@@ -96,6 +96,8 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, text: str = "
     sources, then to the shards of a source (about ``shard_words`` words each, dealt by a hash of the id).
     A shard lays its rows out in seeded order as one line of words and takes its quota of blocks from the
     start, beginning again at the end, so any two runs agree. New columns replace those of the same names.
+    A shard takes whole blocks, at most ``max_repeat`` times its words: a source whose words times ``max_repeat`` are below one block takes
+    nothing, and one at its cap may fall short by up to about one block a shard; these blocks are not dealt to others.
     A null text has size 0 and takes nothing; null is a source; repeated rows count each; an empty table gives no rows.
     """
     new = ["size", "source_size", "target", "taken"]
