@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecraft.llm import chat_format, decontamination, fingerprints, language_id, line_dedup, lm_scoring, mixing, near_dup, substring_dedup, url_rules
+from tablecraft.llm import (chat_format, decontamination, embedding_dedup, fingerprints, hard_negatives, language_id, line_dedup, lm_scoring, mixing, near_dup,
+                            substring_dedup, url_rules, vector_codes)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,6 +131,78 @@ def op7_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return lm_scoring.score_texts(table(spark, sf, "documents").select("doc_id", "text"), F.coalesce(_fold(7), F.lit(False)))
 
 
+WHOLE_SQL = """SELECT vec_id, {label} AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+OP11_SQL = f"""
+WITH k AS ({WHOLE_SQL.format(label="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")} AND label IS NOT NULL),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS same,
+    CAST(list_inner_product(CAST(a.v AS DOUBLE[]), CAST(r.v AS DOUBLE[])) AS BIGINT) AS score
+    FROM k a JOIN k r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+n AS (SELECT s.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY s.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+    other_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s ON s.anchor_id = p.anchor_id WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT * FROM n WHERE rank <= 10
+"""
+
+
+@query("op11_hard_negatives", OP11_SQL)
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0, label)
+
+
+OP12_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS u, vec_id AS w FROM v UNION SELECT r.u, l.w FROM r JOIN l ON r.w = l.u),
+c AS (SELECT u, min(w) AS component FROM r GROUP BY u),
+n AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept
+FROM embeddings LEFT JOIN c ON vec_id = c.u LEFT JOIN n ON vec_id = n.u
+"""
+
+
+@query("op12_embedding_dedup", OP12_SQL)
+def op12_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf, "embeddings"))
+
+
+def _assigned_sql(books: str) -> str:
+    far = " + ".join(f"(q[{i}] - b[{i}]) * (q[{i}] - b[{i}])" for i in range(1, 5))
+    return f"SELECT vec_id, label, part, any_value(q) AS q, min(({far}) * 64 + entry) AS m FROM p JOIN {books} USING (part) GROUP BY vec_id, label, part"
+
+
+def _moved_sql(assigned: str, books: str) -> str:
+    means = ", ".join(f"CAST(floor(sum(q[{i}]) / count(*)) AS BIGINT)" for i in range(1, 5))
+    return f"""SELECT part, entry, coalesce(n.b, o.b) AS b FROM {books} o
+    LEFT JOIN (SELECT part, m % 64 AS entry, [{means}] AS b FROM {assigned} GROUP BY ALL) n USING (part, entry)"""
+
+
+OP13_SQL = f"""
+WITH k AS ({WHOLE_SQL.format(label="label")}),
+p AS (SELECT vec_id, label, part, list_slice(v, part * 4 + 1, part * 4 + 4) AS q FROM k, range(16) AS t(part)),
+b0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, q AS b FROM p QUALIFY entry < 64),
+a1 AS MATERIALIZED ({_assigned_sql("b0")}), b1 AS MATERIALIZED ({_moved_sql("a1", "b0")}),
+a2 AS MATERIALIZED ({_assigned_sql("b1")}), b2 AS MATERIALIZED ({_moved_sql("a2", "b1")}),
+a3 AS ({_assigned_sql("b2")}),
+c AS (SELECT vec_id, label, string_agg(format('{{:02x}}', m % 64), '' ORDER BY part) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM a3 GROUP BY ALL),
+s AS (SELECT sha256(string_agg(array_to_string(b, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c, s
+"""
+
+
+@query("op13_vector_codes", OP13_SQL)
+def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf, "embeddings"))
+    digest = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
