@@ -33,6 +33,34 @@ def k1(spark, sf):
     return loads.merge_load(spark, target, new, ["o_orderkey"], "2")
 
 
+@check("k1_small_batch", """
+    SELECT o_orderkey, CASE WHEN o_custkey = 1 THEN -o_totalprice ELSE o_totalprice END AS o_totalprice,
+           CASE WHEN o_custkey = 1 THEN '2' ELSE '1' END AS _load_id FROM orders""")
+def k1_small(spark, sf):
+    """The orders of one customer change in a table of many files."""
+    target, o = scratch_path(spark, "small-batch"), table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
+    loads.merge_load(spark, target, o.drop("o_custkey"), ["o_orderkey"], "1", file_bytes=1 << 20)
+    changed = o.filter("o_custkey = 1").select("o_orderkey", (-F.col("o_totalprice")).alias("o_totalprice"))
+    return loads.merge_load(spark, target, changed, ["o_orderkey"], "2", file_bytes=1 << 20)
+
+
+REPORT_SQL = f"""
+    WITH o AS (SELECT *, {NEW} AS new, {OLD} AS old FROM orders)
+    SELECT count_if(new) AS rows_in, count(DISTINCT CASE WHEN new THEN o_custkey END) AS rows_out,
+           count(DISTINCT CASE WHEN new THEN o_custkey END) - count_if(new) AS rows_changed,
+           (SELECT count(*) FROM (SELECT o_custkey FROM o WHERE old INTERSECT SELECT o_custkey FROM o WHERE new)) AS rows_replaced FROM o"""
+
+
+@check("k1_load_report", REPORT_SQL)
+def k1_report(spark, sf):
+    target, o = scratch_path(spark, "report"), table(spark, sf, "orders")
+    for load_id, part in (("1", OLD), ("2", NEW)):
+        loads.merge_load(spark, target, o.filter(part).select("o_custkey", "o_orderkey"), ["o_custkey"], load_id)
+    report = loads.load_report(spark, target)
+    return spark.createDataFrame([(report.rows_in, report.rows_out, report.rows_changed, report.rows_replaced)],
+                                 "rows_in bigint, rows_out bigint, rows_changed bigint, rows_replaced bigint")
+
+
 @check("k1_merge_load_duplicate_keys", """
     SELECT o_custkey, max(o_orderkey) AS o_orderkey, '1' AS _load_id FROM orders GROUP BY 1""")
 def k1_duplicates(spark, sf):

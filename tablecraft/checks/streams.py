@@ -13,11 +13,11 @@ from tablecraft.sources.payloads import decode_messages
 from tablecraft.streaming import streams
 
 
-def source_files(spark, df, name):
+def source_files(spark, df, name, **options):
     """Write ``df`` as the files of a stream and return the stream over them."""
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    return spark.readStream.schema(df.schema).options(**options).parquet(path)
 
 
 @check("r1_drain_messages", MESSAGES_SQL)
@@ -31,7 +31,9 @@ def r1(spark, sf):
 @check("r2_stream_merge", """
     SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")
 def r2(spark, sf):
-    stream = source_files(spark, table(spark, sf, "events").select("user_id", "event_id", "event_type"), "events")
+    # Eight files in two micro-batches; rows of a user are in all of them, in no order.
+    events = table(spark, sf, "events").select("user_id", "event_id", "event_type").repartition(8, F.xxhash64("event_id"))
+    stream = source_files(spark, events, "events", maxFilesPerTrigger=4)
     target = scratch_path(spark, "merged")
     streams.stream_merge(stream, target, ["user_id"], scratch_path(spark, "merge-checkpoint"), [F.col("event_id").desc()])
     return read_target(spark, target).drop("_load_id")

@@ -30,7 +30,7 @@ def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
 
 
 def attach(df: DataFrame, groups: DataFrame, keys: list[str], null_safe: bool = True,
-           broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+           broadcast_bytes: int = BROADCAST_BYTES, size: float | None = None) -> DataFrame:
     """Left join of ``groups``, which has one row per value of ``keys``.
 
     The group table is computed first and its size is known before the rows move. A small
@@ -38,17 +38,17 @@ def attach(df: DataFrame, groups: DataFrame, keys: list[str], null_safe: bool =
     key, except for hot keys: their rows take their values from a broadcast of just these
     groups, if these are measured small too, and, like rows with NULL keys that match
     nothing, are spread over salts. Hot groups too wide to broadcast are left to the skew
-    join, which can split the row side of a left join.
+    join, which can split the row side of a left join. ``size`` gives the bytes of a group table that was ``measured`` before.
     """
     values = [c for c in groups.columns if c not in keys]
-    saved, size = _measured(groups)
+    saved, size = measured(groups) if size is None else (groups, size)
     if size <= broadcast_bytes:
         return left_join(df, F.broadcast(saved), keys, null_safe).select(*_names(df), *values)
 
     whole = df if null_safe else df.dropna(subset=keys)
     largest = hot_keys(whole, keys)
     if largest is not None:
-        hot, size = _measured(left_join(largest, saved, keys, null_safe))
+        hot, size = measured(left_join(largest, saved, keys, null_safe))
         largest = largest if size <= BROADCAST_BYTES else None
     if largest is None and null_safe:
         return left_join(df, saved, keys, null_safe).select(*_names(df), *values)
@@ -84,7 +84,7 @@ def left_join(df: DataFrame, groups: DataFrame, keys: list[str], null_safe: bool
     return df.join(other, same, "left").drop(*[f"_g_{k}" for k in keys])
 
 
-def _measured(df: DataFrame) -> tuple[DataFrame, float]:
+def measured(df: DataFrame) -> tuple[DataFrame, float]:
     """The computed frame and its estimated bytes, counted while it is written."""
     size = Observation()
     saved = materialise(df.observe(size, estimated_bytes(df).alias("bytes")))

@@ -81,6 +81,13 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in system.listStatus(where)] if system.exists(where) else []
 
 
+def file_sizes(spark: SparkSession, path: str) -> dict[str, int]:
+    """Data files in a folder with their bytes; marks and hidden files are left out."""
+    where, system = _open_folder(spark, path)
+    found = system.listStatus(where) if system.exists(where) else []
+    return {s.getPath().getName(): s.getLen() for s in found if s.isFile() and s.getPath().getName()[0] not in "_."}
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     where, system = _open_folder(spark, path)
     stream = system.open(where)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecraft.operators.logs import parse_log_lines, time_bucket
-from tablecraft.sinks.loads import merge_load
+from tablecraft.sinks.loads import FILE_BYTES, merge_load
 
 LOG_LINE_SCHEMA = "line string, logger_name string, ts timestamp"
 
@@ -20,10 +20,13 @@ def drain(stream: DataFrame, sink: str, checkpoint: str, fmt: str = "parquet") -
 
 
 def stream_merge(stream: DataFrame, target: str, pk: list[str], checkpoint: str,
-                 order_by: list | None = None, buckets: int = 16) -> None:
-    """Merge each micro-batch by key. A replayed batch replaces its own rows, so it is harmless."""
+                 order_by: list | None = None, file_bytes: int = FILE_BYTES) -> None:
+    """Merge each micro-batch by key. A replayed batch replaces its own rows, so it is harmless.
+
+    With ``order_by`` the first row of a key stays whichever micro-batch brings it; without, the latest batch's row.
+    """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        merge_load(batch.sparkSession, target, batch, pk, f"batch-{batch_id}", order_by, buckets)
+        merge_load(batch.sparkSession, target, batch, pk, f"batch-{batch_id}", order_by, file_bytes, keep_better=bool(order_by))
 
     query = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())

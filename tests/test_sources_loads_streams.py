@@ -1,10 +1,12 @@
 """Sources, loads, streams and the embedded in-process database."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from tablecraft.operators.joins import ForeignKey, wide_table
-from tablecraft.session import scratch_path
+from tablecraft.session import list_names, scratch_path
 from tablecraft.sinks import export, loads
 from tablecraft.sources import databases, files, payloads
 from tablecraft.sources.counts import load_delta, with_counts
@@ -59,31 +61,66 @@ def test_embedded_database_round_trip(spark):
     assert "PushedFilters: [*IsNotNull(ID), *LessThan(ID,5)]" in plan
 
 
-def test_merge_rewrites_only_touched_buckets(spark):
-    target = scratch_path(spark, "buckets")
-    loads.merge_load(spark, target, spark.range(100).selectExpr("id", "'old' as v"), ["id"], "1", buckets=8)
-    before = loads.read_state(spark, target)
-    out = loads.merge_load(spark, target, spark.createDataFrame([(5, "new")], "id bigint, v string"), ["id"], "2")
-    after = loads.read_state(spark, target)
-    changed = [b for b in after.parts if after.parts[b] != before.parts.get(b)]
-    assert len(changed) == 1 and out.count() == 100
-    assert [tuple(r) for r in out.filter("id = 5").collect()] == [(5, "new", "2")]
+def test_merge_rewrites_only_files_with_replaced_keys(spark):
+    target = scratch_path(spark, "files")
+    rows = spark.range(100_000).selectExpr("id", "'old' as v", "uuid() as filler")
+    loads.merge_load(spark, target, rows, ["id"], "1", file_bytes=200_000)
+    before = loads.read_state(spark, target).files
+    assert len(before) > 16 and loads.load_report(spark, target) == loads.LoadReport(100_000, 100_000, 0, 0, 0, len(before))
+    # 100 near keys, of which 50 are new
+    batch = spark.range(40_000, 40_050).union(spark.range(200_000, 200_050)).selectExpr("id", "'new' as v")
+    out = loads.merge_load(spark, target, batch, ["id"], "2", file_bytes=200_000)
+    after, report = loads.read_state(spark, target).files, loads.load_report(spark, target)
+    gone = set(before) - set(after)
+    assert 1 <= len(gone) <= 2 and report.files_rewritten == len(gone) and (report.rows_in, report.rows_replaced) == (100, 50)
+    assert out.count() == 100_050 and out.filter("v = 'new'").count() == 100 and out.filter("v = 'old' and _load_id = '1'").count() == 99_950
+
+
+def test_merge_of_new_keys_rewrites_nothing(spark):
+    target = scratch_path(spark, "new")
+    loads.merge_load(spark, target, spark.range(1000).selectExpr("id", "'a' as v"), ["id"], "1")
+    before = loads.read_state(spark, target).files
+    out = loads.merge_load(spark, target, spark.range(5000, 5010).selectExpr("id", "'b' as v"), ["id"], "2")
+    assert set(before) < set(loads.read_state(spark, target).files) and out.count() == 1010
 
 
 @pytest.mark.parametrize("limit", [0, 10**9])
 def test_many_merges_keep_one_row_per_key(spark, monkeypatch, limit):
     monkeypatch.setattr(loads, "BROADCAST_BYTES", limit)
-    monkeypatch.setattr(loads, "COMPACT_EVERY", 3)
+    monkeypatch.setattr(loads, "SMALL_FILES", 3)
     target = scratch_path(spark, "many")
     for n in range(5):
-        out = loads.merge_load(spark, target, spark.range(n * 10, n * 10 + 30).selectExpr("id", f"{n} as n"), ["id"], str(n), buckets=3)
+        out = loads.merge_load(spark, target, spark.range(n * 10, n * 10 + 30).selectExpr("id", f"{n} as n"), ["id"], str(n), file_bytes=300)
     got = sorted((r["id"], r["n"]) for r in out.collect())
     assert got == [(i, min(i // 10, 4)) for i in range(70)]
 
 
+def test_small_files_are_joined_on_load(spark, monkeypatch):
+    monkeypatch.setattr(loads, "SMALL_FILES", 4)
+    monkeypatch.setattr(loads, "KEEP_VERSIONS", 4)
+    for pk in (None, ["id"]):
+        target = scratch_path(spark, "small")
+        for n in range(12):
+            out = loads.merge_load(spark, target, spark.range(n * 5, n * 5 + 5).coalesce(1), pk, str(n))
+        assert sorted(r["id"] for r in out.collect()) == list(range(60)) and len(loads.read_state(spark, target).files) <= 5
+        assert sorted({r["_load_id"] for r in out.collect()}, key=int) == [str(n) for n in range(12)]
+        # files of the first versions were deleted by the eighth load
+        assert not [n for n in list_names(spark, f"{target}/data") if n.startswith("v1-")]
+
+
+def test_the_better_row_stays(spark):
+    target, kind = scratch_path(spark, "better"), "k int, at int, v string"
+    best = [F.col("at").desc()]
+    loads.merge_load(spark, target, spark.createDataFrame([(1, 5, "a"), (2, 5, "b"), (None, 1, "n")], kind), ["k"], "1", best)
+    late = spark.createDataFrame([(1, 4, "older"), (1, 3, "oldest"), (2, 6, "newer"), (3, 0, "c"), (None, 0, "n")], kind)
+    out = loads.merge_load(spark, target, late, ["k"], "2", best, keep_better=True)
+    assert sorted(map(tuple, out.select("k", "at", "v").collect()), key=str) == sorted(
+        [(1, 5, "a"), (2, 6, "newer"), (3, 0, "c"), (None, 1, "n"), (None, 0, "n")], key=str)
+
+
 def test_merge_is_repeatable_and_survives_type_changes(spark):
     target = scratch_path(spark, "types")
-    loads.merge_load(spark, target, spark.createDataFrame([(1, 10), (2, 20)], "id int, v int"), ["id"], "1", buckets=4)
+    loads.merge_load(spark, target, spark.createDataFrame([(1, 10), (2, 20)], "id int, v int"), ["id"], "1")
     batch = spark.createDataFrame([(2, "x", True)], "id bigint, v string, w boolean")
     for _ in range(2):
         out = loads.merge_load(spark, target, batch, ["id"], "2")
@@ -93,12 +130,12 @@ def test_merge_is_repeatable_and_survives_type_changes(spark):
 def test_old_versions_can_be_dropped(spark):
     target = scratch_path(spark, "drop")
     for n in range(4):
-        loads.merge_load(spark, target, spark.range(n, n + 2).selectExpr("id", f"{n} as n"), ["id"], str(n), buckets=4)
+        loads.merge_load(spark, target, spark.range(n, n + 2).selectExpr("id", f"{n} as n"), ["id"], str(n))
     want = sorted(map(tuple, loads.read_target(spark, target).collect()))
     dropped = loads.drop_old_versions(spark, target, keep=1)
     assert dropped and loads.drop_old_versions(spark, target, keep=1) == []
     assert sorted(map(tuple, loads.read_target(spark, target).collect())) == want
-    spark.range(1).write.parquet(f"{target}/data/v9")
+    spark.range(1).write.parquet(f"{target}/data/v9-merged")
     assert loads.drop_old_versions(spark, target, keep=1) == []
 
 
@@ -122,7 +159,7 @@ def test_unfinished_load_is_invisible(spark):
     target = scratch_path(spark, "atomic")
     loads.merge_load(spark, target, spark.createDataFrame([(1, "a")], "id int, v string"), ["id"], "1")
     # Files of a load that never listed its version.
-    spark.createDataFrame([(1, "half", "2", 0)], "id int, v string, _load_id string, _bucket int").write.partitionBy("_bucket").parquet(f"{target}/data/v2")
+    spark.createDataFrame([(1, "half", "2")], "id int, v string, _load_id string").write.parquet(f"{target}/data/v2-merged")
     assert [r["v"] for r in loads.read_target(spark, target).collect()] == ["a"]
     out = loads.merge_load(spark, target, spark.createDataFrame([(1, "b")], "id int, v string"), ["id"], "2")
     assert [r["v"] for r in out.collect()] == ["b"]
@@ -195,3 +232,14 @@ def test_stream_merge_replay_is_harmless(spark):
     for _ in range(2):  # a fresh checkpoint replays all rows
         streams.stream_merge(stream, target, ["k"], scratch_path(spark, "marks"), [F.col("v").desc()])
     assert sorted((r["k"], r["v"]) for r in loads.read_target(spark, target).collect()) == [(0, 3), (1, 4), (2, 5)]
+
+
+def test_older_rows_of_later_micro_batches_lose(spark):
+    folder, target = scratch_path(spark, "in"), scratch_path(spark, "target")
+    for n, rows in enumerate([[(1, 7), (2, 1)], [(1, 5), (2, 2), (3, 0)], [(1, 6), (2, 0)]]):
+        spark.createDataFrame(rows, "k int, v int").coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.1)
+    stream = spark.readStream.schema("k int, v int").option("maxFilesPerTrigger", 1).parquet(folder)
+    streams.stream_merge(stream, target, ["k"], scratch_path(spark, "marks"), [F.col("v").desc()])
+    assert loads.read_state(spark, target).version == 3
+    assert sorted((r["k"], r["v"]) for r in loads.read_target(spark, target).collect()) == [(1, 7), (2, 2), (3, 0)]
