@@ -35,6 +35,14 @@ CONTROL_LINES = ["RUN_SUCCESSFULLY"]
 CONTROL_PREFIXES = ["SHORT_QUERY=__e2e_short_query_:", "DATA=__dlt__destination__datasetname__:"]
 NOISE = "import pkg_resources"
 
+# Lines that end a run, the first of them as a log line of its own, marks of step lines, and a warning of the database layer.
+FATAL_PREFIX = "ERROR:"
+END_LINES = ["RUN_SUCCESSFULLY"]
+END_PREFIXES = ["DATA=__dlt__destination__datasetname__:"]
+STEP_PREFIX = "dynamic-_cmp"
+STEP_SUFFIX = "Transformation"
+TABLE_WARNING = r"(?i:SAWarning): (?i:Table) ['\"](.+?)['\"] (?i:already)"
+
 # Keys of the list of source and destination types, with their columns.
 ENDPOINT_KEYS = {
     "sourceType": "source_type", "destType": "dest_type", "pipeline": "pipeline",

@@ -63,27 +63,48 @@ def stored_logs(spark: SparkSession, path: str, days: int | None = None, as_of:
     return logs.drop("log_date")
 
 
-def parse_log_lines(lines: DataFrame) -> DataFrame:
-    """(line, logger_name, ts) to log rows.
+def _starts(prefixes: list[str]) -> str:
+    return "^(?:" + "|".join(map(re.escape, prefixes)) + ")"
 
-    A prefix sets the level, ``text |+| json`` splits into message and extra data, and a
-    logger name ``pipeline.<namespace...>.<pipeline>.<execution>`` gives the ids. Blank lines
-    and lines meant for the runner are left out. ``carry_errors`` adds the error state of runs.
-    """
-    line = F.trim("line")
-    control = line.isin(fixed.CONTROL_LINES) | starts_with_any(line, fixed.CONTROL_PREFIXES) | line.contains(fixed.NOISE)
-    level = (F.when(line.startswith(fixed.WARNING_PREFIX), "WARNING")
-             .when(starts_with_any(line, fixed.ERROR_PREFIXES), "ERROR").otherwise("INFO"))
+
+# One pattern a kind, tried in this order; what fits none is info.
+LINE_KINDS = [
+    ("skip", f"^$|{re.escape(fixed.NOISE)}"),
+    ("end", f"{_starts(fixed.END_LINES)}$|{_starts(fixed.END_PREFIXES)}"),
+    ("skip", f"{_starts(fixed.CONTROL_LINES)}$|{_starts(fixed.CONTROL_PREFIXES)}"),
+    ("step", f"{_starts([fixed.STEP_PREFIX])}.*{re.escape(fixed.STEP_SUFFIX)}$"),
+    ("warning", f"{_starts([fixed.WARNING_PREFIX])}|{fixed.TABLE_WARNING}"),
+    ("fatal", _starts([fixed.FATAL_PREFIX])),
+    ("error", _starts(fixed.ERROR_PREFIXES)),
+]
+
+
+def line_kind(line: Column) -> Column:
+    """What a printed line is: skip (for the runner, or blank), end, step, warning, fatal, error or info."""
+    kind = F.when(line.isNull(), "skip")
+    for name, pattern in LINE_KINDS:
+        kind = kind.when(line.rlike(f"(?s){pattern}"), name)
+    return kind.otherwise("info")
+
+
+def in_run(logger_name: Column) -> Column:
+    """Whether a logger is named ``pipeline.<namespace...>.<pipeline>.<execution>``."""
+    parts = F.split(logger_name, r"\.")
+    return F.coalesce((F.size(parts) >= 4) & (F.get(parts, F.lit(0)) == "pipeline"), F.lit(False))
+
+
+def log_rows(lines: DataFrame) -> DataFrame:
+    """(line, logger_name, ts, ``_level``) to log rows: text and extra data apart, ids from the logger's name."""
     prefix = "|".join(re.escape(p) for p in [fixed.WARNING_PREFIX, *fixed.ERROR_PREFIXES])
-    text = F.regexp_replace(line, f"^(?:{prefix})", "")
+    text = F.regexp_replace(F.trim("line"), f"^(?:{prefix})", "")
     for word in [*fixed.DROPPED_LEVEL_WORDS, fixed.LOG_TAG]:
         text = F.replace(text, F.lit(word), F.lit(""))
     pieces = F.split(text, re.escape(fixed.LOG_SEPARATOR), 2)
 
     parts = F.split("logger_name", r"\.")
-    known = (F.size(parts) >= 4) & (F.get(parts, F.lit(0)) == "pipeline")
-    rows = lines.filter(~control).select(
-        F.col("ts").alias("timestamp"), "logger_name", level.alias("log_level"),
+    known = in_run(F.col("logger_name"))
+    rows = lines.select(
+        F.col("ts").alias("timestamp"), "logger_name", F.col("_level").alias("log_level"),
         F.trim(F.get(pieces, F.lit(0))).alias("message"), F.get(pieces, F.lit(1)).alias("extra_data"),
         F.when(known, F.array_join(F.slice(parts, F.lit(2), F.size(parts) - 3), ".")).otherwise("global").alias("namespace"),
         F.when(known, F.element_at(parts, -2)).otherwise("system").alias("pipeline_id"),
@@ -91,6 +112,43 @@ def parse_log_lines(lines: DataFrame) -> DataFrame:
     return rows.filter(F.col("message") != "")
 
 
+def line_level(kind: Column) -> Column:
+    """Level of a line by itself; null if it is no log line."""
+    return F.when(kind == "warning", "WARNING").when(kind.isin("error", "fatal"), "ERROR").when(kind == "info", "INFO")
+
+
+def parse_log_lines(lines: DataFrame) -> DataFrame:
+    """(line, logger_name, ts) to log rows, each line by itself.
+
+    A prefix sets the level, ``text |+| json`` splits into message and extra data, and a
+    logger name ``pipeline.<namespace...>.<pipeline>.<execution>`` gives the ids. Blank lines
+    and lines meant for the runner are left out. ``parse_run_lines`` follows the state of whole runs.
+    """
+    line = F.trim("line")
+    silent, warning, error = ("(?s)" + "|".join(p for kind, p in LINE_KINDS if kind in kinds) for kinds in (("skip", "end", "step"), ("warning",), ("fatal", "error")))
+    level = F.when(line.rlike(warning), "WARNING").when(line.rlike(error), "ERROR").otherwise("INFO")
+    return log_rows(lines.filter(~line.rlike(silent)).withColumn("_level", level))
+
+
+def parse_run_lines(lines: DataFrame) -> DataFrame:
+    """(line, logger_name, ts, line_number) of whole runs to log rows, with the state of their run.
+
+    Lines go by ``ts`` and ``line_number``. From a run's first error on every line is an error, steps too, but for
+    warnings. A run ends with a line that starts with ``ERROR:``, which still counts, or with one of its closing lines; what
+    comes later is left out. Lines outside of runs are read by themselves. Both positions are minima, combined before the shuffle and
+    attached to the rows, so a run of any size is spread over many tasks.
+    """
+    kind, place = F.col("_kind"), F.struct("ts", "line_number")
+    marked = lines.withColumn("_kind", line_kind(F.trim("line"))).filter(kind != "skip")
+    runs = marked.filter(in_run(F.col("logger_name")) & kind.isin("end", "fatal", "error")).groupBy("logger_name").agg(
+        F.min(F.when(kind.isin("end", "fatal"), place)).alias("_ended"), F.min(F.when(kind.isin("error", "fatal"), place)).alias("_failed"))
+    placed = attach(marked, runs, ["logger_name"])
+    within = F.col("_ended").isNull() | (place <= F.col("_ended"))
+    late = F.col("_failed").isNotNull() & (place > F.col("_failed")) & kind.isin("info", "step", "error", "fatal")
+    leveled = placed.filter(within & (kind != "end")).withColumn("_level", F.when(late, "ERROR").otherwise(line_level(kind)))
+    return log_rows(leveled.filter(F.col("_level").isNotNull()))
+
+
 def carry_errors(logs: DataFrame) -> DataFrame:
     """Log rows of whole runs: after a run's first error its INFO rows are errors too; warnings stay.
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecraft.operators.logs import parse_log_lines, time_bucket
+from tablecraft.operators.logs import in_run, line_kind, log_rows, parse_log_lines, time_bucket
 from tablecraft.sinks.loads import FILE_BYTES, merge_load
+from tablecraft.streaming.run_state import OUTPUT, RunState
 
 LOG_LINE_SCHEMA = "line string, logger_name string, ts timestamp"
+RUN_LINE_SCHEMA = "line string, logger_name string, ts timestamp, line_number long"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+KEYED_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def drain(stream: DataFrame, sink: str, checkpoint: str, fmt: str = "parquet") -> None:
@@ -39,6 +43,32 @@ def stream_logs(spark: SparkSession, folder: str, sink: str, checkpoint: str) ->
     drain(parse_log_lines(lines), sink, checkpoint)
 
 
+def run_lines(lines: DataFrame, keep_days: float = 7) -> DataFrame:
+    """A stream of (line, logger_name, ts, line_number) to log rows, as ``parse_run_lines`` gives them for whole runs.
+
+    A run's state outlives the micro-batch and is forgotten once the run has been silent for ``keep_days``. Within a micro-batch
+    lines go by ``ts`` and ``line_number``; micro-batches must come in order. A run's lines of one micro-batch meet in a
+    task, so its size is to be bounded at the source, as by ``maxFilesPerTrigger``. Needs the key-value state store, see ``stream_runs``.
+    """
+    known = in_run(F.col("logger_name"))
+    key = F.when(known, F.col("logger_name")).otherwise(F.concat(F.lit("no run "), F.pmod(F.xxhash64("line", "ts"), F.lit(64))))
+    marked = lines.select("line", "logger_name", "ts", "line_number", line_kind(F.trim("line")).alias("kind"), known.alias("in_run"),
+                          key.alias("key"), F.current_timestamp().alias("arrived")).filter(F.col("kind") != "skip")
+    state = RunState(int(keep_days * 86_400_000))
+    return log_rows(marked.withWatermark("arrived", "0 seconds").groupBy("key").transformWithState(state, OUTPUT, "Append", "EventTime"))
+
+
+def stream_runs(spark: SparkSession, folder: str, sink: str, checkpoint: str, keep_days: float = 7, files_per_trigger: int = 1000) -> None:
+    """Log rows of runs whose lines arrive as JSON files of (line, logger_name, ts, line_number), with the error state of each run."""
+    lines = spark.readStream.schema(RUN_LINE_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(folder)
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, KEYED_STORE)
+    try:
+        drain(run_lines(lines, keep_days), sink, checkpoint)
+    finally:
+        spark.conf.set(STATE_STORE, before)
+
+
 def stream_volume(stream: DataFrame, width_seconds: int = 300, delay: str = "10 minutes",
                   ts: str = "timestamp", level: str = "log_level") -> DataFrame:
     """Log rows per time bucket and level, kept up to date as rows arrive.

@@ -1,6 +1,7 @@
 """Log analytics, catalog and relation graph on literal frames."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from tablecraft.operators import catalog as ct
 from tablecraft.operators import logs as lg
 from tablecraft.operators import relations as rl
 from tablecraft.session import scratch_path
+from tablecraft.streaming import streams
 
 
 def log_rows(spark, data):
@@ -134,3 +136,53 @@ def test_hierarchy_blocks_technical_tables_and_cycles_end(spark):
 def test_business_edges_check_both_ends(spark):
     edges = spark.createDataFrame([("a", "b"), ("mail_x", "b"), ("a", "res_users_log"), ("res_partner", "b")], "source_table string, target_table string")
     assert sorted(tuple(r) for r in rl.business_edges(edges).collect()) == [("a", "b"), ("res_partner", "b")]
+
+
+RUN_LINES = [
+    ("a", 1, "start |+| {\"n\": 1}", "INFO"), ("a", 2, "dynamic-_cmp7 Transformation", None), ("a", 3, "RUNTIME_ERROR:bad", "ERROR"), ("a", 3, "same time", "ERROR"),
+    ("a", 4, "RUNTIME_WARNING:w", "WARNING"), ("a", 5, "sawarning: Table 'x' already there", "WARNING"), ("a", 6, "dynamic-_cmp8 Transformation", "ERROR"),
+    ("a", 7, "  import pkg_resources", None), ("a", 8, "SHORT_QUERY=__e2e_short_query_:1", None), ("a", 9, "more", "ERROR"), ("a", 10, "RUN_SUCCESSFULLY", None),
+    ("a", 11, "after the end", None), ("b", 1, "fine", "INFO"), ("b", 2, "ERROR:fatal", "ERROR"), ("b", 3, "RUNTIME_ERROR:late", None),
+    ("c", 1, "x", "INFO"), ("c", 2, "DATA=__dlt__destination__datasetname__:d", None), ("c", 3, "y", None), ("d", 1, "only", "INFO"), ("d", 1, "  ", None), ("d", 2, None, None)]
+
+
+def run_line_frame(spark, rows):
+    named = [(line, f"pipeline.n.p.{run}", f"2024-01-01 00:00:{second:02d}", i) for i, (run, second, line, _) in enumerate(rows)]
+    named += [("RUNTIME_ERROR:outside", "worker", "2024-01-01 00:00:01", 100 + len(named)), ("outside", "worker", "2024-01-01 00:00:02", 101 + len(named))]
+    frame = spark.createDataFrame(named, "line string, logger_name string, ts string, line_number long")
+    return frame.withColumn("ts", F.to_timestamp("ts"))
+
+
+def wanted_levels(rows):
+    strip = ("RUNTIME_ERROR:", "RUNTIME_WARNING:", "ERROR:")
+    message = lambda t: next((t[len(p):] for p in strip if t.startswith(p)), t).split(" |+| ")[0]
+    found = [(run, message(line), level) for run, _, line, level in rows if level]
+    return sorted(found + [("na", "outside", "ERROR"), ("na", "outside", "INFO")])
+
+
+def levels(df):
+    return sorted((r["execution_id"], r["message"], r["log_level"]) for r in df.collect())
+
+
+def test_run_lines_follow_the_state_of_their_run(spark):
+    assert levels(lg.parse_run_lines(run_line_frame(spark, RUN_LINES))) == wanted_levels(RUN_LINES)
+    assert lg.parse_run_lines(run_line_frame(spark, RUN_LINES).limit(0)).count() == 0
+
+
+def test_run_state_outlives_micro_batches(spark):
+    folder, sink = scratch_path(spark, "lines"), scratch_path(spark, "rows")
+    frame = run_line_frame(spark, RUN_LINES)
+    for part in ("line_number < 3", "line_number BETWEEN 3 AND 12", "line_number > 12"):
+        frame.filter(part).coalesce(1).write.mode("append").option("timestampFormat", "yyyy-MM-dd HH:mm:ss").json(folder)
+        streams.stream_runs(spark, folder, sink, f"{sink}-marks")
+    assert levels(spark.read.parquet(sink)) == wanted_levels(RUN_LINES)
+
+
+def test_silent_runs_are_forgotten(spark):
+    folder, sink = scratch_path(spark, "lines"), scratch_path(spark, "rows")
+    for n, text in enumerate(["RUNTIME_ERROR:e", "x", "y"]):  # the second batch moves the time on, the timer then drops the state
+        run_line_frame(spark, [("r" if n != 1 else "other", 1, text, "")]).coalesce(1).write.mode("append").option("timestampFormat", "yyyy-MM-dd HH:mm:ss").json(folder)
+        streams.stream_runs(spark, folder, sink, f"{sink}-marks", keep_days=1e-8)
+        time.sleep(0.1)
+    got = [r for r in levels(spark.read.parquet(sink)) if r[0] != "na"]
+    assert got == [("other", "x", "INFO"), ("r", "e", "ERROR"), ("r", "y", "INFO")]
