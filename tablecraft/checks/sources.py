@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tablecraft.checks.registry import check, table
 from tablecraft.operators.transforms import preview
+from tablecraft.plans.recipe import Casing, Dedup, Filter, apply_counted
 from tablecraft.session import scratch_path
 from tablecraft.sources import databases, files, payloads
 from tablecraft.sources.counts import load_delta, with_counts
@@ -131,6 +132,42 @@ def s8(spark, sf):
     return payloads.explode_payloads(both, EVENT_RECORD, "items", keep=("resource",))
 
 
+@check("s7_rejected_messages", """
+    SELECT event_id + 2000000000 AS _kafka_offset, 'not json ' || event_id AS value, 'no JSON' AS reason FROM events WHERE event_id % 100 = 1""")
+def s7_rejected(spark, sf):
+    return payloads.rejected_messages(messages(spark, sf), EVENT_RECORD).select("_kafka_offset", "value", "reason")
+
+
+BROKEN_PAGES = {1: "no JSON", 2: "nothing under items", 3: "no text", 4: "no records"}
+
+
+def broken_pages(spark, sf):
+    """Pages of events of which four in seven cannot be read, each for a reason of its own, and one in seven is empty."""
+    record = F.to_json(F.struct("event_id", "user_id", "event_type", "value"))
+    page = F.floor(F.col("event_id") / 25)
+    pages = table(spark, sf, "events").groupBy(page.alias("page")).agg(F.array_join(F.collect_list(record), ",").alias("rows"))
+    whole = F.concat(F.lit('{"items": ['), "rows", F.lit("]}"))
+    kind = F.col("page") % 7
+    payload = (F.when(kind == 1, F.concat(F.lit("<html>"), whole)).when(kind == 2, F.concat(F.lit('{"error": ['), "rows", F.lit("]}")))
+               .when(kind == 3, F.lit(None)).when(kind == 4, '{"items": 7}').when(kind == 5, '{"items": []}').otherwise(whole))
+    return pages.select("page", F.lit("events").alias("resource"), payload.alias("payload"))
+
+
+@check("s8_rejected_payloads", f"""
+    SELECT page, CASE page % 7 {" ".join(f"WHEN {k} THEN '{v}'" for k, v in BROKEN_PAGES.items())} END AS reason
+    FROM (SELECT DISTINCT event_id // 25 AS page FROM events) WHERE page % 7 BETWEEN 1 AND 4""")
+def s8_rejected(spark, sf):
+    return payloads.rejected_payloads(broken_pages(spark, sf), EVENT_RECORD, "items", keep=("page",)).select("page", "reason")
+
+
+@check("s8_page_report", """
+    SELECT 'events' AS resource, count(*) AS pages, count_if(page % 7 IN (0, 6)) AS read, count_if(page % 7 = 5) AS empty,
+           count_if(page % 7 BETWEEN 1 AND 4) AS rejected, sum(CASE WHEN page % 7 IN (0, 6) THEN n ELSE 0 END)::BIGINT AS records
+    FROM (SELECT event_id // 25 AS page, count(*) AS n FROM events GROUP BY 1)""")
+def s8_report(spark, sf):
+    return payloads.page_report(broken_pages(spark, sf), EVENT_RECORD, "items", by=("resource",))
+
+
 @check("s9_project_fields", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
 def s9(spark, sf):
     record = F.to_json(F.struct(F.concat(F.lit("rec"), "c_custkey").alias("id"), F.struct("c_custkey", "c_name", "c_mktsegment").alias("fields")))
@@ -189,6 +226,21 @@ def s14(spark, sf):
     return rows_out.select("o_orderkey", "o_totalprice")
 
 
+@check("s14_recipe_counts", """
+    WITH a AS (SELECT * FROM orders), b AS (SELECT * FROM a WHERE o_totalprice > 50000), c AS (SELECT DISTINCT o_custkey, o_orderpriority FROM b),
+    d AS (SELECT * FROM c WHERE o_orderpriority <> '5-LOW'),
+    n AS (SELECT (SELECT count(*) FROM a) AS a, (SELECT count(*) FROM b) AS b, (SELECT count(*) FROM c) AS c, (SELECT count(*) FROM d) AS d)
+    SELECT 1 AS pos, 'filter' AS step, a AS rows_in, b AS rows_out, b - a AS rows_changed FROM n UNION ALL SELECT 2, 'dedup', b, c, c - b FROM n
+    UNION ALL SELECT 3, 'filter', c, d, d - c FROM n UNION ALL SELECT 4, 'recipe', a, d, d - a FROM n""")
+def s14_recipe(spark, sf):
+    """Counts of a recipe of three row steps and one column step, taken while its result is written."""
+    steps = [Filter("o_totalprice > 50000"), Casing("o_orderstatus", "lower"), Dedup(("o_custkey", "o_orderpriority")), Filter("o_orderpriority <> '5-LOW'")]
+    out, counts = apply_counted(table(spark, sf, "orders"), steps)
+    out.write.parquet(scratch_path(spark, "counted-recipe"))
+    rows = [(i + 1, *r.values()) for i, r in enumerate(counts.report())]
+    return spark.createDataFrame(rows, "pos int, step string, rows_in bigint, rows_out bigint, rows_changed bigint")
+
+
 @check("s14_load_report", """
     SELECT count(*) AS rows_in, count_if(o_totalprice > 100000) AS rows_out, count_if(o_totalprice > 100000) - count(*) AS rows_changed
     FROM orders""")

@@ -59,3 +59,20 @@ def u1(spark, sf):
         return table(session, sf, "events").select("event_id", "user_id", "props").mapInPandas(parse, "event_id bigint, user_id bigint, k bigint")
 
     return us.from_source(spark, source, scratch_path(spark, "user-source"), ["event_id"], "u1")
+
+
+@check("u1_user_source_in_parts", "SELECT o_orderkey, o_custkey, upper(o_orderpriority) AS priority, 'u2' AS _load_id FROM orders")
+def u1_parts(spark, sf):
+    """Each part is a range of rows of a file; the user function reads it in a task."""
+    import pyarrow.parquet as pq
+    path = f"{sf}/orders.parquet"
+    count = table(spark, sf, "orders").count()
+
+    def read(part):
+        first, last = part
+        for row in pq.read_table(path, columns=["o_orderkey", "o_custkey", "o_orderpriority"]).slice(first, last - first).to_pylist():
+            yield {"o_orderkey": row["o_orderkey"], "o_custkey": row["o_custkey"], "priority": row["o_orderpriority"].upper()}
+
+    step = max(1, -(-count // 8))
+    parts = [(first, min(first + step, count)) for first in range(0, count, step)]
+    return us.from_parts(spark, read, parts, "o_orderkey bigint, o_custkey bigint, priority string", scratch_path(spark, "user-parts"), ["o_orderkey"], "u2")

@@ -242,10 +242,12 @@ def time_bucket(ts: str, width_seconds: int) -> Column:
 
 
 def health_pivot(logs: DataFrame, levels: list[str] | None = None) -> DataFrame:
-    """Rows per pipeline, one column per level."""
+    """Rows per pipeline, one column per level; levels that are not given are those of the log, which is read once."""
+    counts = logs.groupBy("pipeline_id", "log_level").agg(F.count(F.lit(1)).alias("_rows"))
     if levels is None:
-        levels = [r[0] for r in logs.select("log_level").distinct().orderBy("log_level").collect()]
-    return logs.groupBy("pipeline_id").agg(*[F.count_if(F.col("log_level") == v).alias(v) for v in levels])
+        counts = materialise(counts)
+        levels = [r[0] for r in counts.select("log_level").distinct().orderBy("log_level").collect() if r[0] is not None]
+    return counts.groupBy("pipeline_id").agg(*[F.coalesce(F.sum(F.when(F.col("log_level") == v, F.col("_rows"))), F.lit(0)).alias(v) for v in levels])
 
 
 def throughput(logs: DataFrame) -> DataFrame:

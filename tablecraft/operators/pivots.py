@@ -99,9 +99,11 @@ def pivot_wide(long: DataFrame, rows: list[str], mode: str = "sum", keys: list[s
     """One row per node in tree order, one column per column key in sorted order, TOTAL last.
 
     With several fields the columns are named ``<key>_<field>``. Keys and fields that are
-    not given are looked up in the grand total row, one value per shown column.
+    not given are looked up in the grand total row, one value per shown column; the cells are
+    written first, so that they are computed once.
     """
     if keys is None or fields is None:
+        long = materialise(long)
         shown = long.filter(F.col("level") == 0).select("col_key", "field").distinct().collect()
         keys = keys if keys is not None else {r["col_key"] for r in shown} - {TOTAL}
         fields = fields if fields is not None else {r["field"] for r in shown}
@@ -135,12 +137,13 @@ def pivot_heat(long: DataFrame, mode: str = "sum") -> DataFrame:
 
 def pivot_export(long: DataFrame, rows: list[str], path: str, mode: str = "sum",
                  keys: list[str] | None = None, fields: list[str] | None = None) -> DataFrame:
-    """Write all nodes as flat CSV in tree order, values rounded half up; returns what is written."""
+    """Write all nodes as flat CSV in tree order, values rounded half up; returns what is written, computed once."""
     wide = pivot_wide(long, rows, mode, keys, fields)
     labels = [F.when(F.col("level") == i + 1, F.col(r)) for i, r in enumerate(rows)]
     label = F.coalesce(*labels, F.lit("Grand Total"))
     values = [c for c in wide.columns if c not in ("level", *rows)]
     flat = wide.select(label.alias("Dimensions"), *[
         F.floor(F.col(f"`{c}`") + 0.5).alias("Grand Total" if c == TOTAL else c) for c in values])
+    flat = materialise(flat)
     flat.write.mode("overwrite").option("header", True).csv(path)
     return flat

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from tablecraft.functions import fixed_values as fixed
 from tablecraft.functions.scalars import starts_with_any
+from tablecraft.operators.attach import BROADCAST_BYTES, measured
 from tablecraft.session import materialise
 
+# Levels after which the paths of a table tree are written.
+CUT = 6
+
 
 def module_list(models: DataFrame, excludes: list[str] | None = None) -> DataFrame:
     """Business modules: the upper-case first part of the names of permanent base models."""
@@ -34,29 +38,30 @@ def table_hierarchy(edges: DataFrame, tables: DataFrame, root: str, max_level: i
     """Tables reached from a module's own tables along relations, one row per path.
 
     A path starts with the module name, so the module's own tables, which have no parent,
-    share one path and are not shown. Rows with equal paths continue alike: each level
-    keeps one row per path before the next, and no level multiplies. Each level is
-    computed once and the next starts from it; the relations are scanned per level, which
-    keeps columnar reads, and the walk ends when nothing more is reached.
+    share one path and are not shown. Rows with equal paths continue alike: they are made one right after the
+    first step, from where on paths differ, because each relation between two tables is taken
+    once. The relations are written once and broadcast if measured small, so the later steps move
+    no rows; every ``CUT`` levels the paths are written, and the walk ends when there are none.
     """
     allowed = edges.filter(~starts_with_any(F.col("target_table"), fixed.TREE_STEP_EXCLUDES))
-    steps = allowed.select("source_table", "target_table")
-    front = tables.filter(F.col("table_name").like(f"{root.lower()}_%")
-                          & ~starts_with_any(F.col("table_name"), fixed.TREE_ROOT_EXCLUDES)).select(
-        F.col("table_name"), F.lit(root.upper()).alias("path"))
-    found = None
-    for level in range(2, max_level + 1):
-        reached = (front.join(steps, front["table_name"] == steps["source_table"])
-                   .select(F.lit(level).alias("level"), F.col("source_table").alias("parent_table"),
-                           F.col("target_table").alias("table_name"),
-                           F.concat_ws(" -> ", "path", "target_table").alias("path")))
-        # Same path means same table; the lowest shown parent name stands for all of them.
-        shown = F.when(~_hidden("parent_table"), F.col("parent_table"))
-        front = reached.groupBy("level", "table_name", "path").agg(F.min(shown).alias("parent_table"))
-        front = materialise(front.select("level", "parent_table", "table_name", "path"))
-        found = front if found is None else found.unionByName(front)
-        if front.isEmpty():
-            break
+    steps, size = measured(allowed.select("source_table", "target_table").distinct())
+    steps = F.broadcast(steps) if size <= BROADCAST_BYTES else steps
+    own = tables.filter(F.col("table_name").like(f"{root.lower()}_%") & ~starts_with_any(F.col("table_name"), fixed.TREE_ROOT_EXCLUDES))
+    # Same path means same table; the lowest shown parent name stands for all of them.
+    shown = F.when(~_hidden("source_table"), F.col("source_table"))
+    first = own.select("table_name").join(steps, F.col("table_name") == F.col("source_table")).groupBy("target_table").agg(F.min(shown).alias("parent_table"))
+    front = materialise(first.select(F.lit(2).alias("level"), "parent_table", F.col("target_table").alias("table_name"),
+                                     F.concat_ws(" -> ", F.lit(root.upper()), "target_table").alias("path")))
+    found = front if max_level > 1 else front.limit(0)
+    for level in range(3, max_level + 1):
+        front = front.select("table_name", "path").join(steps, F.col("table_name") == F.col("source_table")).select(
+            F.lit(level).alias("level"), shown.alias("parent_table"), F.col("target_table").alias("table_name"),
+            F.concat_ws(" -> ", "path", "target_table").alias("path"))
+        if level % CUT == 0:
+            front = materialise(front)
+            if front.isEmpty():
+                break
+        found = found.unionByName(front)
     return found.filter(~_hidden("table_name") & F.col("parent_table").isNotNull())
 
 

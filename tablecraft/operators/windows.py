@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecraft.operators.attach import attach, hot_keys
+from tablecraft.operators.attach import attach
+from tablecraft.session import materialise
 
 
 def first_per(df: DataFrame, keys: list[str], order_by: list[Column]) -> DataFrame:
@@ -46,26 +51,62 @@ def min_max_scale(df: DataFrame, value: str, by: list[str], alias: str = "scaled
     return stats.withColumn(alias, scaled).drop("_lo", "_hi")
 
 
-def step_lag(df: DataFrame, ts: str, by: list[str], ties: list[str], alias: str = "step_seconds",
-             slice_unit: str = "minute") -> DataFrame:
+def step_lag(df: DataFrame, ts: str, by: list[str], ties: list[str], alias: str = "step_seconds") -> DataFrame:
     """Seconds since the previous row of the same group, in order of ``ts`` and ``ties``.
 
-    A group too large for one task is cut into time slices. The lag runs inside a slice;
-    the first row of a slice takes the last time of the group's previous slice, found
-    from one row per slice.
+    The rows are dealt out once, by ranges of group, time and ties, so a group of any size, even one
+    whose rows all have one time, spans as many tasks as it needs. Each task runs over its sorted rows; only a
+    first row lacks what came before its border, and takes it from the last row of the range before, one row a range.
     """
-    large = hot_keys(df, by)
-    if large is None:
-        previous = df.withColumn("_prev", F.lag(ts).over(Window.partitionBy(*by).orderBy(ts, *ties)))
-    else:
-        marked = attach(df, large.withColumn("_large", F.lit(True)), by)
-        sliced = marked.withColumn("_slice", F.when(F.col("_large"), F.date_trunc(slice_unit, ts)))
-        ends = (sliced.filter("_large").groupBy(*by, "_slice").agg(F.max(ts).alias("_end"))
-                .withColumn("_before", F.lag("_end").over(Window.partitionBy(*by).orderBy("_slice"))).drop("_end"))
-        inside = sliced.withColumn("_prev", F.lag(ts).over(Window.partitionBy(*by, "_slice").orderBy(ts, *ties)))
-        previous = attach(inside, ends, [*by, "_slice"]).withColumn("_prev", F.coalesce("_prev", "_before"))
-    micros = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_prev").cast("timestamp"))
-    return previous.select(*df.columns, (micros / F.lit(1e6)).alias(alias))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.withColumns({"_key": F.struct(*by) if by else F.lit(0), "_time": F.col(ts).cast("timestamp")})
+    placed = placed.repartitionByRange(tasks, *by, ts, *ties).sortWithinPartitions(*by, ts, *ties)
+    kind = T.StructType([*placed.schema, T.StructField("_prev", T.TimestampType()), T.StructField("_range", T.IntegerType()),
+                         T.StructField("_first", T.BooleanType()), T.StructField("_last", T.BooleanType())])
+    ranged = materialise(placed.mapInArrow(_previous_times, kind))
+    ends = ranged.filter("_last").select("_key", "_time", "_range")
+    ends = ends.select(F.col("_key").alias("_end_key"), F.col("_time").alias("_end"), F.lead("_range").over(Window.orderBy("_range")).alias("_into"))
+    same = F.col("_first") & (F.col("_range") == F.col("_into")) & F.col("_key").eqNullSafe(F.col("_end_key"))
+    joined = ranged.join(F.broadcast(ends), same, "left")  # a row for each range at most
+    micros = F.unix_micros("_time") - F.unix_micros(F.coalesce("_prev", "_end"))
+    return joined.select(*df.columns, (micros / F.lit(1e6)).alias(alias))
+
+
+def _previous_times(batches):
+    """Adds the time of the row before within a range, the range's number and marks of its first and last row."""
+    number, key, time, held = TaskContext.get().partitionId(), None, None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            yield _marked(held, number, last=False)
+        keys, times = batch.column("_key"), batch.column("_time")
+        same = np.append(key is not None and keys[0].as_py() == key[0], _equal_before(keys))
+        before = pa.concat_arrays([pa.array([time], times.type), times[:-1]])
+        prev = pc.if_else(pa.array(same), before, pa.scalar(None, times.type))
+        first = np.zeros(batch.num_rows, bool)
+        first[0] = key is None
+        held = batch, prev, first
+        key, time = (keys[-1].as_py(),), times[-1].as_py()
+    if held is not None:
+        yield _marked(held, number, last=True)
+
+
+def _equal_before(keys: pa.Array) -> np.ndarray:
+    """Whether each key after the first equals the one before it; nulls, and NaNs, are equal."""
+    equal = np.ones(max(0, len(keys) - 1), bool)
+    for column in keys.flatten() if pa.types.is_struct(keys.type) else [keys]:
+        codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        equal &= codes[1:] == codes[:-1]
+    return equal
+
+
+def _marked(held, number: int, last: bool) -> pa.RecordBatch:
+    batch, prev, first = held
+    ends = np.zeros(batch.num_rows, bool)
+    ends[-1] = last
+    columns = [prev, pa.array(np.full(batch.num_rows, number, np.int32)), pa.array(first), pa.array(ends)]
+    return pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "_prev", "_range", "_first", "_last"])
 
 
 def page_rows(df: DataFrame, order_by: list[str], offset: int, size: int, shallow: int = 10_000) -> DataFrame:

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tablecraft.functions import scalars
@@ -101,6 +102,38 @@ class Drop:
 
 def apply_recipe(df: DataFrame, steps: list) -> DataFrame:
     """All steps as one plan."""
+    return _applied(df, steps, lambda rows: rows)
+
+
+@dataclass
+class StepCounts:
+    """Rows before and after each step of a recipe that can change their number, counted while the result is computed.
+
+    To be read after an action on the recipe's result; nothing is computed for it.
+    """
+
+    steps: list
+    seen: list[Observation]
+
+    def report(self) -> list[dict]:
+        """Step, rows in, rows out and their difference of each such step, then of the recipe as a whole."""
+        rows = [o.get.get("rows", 0) for o in self.seen]
+        named = [(type(s).__name__.lower(), a, b) for s, a, b in zip(self.steps, rows, rows[1:])]
+        return [{"step": name, "rows_in": a, "rows_out": b, "rows_changed": b - a} for name, a, b in [*named, ("recipe", rows[0], rows[-1])]]
+
+
+def apply_counted(df: DataFrame, steps: list) -> tuple[DataFrame, StepCounts]:
+    """``apply_recipe`` and the counts of its steps."""
+    seen: list[Observation] = []
+
+    def observed(rows: DataFrame) -> DataFrame:
+        seen.append(Observation())
+        return rows.observe(seen[-1], F.count(F.lit(1)).alias("rows"))
+    out = _applied(df, steps, observed)
+    return out, StepCounts([s for s in steps if hasattr(s, "apply")], seen)
+
+
+def _applied(df: DataFrame, steps: list, observed: Callable[[DataFrame], DataFrame]) -> DataFrame:
     back: dict[str, list[Agg]] = {}
     for step in steps:
         if isinstance(step, Aggregate):
@@ -113,9 +146,10 @@ def apply_recipe(df: DataFrame, steps: list) -> DataFrame:
         raise ValueError(f"column set more than once: {', '.join(twice)}")
     if made:
         out = out.withColumns(dict(made))
+    out = observed(out)
     for step in steps:
         if hasattr(step, "apply"):
-            out = step.apply(out)
+            out = observed(step.apply(out))
     return out
 
 

@@ -131,7 +131,7 @@ def merge_load(spark: SparkSession, target: str, df: DataFrame, pk: list[str] |
             rows = dedup(old.join(keys, pk, "left_semi").select(*old.columns).unionByName(fresh), pk, order_by)
         rows = rows.unionByName(old.join(keys, pk, "left_anti").select(*old.columns))
     count = max(1, math.ceil((found.get("bytes", 0) + sum(state.files[f] for f in touched)) / file_bytes))
-    rows = rows.coalesce(1) if count == 1 else rows.repartitionByRange(count, *pk)
+    rows = rows.repartition(1) if count == 1 else rows.repartitionByRange(count, *pk)
     added = _write(spark, target, state, rows.sortWithinPartitions(*pk), "merged")
     files = {f: n for f, n in state.files.items() if f not in touched} | added
     rows_in, rows_out = seen.get.get("rows", 0), found.get("rows", 0)

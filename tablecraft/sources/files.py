@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.errors import AnalysisException
+import io
+import json
+from collections.abc import Callable
+from typing import BinaryIO
+from urllib.parse import unquote
+
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import csv, fs
+from pyspark.errors import AnalysisException, PySparkTypeError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from tablecraft.functions.fixed_values import STAGING_SUFFIX, SYSTEM_PREFIX
 
 FORMATS = {"csv": "csv", "jsonl": "json", "ndjson": "json", "json": "json", "parquet": "parquet"}
+# How much of a text file its schema is taken from.
+SAMPLE_BYTES = 1 << 20
 S3_ANONYMOUS = {"fs.s3a.aws.credentials.provider": "org.apache.hadoop.fs.s3a.AnonymousAWSCredentialsProvider"}
 
 
@@ -50,26 +61,94 @@ def read_files(spark: SparkSession, base: str, pattern: str, fmt: str, schema: T
     return reader.load(base)
 
 
-def file_schemas(spark: SparkSession, base: str, pattern: str, threads: int = 16) -> DataFrame:
-    """(file, position, column, type) of every matching file; one row of NULLs if unreadable.
+def file_schemas(spark: SparkSession, base: str, pattern: str, open_file: Callable[[str], BinaryIO] | None = None) -> DataFrame:
+    """(file, position, column, type) of every matching file; one row of NULLs if it is of no known kind or cannot be parsed.
 
-    Only names and schemas pass through the driver, a few short texts per file.
+    One job lists the files and reads them in tasks: of a Parquet file the footer, of CSV and JSON lines the first ``SAMPLE_BYTES``, of a
+    JSON document the whole. Types are those of that sample. ``open_file`` opens a path for reading at any place; by default
+    pyarrow's file systems do (local, HDFS, S3 and others by their own credentials). Errors other than of the format, such
+    as a lost connection, are raised. Files without a byte are not listed.
     """
-    listing = (spark.read.format("binaryFile")
-               .options(pathGlobFilter=pattern, recursiveFileLookup=True).load(base).select("path"))
-    paths = sorted(r["path"] for r in listing.collect())
+    listing = (spark.read.format("binaryFile").options(pathGlobFilter=pattern, recursiveFileLookup=True).load(base).select("path"))
+    opener = open_file or _open_anywhere
+
+    def describe(batches):
+        for batch in batches:
+            rows = [row for path in batch.column(0).to_pylist() for row in _file_columns(path, opener)]
+            names = ("file", "position", "column", "type")
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int32(), pa.string(), pa.string()))], list(names))
+
+    return listing.mapInArrow(describe, "file string, position int, column string, type string")
+
+
+def _open_anywhere(path: str) -> BinaryIO:
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_file(unquote("/" + rest.lstrip("/")))
+    system, inside = fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{rest}")
+    return system.open_input_file(inside)
+
 
-    def describe(path: str) -> list[tuple]:
-        fmt = path.rpartition(".")[2].lower()
+def _file_columns(path: str, open_file: Callable[[str], BinaryIO]) -> list[tuple]:
+    fmt = FORMATS.get(path.rpartition(".")[2].lower())
+    unknown = [(path, None, None, None)]
+    if fmt is None:
+        return unknown
+    with open_file(path) as file:
         try:
-            schema = spark.read.format(FORMATS[fmt]).options(**format_options(fmt)).load(path).schema
-            return [(path, i, f.name, f.dataType.simpleString()) for i, f in enumerate(schema)]
-        except Exception:  # any unreadable or unknown file is reported, not raised
-            return [(path, None, None, None)]
-
-    with ThreadPoolExecutor(threads) as pool:
-        rows = [row for found in pool.map(describe, paths) for row in found]
-    return spark.createDataFrame(rows, "file string, position int, column string, type string")
+            if fmt == "parquet":
+                schema = pq.ParquetFile(file).schema_arrow
+            elif fmt == "csv":
+                schema = _narrowed(csv.read_csv(_first_lines(file)))
+            elif path.lower().endswith(".json"):
+                schema = _narrowed(_document_table(file.read()), by_name=True)
+            else:
+                schema = _narrowed(_document_table(_first_lines(file).read()), by_name=True)
+        except (pa.ArrowInvalid, UnicodeDecodeError, ValueError):
+            return unknown
+    return [(path, i, f.name, _type_name(f.type)) for i, f in enumerate(schema)]
+
+
+def _first_lines(file: BinaryIO) -> io.BytesIO:
+    """The whole lines of the first ``SAMPLE_BYTES``, or the first line if it is longer."""
+    data = file.read(SAMPLE_BYTES)
+    while data and b"\n" not in data and (more := file.read(SAMPLE_BYTES)):
+        data += more
+    end = data.rfind(b"\n")
+    return io.BytesIO(data if len(data) < SAMPLE_BYTES or end < 0 else data[:end + 1])
+
+
+def _document_table(data: bytes) -> pa.Table:
+    """Records of one JSON document (a list of them or one), or of JSON lines."""
+    try:
+        found = json.loads(data)
+        found = found if isinstance(found, list) else [found]
+    except ValueError:
+        found = [json.loads(line) for line in data.splitlines() if line.strip()]
+    if not all(isinstance(r, dict) for r in found):
+        raise ValueError("no records")
+    names = dict.fromkeys(n for r in found for n in r)
+    return pa.table({n: [r.get(n) for r in found] for n in names})
+
+
+def _narrowed(table: pa.Table, by_name: bool = False) -> pa.Schema:
+    """The schema with whole numbers of 32 bits as such, as the readers infer them from CSV; JSON columns come by name."""
+    fields = []
+    for f, column in zip(table.schema, table.columns):
+        if not by_name and pa.types.is_int64(f.type) and len(column):
+            low, high = pc.min_max(column).as_py().values()
+            if low is not None and -(1 << 31) <= low and high < 1 << 31:
+                f = f.with_type(pa.int32())
+        fields.append(f.with_type(pa.string()) if pa.types.is_null(f.type) else f)
+    return pa.schema(sorted(fields, key=lambda f: f.name) if by_name else fields)
+
+
+def _type_name(kind: pa.DataType) -> str:
+    """Name of a type as Spark writes it; what it has no type for keeps pyarrow's name."""
+    try:
+        return from_arrow_type(kind, prefer_timestamp_ntz=True).simpleString()
+    except PySparkTypeError:
+        return str(kind)
 
 
 def table_inventory(tables: dict[str, DataFrame], hidden_prefix: str = SYSTEM_PREFIX,

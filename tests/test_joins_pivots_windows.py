@@ -1,6 +1,7 @@
 """Joins, pivots and window operators on literal frames, and the shape of their plans."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablecraft.operators import attach as attaching
@@ -8,6 +9,7 @@ from tablecraft.operators import joins as jn
 from tablecraft.operators import ordering as od
 from tablecraft.operators import pivots as pv
 from tablecraft.operators import windows as wn
+from tablecraft.operators.logs import health_pivot
 from tablecraft.operators.joins import ForeignKey
 from tablecraft.operators.similarity import similar
 
@@ -112,6 +114,22 @@ def test_pivot_wide_with_two_fields(spark):
     assert wide.columns == ["level", "r", "x_v", "x_w", "TOTAL_v", "TOTAL_w"]
 
 
+def test_shown_columns_come_from_the_same_run(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    source = spark.range(100).selectExpr("concat('r', id % 3) as r", "concat('c', id % 4) as c", "id as v").mapInArrow(counted, "r string, c string, v long")
+    wide = pv.pivot_wide(pv.pivot_long(source, ["r"], ["c"], ["v"]), ["r"])
+    assert wide.count() == 4 and wide.columns == ["level", "r", "c0", "c1", "c2", "c3", "TOTAL"] and seen.value == 100
+    flat = pv.pivot_export(pv.pivot_long(source, ["r"], ["c"], ["v"]), ["r"], str(tmp_path / "out"))
+    assert flat.count() == 4 and seen.value == 200
+    logs = source.selectExpr("r as pipeline_id", "c as log_level")
+    assert health_pivot(logs).orderBy("pipeline_id").first().asDict() == {"pipeline_id": "r0", "c0": 9, "c1": 8, "c2": 8, "c3": 9} and seen.value == 300
+
+
 def test_heat_counts_missing_cells_as_zero(spark):
     df = spark.createDataFrame([("a", "x", 4), ("b", "y", 2), ("b", "x", 8)], "r string, c string, v int")
     heat = {(r["r"], r["col_key"]): r["heat"] for r in pv.pivot_heat(pv.pivot_long(df, ["r"], ["c"], ["v"])).collect()}
@@ -138,21 +156,31 @@ def test_latest_by_limits_rows_before_the_shuffle(spark, sf):
     assert plan.count("WindowGroupLimit") >= 2
 
 
-@pytest.mark.parametrize("hot", [0, 10**9])
-def test_step_lag_over_slices(spark, monkeypatch, hot):
-    monkeypatch.setattr(attaching, "HOT_ROWS", hot)
+def test_step_lag_of_a_null_group(spark):
     df = spark.createDataFrame([(1, "2024-01-01 00:00:10"), (2, "2024-01-01 00:00:40"), (3, "2024-01-01 05:00:00"), (4, "2024-01-01 05:00:00")],
                                "id int, t string").select("id", F.to_timestamp("t").alias("t"), F.lit(None).cast("string").alias("g"))
     got = {r["id"]: r["step_seconds"] for r in wn.step_lag(df, "t", ["g"], ["id"]).collect()}
     assert got == {1: None, 2: 30.0, 3: 17960.0, 4: 0.0}
-
-
-def test_step_lag_of_large_groups_agrees_with_a_window(spark, sf, monkeypatch):
-    e = spark.read.parquet(f"{sf}/events.parquet").selectExpr("event_id", "case when user_id < 60 then null else user_id end as u", "timestamp(ts) as ts")
-    plain = sorted(map(tuple, wn.step_lag(e, "ts", ["u"], ["event_id"]).collect()), key=str)
-    monkeypatch.setattr(attaching, "HOT_ROWS", 20)
-    for unit in ("hour", "week"):
-        assert sorted(map(tuple, wn.step_lag(e, "ts", ["u"], ["event_id"], slice_unit=unit).collect()), key=str) == plain
+    assert wn.step_lag(df.limit(0), "t", ["g"], ["id"]).count() == 0
+
+
+@pytest.mark.parametrize("by", [["u"], ["u", "f"], []])
+def test_step_lag_agrees_with_a_window(spark, sf, by):
+    e = spark.read.parquet(f"{sf}/events.parquet").selectExpr(
+        "event_id", "case when user_id < 60 then null else user_id end as u", "if(user_id % 2 = 0, double('NaN'), 1.5D) as f",
+        "if(event_id % 11 = 0, null, timestamp(date_trunc('day', ts))) as ts")
+    over = Window.partitionBy(*by).orderBy("ts", "event_id")
+    want = e.withColumn("s", (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(over))) / F.lit(1e6))
+    assert sorted(map(str, wn.step_lag(e, "ts", by, ["event_id"], "s").collect())) == sorted(map(str, want.collect()))
+
+
+def test_step_lag_spreads_a_group_of_one_time(spark):
+    df = spark.range(8000).selectExpr("id", "'g' as g", "timestamp('2024-01-01') as t").repartition(3)
+    lagged = wn.step_lag(df, "t", ["g"], ["id"])
+    assert {r["n"] for r in lagged.groupBy("step_seconds").agg(F.count("*").alias("n")).collect()} == {1, 7999}
+    sizes = lagged.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(sizes) >= 6 and max(r["count"] for r in sizes) < 2500
+    assert executed(lagged).count("Exchange hashpartitioning") == 0
 
 
 @pytest.mark.parametrize("offset", [0, 3, 995, 996, 1990, 1999, 5000])

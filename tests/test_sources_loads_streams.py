@@ -5,11 +5,14 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tablecraft.functions.aggs import Agg
 from tablecraft.operators.joins import ForeignKey, wide_table
+from tablecraft.plans.recipe import Aggregate, Dedup, Drop, Filter, apply_counted
 from tablecraft.session import list_names, scratch_path
 from tablecraft.sinks import export, loads
 from tablecraft.sources import databases, files, payloads
 from tablecraft.sources.counts import load_delta, with_counts
+from tablecraft.sources.sql import from_parts, read_parts
 from tablecraft.streaming import streams
 
 
@@ -33,6 +36,34 @@ def test_file_schemas_reports_unreadable_files(spark):
     assert ("parquet", "id", "bigint") in got and ("csv", "a", "int") in got and ("txt", None, None) in got
 
 
+def test_file_schemas_of_all_kinds_in_one_job(spark, tmp_path):
+    (tmp_path / "sub dir").mkdir()
+    (tmp_path / "sub dir" / "a.csv").write_text("x,big,name,day\n1,5000000000,n,2024-01-02\n2,1,,2024-01-03\n")
+    (tmp_path / "b.jsonl").write_text('{"z": 1, "a": "t"}\n{"z": 2.5, "m": {"k": [true]}}\n')
+    (tmp_path / "c.json").write_text('[{"q": 1},\n {"q": null, "p": "s"}]')
+    (tmp_path / "d.parquet").write_bytes(b"PAR1 not at all")
+    (tmp_path / "f.json").write_text("{broken")
+    (tmp_path / "g.bin").write_bytes(b"\x00")
+    spark.createDataFrame([(1, [1.5], None)], "i int, l array<float>, t timestamp_ntz").coalesce(1).write.parquet(str(tmp_path / "h"))
+    found = files.file_schemas(spark, str(tmp_path), "*.*")
+    got = {}
+    for r in found.orderBy("file", "position").collect():
+        got.setdefault(r["file"].rpartition("/")[2].rpartition(".")[2 if "part-" in r["file"] else 0], []).append((r["column"], r["type"]))
+    assert got == {"a": [("x", "int"), ("big", "bigint"), ("name", "string"), ("day", "date")], "b": [("a", "string"), ("m", "struct<k:array<boolean>>"), ("z", "double")],
+                   "c": [("p", "string"), ("q", "bigint")], "d": [(None, None)], "f": [(None, None)], "g": [(None, None)],
+                   "parquet": [("i", "int"), ("l", "array<float>"), ("t", "timestamp_ntz")]}
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_errors_that_are_not_of_the_format_are_raised(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x\n1\n")
+
+    def lost(path):
+        raise ConnectionError("lost")
+    with pytest.raises(Exception, match="lost"):
+        files.file_schemas(spark, str(tmp_path), "*.csv", lost).collect()
+
+
 def test_payload_selector_and_single_objects(spark):
     df = spark.createDataFrame([('{"d": [{"a": 1}, {"a": 2}]}',), ('{"d": []}',), ("oops",), ('{"d": {"a": 3}}',)], "payload string")
     assert sorted(r["a"] for r in payloads.explode_payloads(df, "a int", "d").collect()) == [1, 2, 3]
@@ -40,6 +71,42 @@ def test_payload_selector_and_single_objects(spark):
     assert sorted(r["a"] for r in payloads.explode_payloads(plain, "a int").collect()) == [1, 2]
 
 
+def test_rejected_payloads_have_a_reason(spark):
+    texts = ['{"d": [{"a": 1}]}', '{"d": []}', "oops", '{"e": 1}', None, '{"d": 5}', "", "[]"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, payload string")
+    got = {r["i"]: r["reason"] for r in payloads.rejected_payloads(df, "a int", "d", keep=("i",)).collect()}
+    assert got == {2: "no JSON", 3: "nothing under d", 4: "no text", 5: "no records", 6: "no JSON", 7: "nothing under d"}
+    report = payloads.page_report(df, "a int", "d").first().asDict()
+    assert report == {"pages": 8, "read": 1, "empty": 1, "rejected": 6, "records": 1}
+    plain = {r["i"] for r in payloads.rejected_payloads(df, "a int", keep=("i",)).collect()}
+    assert plain == {2, 4, 6} and payloads.explode_payloads(df, "a int").count() == 4
+
+
+def test_user_sources_are_read_in_tasks(spark):
+    import os
+    driver = os.getpid()
+
+    def read(part):
+        assert os.getpid() != driver
+        yield {"k": part, "v": "dict"}
+        yield (part + 100, "tuple")
+        yield {"k": part + 200}
+    df = read_parts(spark, read, range(5), "k long, v string")
+    assert df.rdd.getNumPartitions() == 5
+    target = scratch_path(spark, "parts")
+    from_parts(spark, read, range(5), "k long, v string", target, ["k"], "1")
+    out = from_parts(spark, read, [3, 7], "k long, v string", target, ["k"], "2")
+    assert out.count() == 18 and out.filter("_load_id = '2'").count() == 6 and out.filter("v IS NULL").count() == 6
+    assert read_parts(spark, read, [], "k long, v string").count() == 0
+
+
+def test_counts_of_a_recipe(spark):
+    df = spark.createDataFrame([(i, i % 4) for i in range(40)], "v int, g int")
+    out, counts = apply_counted(df, [Aggregate("g", Agg("max", "v", "top")), Filter("v > 9"), Dedup(("g",)), Drop(("top",))])
+    assert out.count() == 4
+    assert [tuple(r.values()) for r in counts.report()] == [("filter", 40, 30, -10), ("dedup", 30, 4, -26), ("drop", 4, 4, 0), ("recipe", 40, 4, -36)]
+
+
 def test_counts_of_a_load(spark):
     rows_in, seen = with_counts(spark.range(10), "in")
     rows_out, kept = with_counts(rows_in.filter("id > 6"), "out")
