@@ -35,8 +35,8 @@ def aggregate_back(df: DataFrame, specs: list[tuple[str, list]]) -> DataFrame:
     # NULL keys match nothing, so they need no aggregate.
     out = df
     for field, aggs in by_field.items():
-        groups = aggregate_by(df.filter(F.col(field).isNotNull()), field, aggs)
-        out = attach(out, groups, [field], null_safe=False)
+        groups = aggregate_by(df.filter(F.col(field).isNotNull()), field, [*aggs, Agg("len", field, "_group_rows")])
+        out = attach(out, groups, [field], null_safe=False, rows="_group_rows")
     return out
 
 

@@ -30,7 +30,8 @@ def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
 
 
 def attach(df: DataFrame, groups: DataFrame, keys: list[str], null_safe: bool = True,
-           broadcast_bytes: int = BROADCAST_BYTES, size: float | None = None) -> DataFrame:
+           broadcast_bytes: int = BROADCAST_BYTES, size: float | None = None,
+           rows: str | None = None) -> DataFrame:
     """Left join of ``groups``, which has one row per value of ``keys``.
 
     The group table is computed first and its size is known before the rows move. A small
@@ -39,22 +40,26 @@ def attach(df: DataFrame, groups: DataFrame, keys: list[str], null_safe: bool =
     groups, if these are measured small too, and, like rows with NULL keys that match
     nothing, are spread over salts. Hot groups too wide to broadcast are left to the skew
     join, which can split the row side of a left join. ``size`` gives the bytes of a group table that was ``measured`` before.
+    ``rows`` names a column of the group table that counts its rows and is not attached; then hot keys are known from it, else the
+    rows are counted.
     """
-    values = [c for c in groups.columns if c not in keys]
+    values = [c for c in groups.columns if c not in (*keys, rows)]
     saved, size = measured(groups) if size is None else (groups, size)
     if size <= broadcast_bytes:
-        return left_join(df, F.broadcast(saved), keys, null_safe).select(*_names(df), *values)
-
-    whole = df if null_safe else df.dropna(subset=keys)
-    largest = hot_keys(whole, keys)
-    if largest is not None:
-        hot, size = measured(left_join(largest, saved, keys, null_safe))
-        largest = largest if size <= BROADCAST_BYTES else None
-    if largest is None and null_safe:
+        return left_join(df, F.broadcast(saved.drop(rows) if rows else saved), keys, null_safe).select(*_names(df), *values)
+
+    if rows:
+        hot, size = measured(saved.filter(F.col(rows) > HOT_ROWS).drop(rows))
+        hot, saved = None if size == 0 else hot, saved.drop(rows)
+    else:
+        largest = hot_keys(df if null_safe else df.dropna(subset=keys), keys)
+        hot, size = (None, 0) if largest is None else measured(left_join(largest, saved, keys, null_safe))
+    hot = hot if size <= BROADCAST_BYTES else None
+    if hot is None and null_safe:
         return left_join(df, saved, keys, null_safe).select(*_names(df), *values)
 
     marked, alone = df.withColumn("_hot", F.lit(False)), F.lit(False)
-    if largest is not None:
+    if hot is not None:
         hot = hot.withColumn("_hot", F.lit(True))
         hot = hot.select(*keys, "_hot", *[F.col(v).alias(f"_hot_{v}") for v in values])
         marked = left_join(df, F.broadcast(hot), keys, null_safe)
@@ -64,7 +69,7 @@ def attach(df: DataFrame, groups: DataFrame, keys: list[str], null_safe: bool =
     spread = F.pmod(F.xxhash64(*_hashable(df)), F.lit(SALTS)) + 1
     salted = marked.withColumn("_salt", F.when(alone, spread).otherwise(0))
     joined = left_join(salted, saved.withColumn("_salt", F.lit(0).cast("bigint")), [*keys, "_salt"], null_safe)
-    if largest is None:
+    if hot is None:
         return joined.select(*_names(df), *values)
     return joined.select(*_names(df), *[
         F.when(F.col("_hot"), F.col(f"_hot_{v}")).otherwise(F.col(v)).alias(v) for v in values])

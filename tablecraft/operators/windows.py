@@ -35,7 +35,7 @@ def with_group_stats(df: DataFrame, keys: list[str], *stats: Column) -> DataFram
     Aggregate and attach instead of an unordered window: the aggregate combines on the
     map side, where a window would put a whole group into one task.
     """
-    return attach(df, df.groupBy(*keys).agg(*stats), keys)
+    return attach(df, df.groupBy(*keys).agg(*stats, F.count(F.lit(1)).alias("_group_rows")), keys, rows="_group_rows")
 
 
 def any_in_group(df: DataFrame, cond: Column, by: list[str], alias: str) -> DataFrame:

@@ -58,6 +58,8 @@ def test_hot_keys_at_both_sides_of_the_switch(spark, monkeypatch, hot_rows, hot_
     groups = df.groupBy("k").agg(F.count("*").alias("n"))
     got = {(r["k"], r["n"]) for r in attaching.attach(df, groups, ["k"], broadcast_bytes=limit).collect()}
     assert got == {(r["k"], r["n"]) for r in groups.collect()}
+    counted = groups.withColumn("rows", F.col("n"))
+    assert {(r["k"], r["n"]) for r in attaching.attach(df, counted, ["k"], broadcast_bytes=limit, rows="rows").collect()} == got
     loose = attaching.attach(df, groups, ["k"], null_safe=False, broadcast_bytes=limit)
     assert loose.count() == 300 and loose.filter("k is null").select("n").distinct().collect() == [(None,)]
 
@@ -147,3 +149,22 @@ def test_partition_folders_are_columns_and_are_skipped(spark, tmp_path):
     df = read_files(spark, str(tmp_path / "t"), "part-.parquet", "parquet", partitioned=True).filter("d = 3")
     assert sorted(r["id"] for r in df.collect()) == [3, 8]
     assert "PartitionFilters: [isnotnull(d" in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("hot_rows", [10, 10**9])
+def test_rows_are_read_twice_to_attach_their_groups(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(attaching, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(attaching, "BROADCAST_BYTES", 100)
+    monkeypatch.setattr(attaching.attach, "__defaults__", (True, 0, None, None))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    df = spark.range(400).selectExpr("if(id % 3 = 0, 1, id) as k", "id").mapInArrow(counted, "k long, id long")
+    flagged = wn.any_in_group(df, F.col("id") == 3, ["k"], "three")
+    assert flagged.filter("three").count() == 135 and seen.value <= 800
+    before = seen.value
+    back = ag.aggregate_back(df, [("k", [Agg("max", "id", "top")])])
+    assert back.columns == ["k", "id", "top"] and back.filter("top = 399").count() == 135 and seen.value - before <= 800
