@@ -11,10 +11,8 @@ from pyspark.sql import functions as F
 from tablecraft.llm.common import ascii_lower, small_or_shuffled
 from tablecraft.session import materialise
 
-MIN_SUPPORT = 0.0005
 MIN_PAGES = 10
-MIN_CONFIDENCE = 0.6
-MAX_TOKENS = 4
+MIN_LIFT = 2.0
 BLOCK = "=block"
 #: (host, path, verdict); a rule fits the host and its subdomains.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -48,24 +46,27 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.filter(every, lambda x: ~x.isin("label:", "end:", "path:", "path:#", "key:")))
 
 
-def mine_rules(pages: DataFrame, min_support: float = MIN_SUPPORT, min_pages: int = MIN_PAGES,
-               min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def mine_rules(pages: DataFrame, min_pages: int = MIN_PAGES, min_lift: float = MIN_LIFT) -> DataFrame:
     """(``_tokens``, ``_confidence``): token combinations of labelled ``pages`` (``_tokens``, ``_bad``) that call for a block.
 
-    FP-growth over all labelled pages; a rule stands on at least ``min_pages`` pages and the share ``min_support``, holds with ``min_confidence``,
-    and is dropped when fewer of its tokens do as well.
+    FP-growth over all labelled pages; a rule stands on at least ``min_pages`` bad pages, whatever the size of the table, its share of bad pages is at
+    least ``min_lift`` times that of all labelled pages (or all of its pages are bad, if that is less), and it is dropped when fewer of
+    its tokens do as well. Without labelled or without bad pages there is no rule.
     """
     pages = materialise(pages.select(F.when(F.col("_bad"), F.array_append("_tokens", F.lit(BLOCK))).otherwise(F.col("_tokens")).alias("items")))
-    total = pages.count()
-    schema = "_tokens array<string>, _confidence double"
-    if not total or pages.filter(F.array_contains("items", BLOCK)).isEmpty():
-        return pages.sparkSession.createDataFrame([], schema)
-    support = min(1.0, max(min_support, min_pages / total))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(pages)
-    rules = model.associationRules.filter((F.element_at("consequent", 1) == BLOCK) & (F.size("antecedent") <= max_tokens))
-    rules = materialise(rules.select(F.array_sort("antecedent").alias("_tokens"), F.col("confidence").alias("_confidence")))
+    total, bad = pages.agg(F.count(F.lit(1)), F.count_if(F.array_contains("items", BLOCK))).first()
+    if bad < min_pages:
+        return pages.sparkSession.createDataFrame([], "_tokens array<string>, _confidence double")
+    # half a page less, so that rounding does not ask for one more
+    sets = materialise(FPGrowth(itemsCol="items", minSupport=(min_pages - 0.5) / total).fit(pages).freqItemsets)
+    blocked = F.array_contains("items", BLOCK)
+    bad_sets = sets.filter(blocked & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BLOCK)).alias("_tokens"), F.col("freq").alias("_bad"))
+    all_sets = sets.filter(~blocked).select(F.array_sort("items").alias("_tokens"), F.col("freq").alias("_pages"))
+    rules = bad_sets.join(all_sets, "_tokens").select("_tokens", (F.col("_bad") / F.col("_pages")).alias("_confidence"))
+    rules = materialise(rules.filter(F.col("_confidence") >= min(1.0, min_lift * bad / total)))
     shorter = rules.select(F.col("_tokens").alias("_part"), F.col("_confidence").alias("_part_confidence"))
     parts = rules.withColumn("_left_out", F.explode("_tokens")).withColumn("_part", F.array_sort(F.array_remove("_tokens", F.col("_left_out"))))
+    # of two rules that do equally well, both stay if neither is part of the other
     weaker = parts.join(shorter, "_part").filter(F.col("_part_confidence") >= F.col("_confidence")).select("_tokens").distinct()
     return rules.join(weaker, "_tokens", "left_anti")
 
@@ -91,7 +92,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, url: str = "url", page_id: s
     """Every row of ``pages`` with ``host``, ``path``, ``rule``, ``verdict``, ``confidence``, which replace columns of these names.
 
     ``labels`` (``doc_id``, ``toxic``) names bad pages. The longest fitting fixed rule decides; otherwise a mined rule
-    blocks (``confidence`` is its own), and all else is allowed. A null URL and one without ``://`` have empty host and path and no tokens. Pages are judged once per
+    blocks (``confidence`` is the highest of those that fit), and all else is allowed; URLs of any length are read whole, and an empty table gives no rows. A null URL and one without ``://`` have empty host and path and no tokens. Pages are judged once per
     set of tokens, so a host with most of the pages costs no more than its distinct shapes. Repeated rows and repeated labels
     count each; a null label is no label.
     """

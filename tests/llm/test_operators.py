@@ -76,6 +76,49 @@ def test_url_rules(spark):
     assert [tuple(r) for r in url_rules.match_rules(patterns, mined).collect()] == [(2, 1.0)]
 
 
+def test_mined_url_rules_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows, bad = [], {}
+    for i in range(600):
+        host, path = f"h{rng.integers(0, 4)}.site{rng.integers(0, 3)}.test", f"/{'abc'[rng.integers(0, 3)]}/{'xyz'[rng.integers(0, 3)]}?k{rng.integers(0, 2)}=1"
+        rows.append((i, f"http://{host}{path}"))
+        if i % 2:
+            hit = host.startswith("h1.site2") and path.startswith("/b/y?k1") or host.startswith("h0.") and path.startswith("/c")
+            bad[i] = int(hit or rng.random() < 0.03)
+    five = [(700 + i, f"http://q{i % 2}.r{i // 2 % 2}.s.test/m{'ab'[i // 4 % 2]}/n{'ab'[i // 8 % 2]}?o{i // 16 % 2}") for i in range(640)]
+    rows += five
+    bad |= {i: int(u == "http://q0.r0.s.test/ma/na?o0") for i, u in five}
+    pages = spark.createDataFrame([*rows, (9999, "http://q0.r0.s.test/ma/na?o0" + "z" * 30_000)], "page_id long, url string")
+    labels = spark.createDataFrame(list(bad.items()), "doc_id long, toxic int")
+
+    def tokens(url):
+        host, _, rest = url.split("://")[1].partition("/")
+        path, _, query = rest.partition("?")
+        parts = host.split(".")
+        found = {f"label:{p}" for p in parts} | {"end:" + ".".join(parts[i:]) for i in range(len(parts))}
+        return found | {"path:" + re.sub(r"\d+", "#", p) for p in path.split("/") if p} | {f"key:{q.split('=')[0]}" for q in query.split("&")}
+    labelled = [(frozenset(tokens(u)), bad[i]) for i, u in rows if i in bad]
+    base = sum(b for _, b in labelled) / len(labelled)
+
+    def share(part):
+        own = [b for t, b in labelled if part <= t]
+        return (sum(own) >= 10) and sum(own) / len(own)
+    got = {frozenset(r["_tokens"]): r["_confidence"] for r in url_rules.mine_rules(spark.createDataFrame(
+        [(sorted(t), bool(b)) for t, b in labelled], "_tokens array<string>, _bad boolean")).collect()}
+    assert got and max(map(len, got)) >= 5
+    for part, confidence in got.items():
+        assert share(part) == confidence >= min(1, 2 * base)
+        assert all(share(part - {x}) < confidence for x in part if len(part) > 1)
+    verdicts = {r["page_id"]: (r["verdict"], r["confidence"]) for r in url_rules.judge_urls(pages, labels).collect()}
+    for i, u in rows:
+        best = max((c for part, c in got.items() if part <= tokens(u)), default=None)
+        assert verdicts[i] == ("block" if best else "allow", best)
+        # whatever no rule covers has no combination of its tokens that would be one: no rule was cut
+        if best is None and i < 60:
+            assert not any(share(frozenset([a, b])) >= 2 * base for a in tokens(u) for b in tokens(u))
+    assert verdicts[9999][0] in ("allow", "block") and {v for v, _ in verdicts.values()} == {"allow", "block"}
+
+
 def test_decontamination(docs, none, spark):
     bench = spark.createDataFrame([(10, RUN.upper()), (11, "one two"), (12, None), (13, "..."), (None, "one")], "item_id long, text string")
     got = decontamination.find_contamination(docs, bench).collect()
