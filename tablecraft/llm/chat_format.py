@@ -47,10 +47,12 @@ class Template:
 
     def turns(self, roles: list[str], texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids and loss mask of each turn: segments are encoded apart, reserved ids put between them."""
-        coded = [e.ids for e in self.tokenizer.encode_batch([escape(x) for pair in zip(roles, texts, strict=True) for x in pair], add_special_tokens=False)]
+        names = sorted(set(roles))
+        coded = self.tokenizer.encode_batch_fast([escape(x) for x in [*names, *texts]], add_special_tokens=False)
+        known = {name: e.ids for name, e in zip(names, coded[:len(names)], strict=True)}
         out = []
-        for i, role in enumerate(roles):
-            name, text = coded[2 * i], coded[2 * i + 1]
+        for role, found in zip(roles, coded[len(names):], strict=True):
+            name, text = known[role], found.ids
             ids = np.array([self.ids[TURN], *name, self.ids[TEXT], *text, self.ids[END]], np.int32)
             steps = np.zeros(len(ids) + 1, np.int8)
             if role == LOSS_ROLE:
@@ -73,6 +75,28 @@ class Template:
     def plain(self, ids: np.ndarray) -> str:
         return unescape(self.decode(ids))
 
+    def read(self, turns: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[str, str, str, int]]:
+        """Role, text, text under the mask and length of the formatted text of each turn, from its ids and mask.
+
+        Segments between reserved ids are decoded once; a mask that does not cover just the text is decoded apart.
+        """
+        spots = [np.flatnonzero(ids >= min(self.strings)) for ids, _ in turns]
+        segments = [ids[a + 1:b].tolist() for (ids, _), at in zip(turns, spots, strict=True) for a, b in zip(at[:2], at[1:3], strict=True)]
+        names = {tuple(x) for x in segments[::2]}
+        known = dict(zip(names, self.tokenizer.decode_batch([list(x) for x in names], skip_special_tokens=False), strict=True))
+        texts = self.tokenizer.decode_batch(segments[1::2], skip_special_tokens=False)
+        out = []
+        for (ids, mask), at, name, text in zip(turns, spots, segments[::2], texts, strict=True):
+            begin, middle, end = at
+            if ids[at].tolist() != [self.ids[TURN], self.ids[TEXT], self.ids[END]] or begin or end + 1 != len(ids):
+                raise ValueError("ids of a turn do not follow the template")
+            role, plain = known[tuple(name)], unescape(text)
+            told = np.flatnonzero(mask)
+            whole = len(told) == end - middle - 1 and (not len(told) or (told[0] == middle + 1 and told[-1] == end - 1))
+            under = plain if whole else self.plain(ids[told]) if len(told) else ""
+            out.append((unescape(role), plain, under, len(TURN) + len(role) + len(TEXT) + len(text) + len(END)))
+        return out
+
 
 def format_turns(conversations: DataFrame, path: str = TOKENIZER, conv_id: str = "conv_id", turn: str = "turn",
                  role: str = "role", text: str = "text") -> DataFrame:
@@ -100,7 +124,7 @@ def format_turns(conversations: DataFrame, path: str = TOKENIZER, conv_id: str =
 def read_back(turns: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """What the ids and masks of ``format_turns`` say, one row per conversation.
 
-    The turns of a conversation pass in order through running digests, so a task holds one turn at a time, whatever the
+    The turns of a conversation pass in order through running digests, so a task holds one Arrow batch of turns at a time, whatever the
     conversation's size; only ids and mask are read.
     """
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "ids", "mask")
@@ -109,19 +133,20 @@ def read_back(turns: DataFrame, path: str = TOKENIZER) -> DataFrame:
         template, state = Template(path), None
         for batch in batches:
             done = []
-            for conv, ids, mask in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                if state is None or state[0] != conv:
-                    if state is not None:
-                        done.append(state)
-                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                ids, mask = ids.values.to_numpy(zero_copy_only=False), mask.values.to_numpy(zero_copy_only=False)
-                begin, middle = int(np.flatnonzero(ids == template.ids[TURN])[0]), int(np.flatnonzero(ids == template.ids[TEXT])[0])
-                role, text, under = template.plain(ids[begin + 1:middle]), template.plain(ids[middle + 1:-1]), template.plain(ids[mask == 1])
-                state[1] += 1
-                state[2].update(f"{role}\n{text}\n".encode())
-                state[3] += len(under)
-                state[4].update(under.encode())
-                state[5] += len(template.decode(ids))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids, masks = ([x.values.to_numpy(zero_copy_only=False) for x in part.column(i)] for i in (1, 2))
+                found = template.read(list(zip(ids, masks, strict=True)))
+                for conv, (role, text, under, length) in zip(part.column(0).to_pylist(), found, strict=True):
+                    if state is None or state[0] != conv:
+                        if state is not None:
+                            done.append(state)
+                        state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    state[1] += 1
+                    state[2].update(f"{role}\n{text}\n".encode())
+                    state[3] += len(under)
+                    state[4].update(under.encode())
+                    state[5] += length
             yield _told(done)
         if state is not None:
             yield _told([state])
