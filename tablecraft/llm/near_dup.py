@@ -17,6 +17,8 @@ PERCENT = 75
 CHUNKS = 12
 CHUNK = 5
 BLOCK = 256
+BUCKET = 256
+DISTANCE = 35
 _SEEDS = mix(np.arange(1, CHUNKS * CHUNK + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
@@ -69,10 +71,10 @@ def _sign(batches):
         sizes, marks, signs = [], [], []
         for s in shingle_sets(batch.column(2)):
             sizes.append(len(s))
-            marks.append(int(mix(mix(s).sum(keepdims=True) ^ U64(len(s))).astype(np.int64)[0]) if len(s) else 0)
+            marks.append([int(mix(mix(s ^ salt).sum(keepdims=True) ^ U64(len(s))).astype(np.int64)[0]) if len(s) else 0 for salt in (U64(0), _SEEDS[0])])
             signs.append(signature(s).tobytes() if len(s) else b"")
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()),
-                                          pa.array(signs, pa.binary())], ["_id", "_key", "_size", "_class", "_sign"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array([m for m, _ in marks], pa.int64()),
+                                          pa.array([m for _, m in marks], pa.int64()), pa.array(signs, pa.binary())], ["_id", "_key", "_size", "_mark1", "_mark2", "_sign"])
 
 
 def _index(batches):
@@ -85,6 +87,53 @@ def _index(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[at:at + 4096], keys.shape[1]))], ["_shared_key", "_id"])
 
 
+def close_ties(keys: np.ndarray, ids: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ties of ids with the smallest id that they reach by steps between signatures of one key that differ in at most ``DISTANCE`` values.
+
+    Rows come by key and id.
+    """
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lag in range(1, len(keys)):
+        same = np.flatnonzero(keys[lag:] == keys[:-lag])
+        if not len(same):
+            break
+        close = same[(signs[same] != signs[same + lag]).sum(1) <= DISTANCE]
+        left.append(close)
+        right.append(close + lag)
+    u, v, least = np.concatenate(left), np.concatenate(right), np.arange(len(keys))
+    while True:
+        before = least.copy()
+        np.minimum.at(least, u, before[v])
+        np.minimum.at(least, v, before[u])
+        least = least[least]
+        if np.array_equal(least, before):
+            break
+    tied = np.flatnonzero(least != np.arange(len(keys)))
+    return ids[tied], ids[least[tied]]
+
+
+def _close(batches):
+    """``close_ties`` of whole keys; a key that ends a batch may go on in the next."""
+    def told(table: pa.Table) -> pa.RecordBatch:
+        signs = np.frombuffer(b"".join(table.column("_sign").to_pylist()), np.uint16).reshape(table.num_rows, -1)
+        ties = close_ties(table.column("_shared_key").to_numpy(), table.column("_id").to_numpy(), signs)
+        return pa.RecordBatch.from_arrays([pa.array(t) for t in ties], ["_u", "_v"])
+
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        keys = table.column("_shared_key").to_numpy()
+        whole = int(np.searchsorted(keys, keys[-1]))
+        rest = table.slice(whole)
+        if whole:
+            yield told(table.slice(0, whole))
+    if rest is not None:
+        yield told(rest)
+
+
 def _pack_sets(batches):
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(
@@ -198,11 +247,19 @@ def _links(sets: DataFrame) -> DataFrame:
 
 
 def _classes_of_groups(classes: DataFrame) -> DataFrame:
-    """Classes that share an index key with others, by connected group: ``_class``, ``_group``, ``_count``, ``_pivot``."""
+    """Classes with candidates, by connected group: ``_class``, ``_group``, ``_count``, ``_pivot``.
+
+    The signatures of a key with up to ``BUCKET`` classes are compared there, and only those that differ in at most ``DISTANCE`` values
+    are tied, each with the smallest one that it reaches. In a larger key each class is tied to the smallest one.
+    """
     keys = materialise(classes.select("_class", "_sign").mapInArrow(_index, "_shared_key long, _id long"))
-    heads = keys.groupBy("_shared_key").agg(F.min("_id").alias("_head"), F.max("_id").alias("_last")).filter(F.col("_head") < F.col("_last"))
-    ties = keys.join(heads.select("_shared_key", "_head"), "_shared_key").filter(F.col("_id") > F.col("_head"))
-    ties = materialise(ties.select(F.col("_id").alias("_u"), F.col("_head").alias("_v")).distinct())
+    heads = keys.groupBy("_shared_key").agg(F.min("_id").alias("_head"), F.count(F.lit(1)).alias("_members")).filter(F.col("_members") > 1)
+    members = keys.join(heads, "_shared_key")
+    few = members.filter(F.col("_members") <= BUCKET).select("_shared_key", "_id")
+    few = few.join(classes.select(F.col("_class").alias("_id"), "_sign"), "_id")
+    few = few.repartition("_shared_key").sortWithinPartitions("_shared_key", "_id").mapInArrow(_close, "_u long, _v long")
+    many = members.filter((F.col("_members") > BUCKET) & (F.col("_id") > F.col("_head"))).select(F.col("_id").alias("_u"), F.col("_head").alias("_v"))
+    ties = materialise(few.unionByName(many).distinct())
     groups = materialise(components(ties))
     counts = groups.groupBy("_root").agg(F.count(F.lit(1)).alias("_count"))
     pull = ties.groupBy(F.col("_v").alias("_n")).agg(F.count(F.lit(1)).alias("_pull")).join(groups, "_n")
@@ -219,15 +276,17 @@ def assign_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     blank text has no shingle and is linked with nothing. Ids are whole numbers; a row without id has the component of its text,
     or null if nothing in it has an id. Repeated rows get equal results; rows that repeat an id with other texts are rows of their own.
 
-    Equal sets become one class; only classes go on. Their signatures (60 values of 16 bits) are indexed so
+    Equal sets (by 128 bits of all their shingles) become one class; only classes go on. Their signatures (60 values of 16 bits) are indexed so
     that any two that differ in at most 23 values share a key; at a similarity of 0.75 the chance to share none is about 6e-6,
-    and it vanishes above. Each member of a key is tied to its smallest member, never to all others; the connected groups of
+    and it vanishes above. Two that share one are candidates if they differ in at most 35 values; at 0.75 the chance of more is below 1e-7.
+    Each member of a key is tied to the smallest it reaches, never to all others; the connected groups of
     these ties hold all links and are compared exactly on full sets.
     """
     whole = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), row_key(doc_id, text)[0].alias("_key"), F.col(f"`{text}`").alias("_text"))
-    signed = materialise(whole.mapInArrow(_sign, "_id long, _key long, _size long, _class long, _sign binary"))
-    classes = materialise(signed.filter(F.col("_size") > 0).groupBy("_class").agg(
-        F.min(F.struct("_id", "_key")).alias("_of"), F.min("_id").alias("_first"), F.min("_sign").alias("_sign")))
+    signed = materialise(whole.mapInArrow(_sign, "_id long, _key long, _size long, _mark1 long, _mark2 long, _sign binary"))
+    classes = signed.filter(F.col("_size") > 0).groupBy("_mark1", "_mark2").agg(
+        F.min(F.struct("_id", "_key")).alias("_of"), F.min("_id").alias("_first"), F.min("_sign").alias("_sign"))
+    classes = materialise(classes.withColumn("_class", F.monotonically_increasing_id()))
     members = _classes_of_groups(classes).join(classes.select("_class", "_of"), "_class")
     members = materialise(members.select("_class", "_group", "_count", "_pivot", F.col("_of._id").alias("_first"), F.col("_of._key").alias("_mark")))
     texts = whole.join(members, F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_key") == F.col("_mark")))
@@ -235,11 +294,11 @@ def assign_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
         _pack_sets, "_id long, _group long, _count long, _pivot long, _set binary")
     links = _links(materialise(sets))
     roots = components(links).withColumnRenamed("_n", "_class")
-    roots = classes.select("_class", "_first").join(roots, "_class", "left").withColumn("_root", F.coalesce("_root", "_class"))
+    roots = classes.select("_class", "_first", "_mark1", "_mark2").join(roots, "_class", "left").withColumn("_root", F.coalesce("_root", "_class"))
     roots = materialise(roots)
     firsts = roots.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    found = roots.join(firsts, "_root").select("_class", "component_id")
-    whole = signed.select("_id", "_key", "_size", "_class").join(found, "_class", "left")
+    found = roots.join(firsts, "_root").select("_mark1", "_mark2", "component_id")
+    whole = signed.select("_id", "_key", "_size", "_mark1", "_mark2").join(found, ["_mark1", "_mark2"], "left")
     component = F.when(F.col("_size") > 0, F.col("component_id")).otherwise(F.col("_id"))
     return whole.select("_id", "_key", F.col("_size").alias("n_shingles"), component.alias("component_id"),
                         F.col("_id").eqNullSafe(component).alias("kept"))
