@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecraft.llm.common import share, shared
+from tablecraft.llm.common import share, shared, small_or_shuffled, written
 from tablecraft.llm.words import mix
 
 ORDER = 5
 TRAIN_DOCS = 600
-TRAIN_WORDS = 60_000
-Z_REJECT = 8.0
+FALSE_SHARE = 0.01
+SALTS = 64
 SYMBOLS = 5_000
 CACHE_WORDS = 200_000
 SLICE_CHARS = 1 << 20
@@ -47,6 +47,8 @@ class Model:
     floor: float
     mean: np.ndarray
     spread: np.ndarray
+    deviation: np.ndarray
+    limit: float = math.inf
 
 
 def letter_words(text: str | None) -> list[str]:
@@ -146,7 +148,7 @@ def fit_grams(longest: dict[str, dict[str, int]], order: int) -> Model:
         grams, rows = _sorted(union, np.log(logp))
         contexts, weights = _sorted(list(gamma), np.log(np.array(list(gamma.values())).reshape(len(gamma), len(languages))))
         orders.append(Orders(grams, rows, contexts, weights))
-    return Model(languages, orders, math.log(1e-3 / SYMBOLS), np.zeros(len(languages)), np.ones(len(languages)))
+    return Model(languages, orders, math.log(1e-3 / SYMBOLS), np.zeros(len(languages)), np.ones(len(languages)), np.zeros(len(languages)))
 
 
 def _hash(gram: str) -> np.uint64:
@@ -207,32 +209,46 @@ class Scorer:
                 continue
             best = int(np.argmin(entropy))
             score = 1.0 / float(np.exp(-(entropy - entropy[best]) * math.sqrt(n)).sum())
-            limit = self.model.mean[best] * 1.1 + Z_REJECT * self.model.spread[best] / math.sqrt(n)
+            limit = self.model.mean[best] + self.model.limit * max(self.model.spread[best] / math.sqrt(n), self.model.deviation[best])
             yield self.model.languages[best], score, bool(entropy[best] > limit)
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", train_docs: int = TRAIN_DOCS,
-          train_words: int = TRAIN_WORDS, order: int = ORDER) -> Model:
-    """A model of all languages in ``docs``.
+def training_texts(docs: DataFrame, text: str, lang: str, doc_id: str, train_docs: int) -> DataFrame:
+    """At most ``train_docs`` whole texts a language, those of the smallest hashes of id and text: ``_lang``, ``_text``, ``_apart``.
 
-    The fit is bounded: at most ``train_docs`` whole texts a language, chosen by a hash of the id, and of these the
-    ``train_words`` most frequent words. A quarter of the texts is kept apart to calibrate the rejection: the mean
-    and spread of the cross-entropy of right-language texts.
+    Only hashes are ranked, first within salts of a language and then among what these leave, so no task meets the texts of a
+    language, or the candidates of all tasks; the texts chosen are then fetched by key. Repeated rows are one text.
     """
     rows = docs.select(F.col(f"`{lang}`").cast("string").alias("_lang"), F.col(f"`{text}`").alias("_text"),
-                       F.xxhash64(F.lit(5), F.col(f"`{doc_id}`")).alias("_order"))
+                       F.xxhash64(F.lit(5), F.col(f"`{doc_id}`")).alias("_order"), F.xxhash64(F.col(f"`{text}`")).alias("_tie"))
     rows = rows.filter(F.col("_lang").isNotNull() & F.col("_text").isNotNull())
-    chosen = Window.partitionBy("_lang").orderBy("_order", "_text")
-    rows = rows.withColumn("_n", F.row_number().over(chosen)).filter(F.col("_n") <= train_docs)
-    rows = rows.withColumn("_apart", F.col("_n") % 4 == 0)
+    keys, order = ["_lang", "_order", "_tie"], ["_order", "_tie"]
+    ranked = rows.select(*keys, F.pmod("_order", F.lit(SALTS)).alias("_salt"))
+    for group in (["_lang", "_salt"], ["_lang"]):
+        ranked = ranked.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("_n") <= train_docs)
+    chosen = small_or_shuffled(ranked.groupBy(*keys).agg(F.min("_n").alias("_n")))
+    found = rows.join(chosen, keys).groupBy(*keys).agg(F.first("_text").alias("_text"), F.first("_n").alias("_n"))
+    return written(found.select("_lang", "_text", (F.col("_n") % 4 == 0).alias("_apart")), "training-texts")
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", train_docs: int = TRAIN_DOCS,
+          false_share: float = FALSE_SHARE, order: int = ORDER) -> Model:
+    """A model of all languages in ``docs``; with no labelled text, a model without languages.
+
+    The fit is bounded by ``train_docs`` whole texts a language, chosen by a hash of the id; all their words are learned. A quarter of
+    the texts is kept apart to calibrate the rejection: the mean cross-entropy of right-language texts, its spread for texts of one symbol (short texts
+    spread with the root of their length) and its deviation between texts (long texts differ in more than their length); the larger one counts. By the
+    one-sided inequality of Chebyshev, about the mean and whatever the distribution, at most a share 1 / (1 + z * z) lies z spreads or more above; z is
+    chosen for ``false_share``.
+    """
+    rows = training_texts(docs, text, lang, doc_id, train_docs)
     words = rows.mapInArrow(_count_words, "_lang string, _word string, _times long")
     words = words.groupBy("_lang", "_word").agg(F.sum("_times").alias("_times"))
-    frequent = Window.partitionBy("_lang").orderBy(F.col("_times").desc(), "_word")
-    words = words.withColumn("_n", F.row_number().over(frequent)).filter(F.col("_n") <= train_words)
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for language, word, times, _ in words.collect():  # at most train_words a language
+    for language, word, times in words.collect():  # words of at most train_docs texts a language
         counts[language][word] = times
     model = fit(counts, order)
+    model.limit = math.sqrt(1 / false_share - 1)
     if not model.languages:
         return model
     sent = share(docs, model)
@@ -256,6 +272,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
         at = model.languages.index(language)
         model.mean[at] = mean
         model.spread[at] = math.sqrt(sum(w * (e - mean) ** 2 for e, w in square) / len(square))
+        model.deviation[at] = math.sqrt(sum((e - mean) ** 2 for e, _ in square) / len(square))
     return model
 
 
