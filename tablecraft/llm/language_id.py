@@ -20,6 +20,7 @@ from tablecraft.llm.words import mix
 ORDER = 5
 TRAIN_DOCS = 600
 FALSE_SHARE = 0.01
+MARGIN = 1.1
 SALTS = 64
 SYMBOLS = 5_000
 CACHE_WORDS = 200_000
@@ -209,7 +210,7 @@ class Scorer:
                 continue
             best = int(np.argmin(entropy))
             score = 1.0 / float(np.exp(-(entropy - entropy[best]) * math.sqrt(n)).sum())
-            limit = self.model.mean[best] + self.model.limit * max(self.model.spread[best] / math.sqrt(n), self.model.deviation[best])
+            limit = self.model.mean[best] * MARGIN + self.model.limit * max(self.model.spread[best] / math.sqrt(n), self.model.deviation[best])
             yield self.model.languages[best], score, bool(entropy[best] > limit)
 
 
@@ -239,7 +240,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     the texts is kept apart to calibrate the rejection: the mean cross-entropy of right-language texts, its spread for texts of one symbol (short texts
     spread with the root of their length) and its deviation between texts (long texts differ in more than their length); the larger one counts. By the
     one-sided inequality of Chebyshev, about the mean and whatever the distribution, at most a share 1 / (1 + z * z) lies z spreads or more above; z is
-    chosen for ``false_share``.
+    chosen for ``false_share``. The mean counts ``MARGIN`` times, because in a language of few words the kept-apart texts hardly differ, and a passage of
+    other words would not pass.
     """
     rows = training_texts(docs, text, lang, doc_id, train_docs)
     words = rows.mapInArrow(_count_words, "_lang string, _word string, _times long")
