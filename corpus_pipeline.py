@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tablecraft.llm import decontamination, language_id, line_dedup, mixing, near_dup
 from tablecraft.session import scratch_path
 
-ORACLE_SQL = None  # language models and signatures are beyond SQL; tests/llm tests the operators, no test compares the stages
+ORACLE_SQL = None  # language models and signatures are beyond SQL; tests/llm/test_pipeline.py compares each stage with plain Python
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
