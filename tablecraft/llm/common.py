@@ -28,9 +28,11 @@ def row_key(*cols: str) -> list[Column]:
     return [F.xxhash64(*values, *marks).alias("_key1"), F.xxhash64(F.lit(77), *marks, *values).alias("_key2")]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """A table in the shared folder, read more than once."""
+def written(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """A table in the shared folder, read more than once; its path is added to ``paths``."""
     path = scratch_path(df.sparkSession, name)
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -17,20 +17,22 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecraft.llm.common import row_key, written
 from tablecraft.llm.language_id import END, START, SYMBOLS
+from tablecraft.llm.words import mix
+from tablecraft.session import delete_folder
 
 ORDER = 5
 MIN_PAIRS = 2
 PAIR_DISCOUNT = 0.5
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 BLOCK_WORDS = 100_000
 FLUSH_GRAMS = 500_000
-SLICE_TEXTS = 1000
-BEGIN_STATE, END_WORD, NO_WORD = -1, -2, -3
+PART_TIMES = 200_000
+NO_WORD = -1
 FLOOR = math.log(1e-3 / SYMBOLS)
 
 
@@ -102,21 +104,22 @@ def _grams(batches):
     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names)
 
 
-def sign_arcs(words: DataFrame, order: int = ORDER) -> DataFrame:
+def sign_arcs(words: DataFrame, order: int = ORDER, done: list[str] | None = None) -> DataFrame:
     """Arcs and back-off weights of all character states learned from all words (``_word``), each once: ``_gram``, ``_back``, ``_value``.
 
     ``_value`` is the natural log of the probability of the gram's last sign after the others or, where ``_back``, of the back-off weight
     of the gram as a context. Lower orders use continuation counts, except after the word's start, as ``language_id.fit`` does.
+    Paths of the tables it leaves are added to ``done``.
     """
     grams = words.select("_word").mapInArrow(_grams, "_gram string, _times long")
-    grams = written(grams.groupBy("_gram").agg(F.sum("_times").alias("_times")), "grams")
+    grams = written(grams.groupBy("_gram").agg(F.sum("_times").alias("_times")), "grams", done)
     of = lambda n: grams.filter(F.char_length("_gram") == n).select("_gram", F.col("_times").alias("_count"))
-    levels = {order: written(of(order), "grams-level")}
+    levels = {order: written(of(order), "grams-level", done)}
     for n in range(order - 1, 0, -1):
         left = levels[n + 1].select(F.substring("_gram", 2, n).alias("_gram"), F.lit(1).alias("_one"), F.lit(None).cast("long").alias("_own"))
         own = of(n).select("_gram", F.lit(0).alias("_one"), F.col("_count").alias("_own"))
         both = left.unionByName(own).groupBy("_gram").agg(F.coalesce(F.max("_own"), F.sum("_one")).alias("_count"))
-        levels[n] = written(both, "grams-level")
+        levels[n] = written(both, "grams-level", done)
     lower, arcs = None, []
     for n in range(1, order + 1):
         level = levels[n].withColumn("_context", F.substring("_gram", 1, n - 1))
@@ -132,7 +135,7 @@ def sign_arcs(words: DataFrame, order: int = ORDER) -> DataFrame:
             found = found.withColumn("_suffix", F.substring("_gram", 2, n - 1)).join(below, "_suffix").select(
                 "_gram", (share + F.col("_gamma") * F.col("_below")).alias("_p"))
             arcs.append(contexts.select(F.col("_context").alias("_gram"), F.lit(True).alias("_back"), F.log("_gamma").alias("_value")))
-        lower = written(found, "sign-arcs")
+        lower = written(found, "sign-arcs", done)
         arcs.append(lower.select("_gram", F.lit(False).alias("_back"), F.log("_p").alias("_value")))
     every = arcs[0]
     for more in arcs[1:]:
@@ -178,7 +181,7 @@ def sign_weight(signs: str, arcs: dict[str, float], backs: dict[str, float], lea
     return total
 
 
-def spelled(words: DataFrame, known: int, total: int) -> DataFrame:
+def spelled(words: DataFrame, known: int, total: int, done: list[str] | None = None) -> DataFrame:
     """``words`` with ``_signs``, the natural log of the probability of their signs; ``known`` of the ``total`` words are learned."""
     if not known:
         length = F.char_length(F.decode("_word", "UTF-8"))
@@ -186,7 +189,7 @@ def spelled(words: DataFrame, known: int, total: int) -> DataFrame:
     parts = max(1, math.ceil(total / BLOCK_WORDS))
     rows = words.withColumn("_part", F.pmod(F.xxhash64("_word"), F.lit(parts)))
     asked = rows.select("_part", "_word", "_times").mapInArrow(_asked_grams, "_part long, _gram string, _back boolean").distinct()
-    told = asked.join(sign_arcs(words.filter(F.col("_times") > 0)), ["_gram", "_back"])
+    told = asked.join(sign_arcs(words.filter(F.col("_times") > 0), done=done), ["_gram", "_back"])
 
     def weigh(own: pa.Table, grams: pa.Table) -> pa.Table:
         arcs, backs = {}, {}
@@ -208,53 +211,121 @@ def _joined(texts: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.concatenate([none, *states]), np.concatenate([none, *words]), np.array([len(c) + 1 for c in codes], np.int64)
 
 
-def _pairs(texts: pa.Table, own: pa.Table) -> pa.Table:
-    """Pairs of a state and a word that texts of the block have, with their counts in training texts; words as numbers of the whole."""
-    places = own.column("_place").to_numpy()
-    size = int(max(places.max(initial=-1), max((np.frombuffer(d, np.int32).max(initial=-1) for d in texts.column("_codes").to_pylist()), default=-1))) + 1
-    numbers = np.full(size + 2, NO_WORD, np.int64)
-    numbers[places] = own.column("_number").to_numpy()
-    numbers[size:] = BEGIN_STATE, END_WORD
-    seen, times, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-    while at < texts.num_rows:  # a few texts at a time, as the arrays of a whole block take much memory
-        part = texts.slice(at, SLICE_TEXTS)
-        states, words, lengths = _joined(part, size)
-        fit = (numbers[states] != NO_WORD) & (numbers[words] != NO_WORD)
-        train = np.repeat(np.array(part.column("_train").to_pylist(), bool), lengths)[fit]
-        keys, of = np.unique((states * (size + 2) + words)[fit], return_inverse=True)
-        seen.append(keys)
-        times.append(np.bincount(of, train, len(keys)).astype(np.int64))
-        at += SLICE_TEXTS
-    keys, of = np.unique(np.concatenate(seen), return_inverse=True)
-    seen, times = keys, np.bincount(of, np.concatenate(times), len(keys)).astype(np.int64)
-    block = texts.column("_block")[0].as_py() if texts.num_rows else 0
-    first, second = numbers[seen // (size + 2)], numbers[seen % (size + 2)]
-    order = np.lexsort((second, first))
-    return pa.table({"_block": np.full(len(seen), block, np.int64), "_state": first[order], "_next": second[order], "_times": times[order]})
-
-
-def learn_pairs(coded: DataFrame, told: DataFrame) -> DataFrame:
-    """The arcs that the texts of each block ask for: ``_block``, ``_state``, ``_next``, ``_all`` (the count in all training texts), ``_nth``
-    block that asks.
-
-    Both words of a pair that comes twice come twice, so only these words are numbered.
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes each as the largest needs."""
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    return bytes([kind.itemsize]) + values.astype(kind).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int64)
+
+
+class _Block:
+    """What is told of the words of a block, by place: counts, natural logs of sign weights, numbers of the whole (0 is the begin or the end,
+    ``NO_WORD`` a word in no pair that comes twice). ``states`` and ``read`` are the tokens of its texts."""
+
+    def __init__(self, texts: pa.Table, told: pa.Table, ends: int):
+        order = np.argsort(told.column("_place").to_numpy())
+        column = lambda name: told.column(name).to_numpy()[order]
+        self.size = len(order)
+        self.times = np.append(column("_times").astype(np.int64), [ends, ends])
+        self.signs = column("_signs")
+        number = np.append(column("_number") + 1, [0, 0])
+        self.number = np.where(self.times >= MIN_PAIRS, number, NO_WORD)
+        self.states, self.read, self.lengths = _joined(texts, self.size)
+        self.train = np.repeat(np.array(texts.column("_train").to_pylist(), bool), self.lengths)
+
+    def pairs(self, parts: int):
+        """Places in the tokens that have a pair of numbered words, the pair of each, and of the pairs: state and word as places, part."""
+        fit = np.flatnonzero((self.number[self.states] >= 0) & (self.number[self.read] >= 0))
+        keys, of = np.unique(self.states[fit] * (self.size + 2) + self.read[fit], return_inverse=True)
+        first, second = keys // (self.size + 2), keys % (self.size + 2)
+        # a state with very many occurrences is dealt to several parts by the word after it
+        salts = 1 + self.times[first] // PART_TIMES
+        dealt = self.number[first] * 1_000_003 + self.number[second] % salts
+        part = (mix(dealt.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        return fit, of, first, second, part
+
+
+def _merge(sent: pa.Table) -> pa.Table:
+    """For each block that sent pairs to this part their counts over all blocks, in its order; then the sums of each state over its arcs."""
+    rows = sent.select(["_block", "_states", "_runs", "_nexts", "_times", "_weights"]).to_pylist()
+    states = np.concatenate([np.repeat(_unpacked(r["_states"]), _unpacked(r["_runs"])) for r in rows])
+    nexts = np.concatenate([_unpacked(r["_nexts"]) for r in rows])
+    sizes = [len(_unpacked(r["_times"])) for r in rows]
+    own, state = np.unique(states, return_inverse=True)
+    width = int(nexts.max()) + 1
+    keys, of = np.unique(state * width + nexts, return_inverse=True)
+    del states, nexts, state
+    every = np.zeros(len(keys), np.int64)
+    weights = np.zeros(len(keys))
+    ends = np.cumsum(sizes)
+    for r, end, size in zip(rows, ends, sizes, strict=True):
+        here = of[end - size:end]
+        every[here] += _unpacked(r["_times"])  # a block sends a pair once
+        weights[here] = np.frombuffer(r["_weights"], np.float32)
+    arcs = every >= MIN_PAIRS
+    at = keys[arcs] // width
+    used = np.bincount(at, every[arcs] - PAIR_DISCOUNT, len(own))
+    root = np.bincount(at, weights[arcs], len(own))
+    has = np.bincount(at, minlength=len(own)) > 0
+    replies = [_packed(every[of[end - size:end]]) for end, size in zip(ends, sizes, strict=True)]
+    n, m = len(rows), int(has.sum())
+    part = sent.column("_part")[0].as_py()
+    return pa.table({
+        "_block": pa.array([*[r["_block"] for r in rows], *[None] * m], pa.int64()), "_part": pa.array([part] * (n + m), pa.int64()),
+        "_every": pa.array([*replies, *[None] * m], pa.binary()), "_state": pa.array([*[None] * n, *own[has].tolist()], pa.int64()),
+        "_used": pa.array([*[None] * n, *used[has].tolist()], pa.float64()), "_root": pa.array([*[None] * n, *root[has].tolist()], pa.float64())})
+
+
+def learn_pairs(texts: DataFrame, told: DataFrame, parts: int, ends: int, end_weight: float, n: int, v: int, discount: float) -> DataFrame:
+    """All pairs of texts, counted over all training texts, as rows of two kinds: for a block and a part ``_every``, the counts of the
+    pairs that the block sent there, and for a part and ``_state`` what its arcs take (``_used``, not yet divided by the state's count)
+    and what the root gives to the same words (``_root``).
+
+    A block sends each of its distinct pairs once, packed with the others of the same part, so there are never more rows than pairs. Both
+    words of a pair that comes twice come twice, so only these words have pairs. Root weights travel in single precision.
     """
-    texts = coded.filter(F.col("_codes").isNotNull()).select("_block", "_train", "_codes")
-    numbers = told.filter(F.col("_times") >= MIN_PAIRS).select("_block", "_place", "_number")
-    pairs = texts.groupBy("_block").cogroup(numbers.groupBy("_block")).applyInArrow(_pairs, "_block long, _state long, _next long, _times long")
-    same = Window.partitionBy("_state", "_next")
-    pairs = pairs.select("_block", "_state", "_next", F.sum("_times").over(same).alias("_all"), F.row_number().over(same.orderBy("_block")).alias("_nth"))
-    return written(pairs.filter(F.col("_all") >= MIN_PAIRS), "pairs")
-
-
-def state_sums(pairs: DataFrame, words: DataFrame, end_weight: float, n: int, v: int, discount: float) -> DataFrame:
-    """For each state with arcs what these take (``_used``, not yet divided by the state's count) and what the root gives to the same words (``_root``)."""
-    root = F.greatest(F.col("_times") - discount, F.lit(0.0)) / n + F.lit(discount * v / n) * F.exp("_signs")
-    roots = words.filter(F.col("_times") >= MIN_PAIRS).select(F.col("_number").alias("_next"), root.alias("_weight"))
-    once = pairs.filter(F.col("_nth") == 1)
-    ends = once.filter(F.col("_next") == END_WORD).withColumn("_weight", F.lit(end_weight)).select("_state", "_all", "_weight")
-    arcs = once.filter(F.col("_next") != END_WORD).join(roots, "_next").select("_state", "_all", "_weight").unionByName(ends)
-    return arcs.groupBy("_state").agg(F.sum(F.col("_all") - PAIR_DISCOUNT).alias("_used"), F.sum("_weight").alias("_root"))
+    def send(own_texts: pa.Table, own: pa.Table) -> pa.Table:
+        block = _Block(own_texts, own, ends)
+        fit, of, first, second, part = block.pairs(parts)
+        times = np.bincount(of, block.train[fit], len(first)).astype(np.int64)
+        weight = np.append(10 ** word_weight(block.times[:-2].astype(np.float64), block.signs, n, v, discount), [0.0, end_weight]).astype(np.float32)
+        order = np.argsort(part, kind="stable")
+        found, starts = np.unique(part[order], return_index=True)
+        rows = []
+        for p, here in zip(found.tolist(), np.split(order, starts[1:]), strict=True) if len(found) else ():
+            heads = np.flatnonzero(np.diff(first[here], prepend=-1))
+            rows.append((p, _packed(block.number[first[here][heads]]), _packed(np.diff(heads, append=len(here))), _packed(block.number[second[here]]),
+                         _packed(times[here]), weight[second[here]].tobytes()))
+        name = own_texts.column("_block")[0].as_py() if own_texts.num_rows else 0
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        return pa.table({"_block": pa.array([name] * len(rows), pa.int64()), "_part": pa.array(columns[0], pa.int64()),
+                         **{c: pa.array(x, pa.binary()) for c, x in zip(("_states", "_runs", "_nexts", "_times", "_weights"), columns[1:], strict=True)}})
+
+    sent = texts.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(
+        send, "_block long, _part long, _states binary, _runs binary, _nexts binary, _times binary, _weights binary")
+    return written(sent.groupBy("_part").applyInArrow(_merge, "_block long, _part long, _every binary, _state long, _used double, _root double"), "pairs")
+
+
+def _numbered(words: DataFrame, done: list[str]) -> DataFrame:
+    """``words`` with ``_number`` from 0 without gaps; frequent words get small numbers, which take less room in packed pairs."""
+    rough = written(words.orderBy(F.col("_times").desc(), "_word").withColumn("_rough", F.monotonically_increasing_id()), "rough", done)
+    of = F.shiftright("_rough", 33)
+    counts = {r["_of"]: r["_n"] for r in rough.groupBy(of.alias("_of")).agg(F.count(F.lit(1)).alias("_n")).collect()}  # one row a partition
+    starts, at = [], 0
+    for i in range(max(counts, default=0) + 1):
+        starts.append(at)
+        at += counts.get(i, 0)
+    first = F.get(F.lit(np.array(starts, np.int64)), of.cast("int"))
+    return rough.select("_word", "_times", (first + F.col("_rough").bitwiseAND(F.lit((1 << 33) - 1))).alias("_number"))
+
+
+def _drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables whose readers are done and written themselves."""
+    for path in paths:
+        delete_folder(spark, path)
 
 
 def score_texts(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -264,7 +335,7 @@ def score_texts(docs: DataFrame, held_out: Column, text: str = "text", doc_id: s
     end alone. With nothing to learn from, base and score follow the formulas with all counts 0. Repeated rows count each.
 
     Texts are dealt into blocks of about ``block_bytes`` by a hash; a block sends its distinct words and pairs once, and gets back the counts
-    and weights of just these, so neither a task nor the driver ever holds the model of the whole.
+    and weights of just these, so neither a task nor the driver ever holds the model of the whole. Scratch tables go once they are read.
     """
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`"))), F.sum(F.when(held_out, 0).otherwise(1))).first()
     blocks = max(1, math.ceil((size[0] or 0) / block_bytes))
@@ -276,7 +347,8 @@ def score_texts(docs: DataFrame, held_out: Column, text: str = "text", doc_id: s
         _encoder(id_type), f"_block long, _id {kind}, _train boolean, _codes binary, _place int, _word binary, _times long")
     coded = written(coded, "coded")
     asked = coded.filter(F.col("_word").isNotNull()).select("_block", "_place", "_word", "_times")
-    words = written(asked.groupBy("_word").agg(F.sum("_times").alias("_times")), "words")
+    spark, done = docs.sparkSession, []
+    words = written(asked.groupBy("_word").agg(F.sum("_times").alias("_times")), "words", done)
     n, v, once, twice, total = words.agg(F.sum("_times"), F.sum((F.col("_times") > 0).cast("long")), F.sum((F.col("_times") == 1).cast("long")),
                                          F.sum((F.col("_times") == 2).cast("long")), F.count(F.lit(1))).first()
     known, ends = int(v or 0), int(size[1] or 0)
@@ -285,56 +357,54 @@ def score_texts(docs: DataFrame, held_out: Column, text: str = "text", doc_id: s
     discount = min(max(discount, 0.1), 0.9)
     end_base = math.log10((ends + 1) / (n + v + 1))
     end = float(word_weight(np.array([float(ends)]), np.array([-math.inf]), n, v, discount)[0]) if ends else end_base
-    # frequent words get small numbers, which take less room in the tables of pairs
-    numbered = written(words.orderBy(F.col("_times").desc(), "_word").withColumn("_number", F.monotonically_increasing_id()), "numbered")
-    weighted = written(spelled(numbered, known, total).select("_number", "_word", "_times", "_signs"), "weighted")
+    numbered = written(_numbered(words, done), "numbered", done)
+    last: list[str] = []
+    weighted = written(spelled(numbered, known, total, done).select("_number", "_word", "_times", "_signs"), "weighted", last)
+    _drop(spark, done)
     told = asked.select("_block", "_place", "_word").join(weighted, "_word").select("_block", "_place", "_number", "_times", "_signs")
     told = written(told, "told")
-    pairs = learn_pairs(coded, told)
-    sums = written(state_sums(pairs, weighted, 10 ** end, max(n, 1), v, discount), "states")
-    start = sums.filter(F.col("_state") == BEGIN_STATE).first()  # one row
+    _drop(spark, last)
+    texts = coded.filter(F.col("_codes").isNotNull()).select("_block", "_id", "_train", "_codes")
+    pairs = learn_pairs(texts.drop("_id"), told, blocks, ends, 10 ** end, n, v, discount)
+    sums = pairs.filter(F.col("_state").isNotNull()).groupBy("_state").agg(F.sum("_used").alias("_used"), F.sum("_root").alias("_root"))
+    sums = written(sums, "states")
+    start = sums.filter(F.col("_state") == 0).first()  # one row
     start_sums = (float(start["_used"]), float(start["_root"])) if start else (0.0, 0.0)
-    states = sums.withColumnRenamed("_state", "_number")
     nothing = lambda kind: F.lit(None).cast(kind)
-    arcs = pairs.select("_block", nothing("int").alias("_place"), F.col("_state").alias("_number"), F.col("_all").alias("_times"), nothing("double").alias("_signs"),
-                        nothing("double").alias("_used"), nothing("double").alias("_root"), "_next")
-    model = told.join(states, "_number", "left").select("_block", "_place", "_number", "_times", "_signs", "_used", "_root", nothing("long").alias("_next")).unionByName(arcs)
+    states = sums.select((F.col("_state") - 1).alias("_number"), "_used", "_root")
+    replies = pairs.filter(F.col("_every").isNotNull()).select(
+        "_block", nothing("int").alias("_place"), nothing("long").alias("_number"), nothing("long").alias("_times"), nothing("double").alias("_signs"),
+        nothing("double").alias("_used"), nothing("double").alias("_root"), "_part", "_every")
+    model = told.join(states, "_number", "left").select("_block", "_place", "_number", "_times", "_signs", "_used", "_root", nothing("long").alias("_part"),
+                                                        nothing("binary").alias("_every")).unionByName(replies)
 
     def score(texts: pa.Table, own: pa.Table) -> pa.Table:
-        is_word = pc.is_null(own.column("_next"))
-        listed, linked = own.filter(is_word), own.filter(pc.invert(is_word))
+        is_word = pc.is_null(own.column("_part"))
+        listed, linked = own.filter(is_word), own.filter(pc.invert(is_word)).select(["_part", "_every"])
+        block = _Block(texts, listed, ends)
         order = np.argsort(listed.column("_place").to_numpy())
-        column = lambda name: listed.column(name).to_numpy()[order]
-        size, number, times = len(order), column("_number"), column("_times").astype(np.float64)
-        weight = np.append(word_weight(times, column("_signs"), n, v, discount), [0.0, end])
-        base = np.append(np.log10((times + 1) / (n + v + 1)), [0.0, end_base])
-        count = np.append(times, [ends, 0])
-        used, root = (np.append(np.nan_to_num(column(name).astype(np.float64)), [start_sums[i], 0.0]) for i, name in enumerate(("_used", "_root")))
-        backoff = np.log10(np.maximum(1 - used / np.maximum(count, 1), 1e-9) / np.maximum(1 - root, 1e-9))
-        by_number = np.argsort(number)
-
-        def place(numbers):
-            at = by_number[np.minimum(np.searchsorted(number[by_number], numbers), size - 1)] if size else np.zeros(len(numbers), np.int64)
-            return np.where(numbers == BEGIN_STATE, size, np.where(numbers == END_WORD, size + 1, at))
-        first = place(linked.column("_number").to_numpy())
-        keys = first * (size + 2) + place(linked.column("_next").to_numpy())
-        share = np.log10((linked.column("_times").to_numpy() - PAIR_DISCOUNT) / np.maximum(count[first], 1))
-        sort = np.argsort(keys)
-        keys, share = keys[sort], share[sort]
-        states, read, lengths = _joined(texts, size)
+        times, states, read, lengths = block.times.astype(np.float64), block.states, block.read, block.lengths
+        weight = np.append(word_weight(times[:-2], block.signs, n, v, discount), [0.0, end])
+        base = np.append(np.log10((times[:-2] + 1) / (n + v + 1)), [0.0, end_base])
+        used, root = (np.append(np.nan_to_num(listed.column(name).to_numpy()[order].astype(np.float64)), [start_sums[i], 0.0]) for i, name in enumerate(("_used", "_root")))
+        backoff = np.log10(np.maximum(1 - used / np.maximum(times, 1), 1e-9) / np.maximum(1 - root, 1e-9))
         value = backoff[states] + weight[read]
-        if len(keys):
-            wanted = states * (size + 2) + read
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            value = np.where(keys[at] == wanted, share[at], value)
+        fit, of, first, _, part = block.pairs(blocks)
+        if len(first):
+            every = np.zeros(len(first), np.int64)
+            by_part = np.argsort(part, kind="stable")
+            edges = np.searchsorted(part[by_part], np.arange(blocks + 1))
+            for p, data in zip(linked.column("_part").to_pylist(), linked.column("_every").to_pylist(), strict=True):
+                every[by_part[edges[p]:edges[p + 1]]] = _unpacked(data)
+            share = np.log10(np.maximum(every - PAIR_DISCOUNT, PAIR_DISCOUNT) / np.maximum(times[first], 1))
+            value[fit] = np.where(every[of] >= MIN_PAIRS, share[of], value[fit])
         starts = np.cumsum(lengths) - lengths
         total = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0, x.dtype)
-        learned = np.append(times > 0, [False, ends > 0]).astype(np.int64)
+        learned = np.append(times[:-2] > 0, [False, ends > 0]).astype(np.int64)
         return pa.table({"_id": texts.column("_id"), "_train": texts.column("_train"), "n_tokens": lengths, "n_known": total(learned[read]),
                          "base_score": total(base[read]), "score": total(value)})
 
-    scored = coded.filter(F.col("_codes").isNotNull()).select("_block", "_id", "_train", "_codes")
-    scored = scored.groupBy("_block").cogroup(model.groupBy("_block")).applyInArrow(
+    scored = texts.groupBy("_block").cogroup(model.groupBy("_block")).applyInArrow(
         score, f"_id {kind}, _train boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("_id").alias(doc_id), (~F.col("_train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
                          "base_score", "score")
