@@ -49,6 +49,20 @@ class _Places(dict):
         return place
 
 
+def _table(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """``written``, closely compressed; Spark deletes the shuffle files of the write at its end, as nothing reads them again."""
+    conf = df.sparkSession.conf
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd"}
+    before = {key: conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        conf.set(key, value)
+    try:
+        return written(df, name, paths)
+    finally:
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
+
+
 def _encoder(kind: pa.DataType):
     """Texts as places of their words in the word list of their block, then these lists with the counts in training texts."""
     names = ["_block", "_id", "_train", "_codes", "_place", "_word", "_times"]
@@ -112,14 +126,14 @@ def sign_arcs(words: DataFrame, order: int = ORDER, done: list[str] | None = Non
     Paths of the tables it leaves are added to ``done``.
     """
     grams = words.select("_word").mapInArrow(_grams, "_gram string, _times long")
-    grams = written(grams.groupBy("_gram").agg(F.sum("_times").alias("_times")), "grams", done)
+    grams = _table(grams.groupBy("_gram").agg(F.sum("_times").alias("_times")), "grams", done)
     of = lambda n: grams.filter(F.char_length("_gram") == n).select("_gram", F.col("_times").alias("_count"))
-    levels = {order: written(of(order), "grams-level", done)}
+    levels = {order: _table(of(order), "grams-level", done)}
     for n in range(order - 1, 0, -1):
         left = levels[n + 1].select(F.substring("_gram", 2, n).alias("_gram"), F.lit(1).alias("_one"), F.lit(None).cast("long").alias("_own"))
         own = of(n).select("_gram", F.lit(0).alias("_one"), F.col("_count").alias("_own"))
         both = left.unionByName(own).groupBy("_gram").agg(F.coalesce(F.max("_own"), F.sum("_one")).alias("_count"))
-        levels[n] = written(both, "grams-level", done)
+        levels[n] = _table(both, "grams-level", done)
     lower, arcs = None, []
     for n in range(1, order + 1):
         level = levels[n].withColumn("_context", F.substring("_gram", 1, n - 1))
@@ -135,7 +149,7 @@ def sign_arcs(words: DataFrame, order: int = ORDER, done: list[str] | None = Non
             found = found.withColumn("_suffix", F.substring("_gram", 2, n - 1)).join(below, "_suffix").select(
                 "_gram", (share + F.col("_gamma") * F.col("_below")).alias("_p"))
             arcs.append(contexts.select(F.col("_context").alias("_gram"), F.lit(True).alias("_back"), F.log("_gamma").alias("_value")))
-        lower = written(found, "sign-arcs", done)
+        lower = _table(found, "sign-arcs", done)
         arcs.append(lower.select("_gram", F.lit(False).alias("_back"), F.log("_p").alias("_value")))
     every = arcs[0]
     for more in arcs[1:]:
@@ -145,24 +159,25 @@ def sign_arcs(words: DataFrame, order: int = ORDER, done: list[str] | None = Non
 
 def _asked_grams(batches):
     """(word block, gram, whether as a context) of the words that pass by; learned words have all their longest grams."""
-    asked: dict[int, set] = defaultdict(set)
+    asked: dict[int, tuple[set, set]] = defaultdict(lambda: (set(), set()))
 
     def flush():
-        for block, own in asked.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block, np.int64)), pa.array([g for g, _ in own], pa.string()),
-                                              pa.array([b for _, b in own], pa.bool_())], ["_part", "_gram", "_back"])
+        for block, both in asked.items():
+            for back, own in enumerate(both):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block, np.int64)), pa.array(list(own), pa.string()),
+                                                  pa.array(np.full(len(own), bool(back)))], ["_part", "_gram", "_back"])
         asked.clear()
 
     for batch in batches:
         for block, word, times in zip(*[batch.column(c).to_pylist() for c in ("_part", "_word", "_times")], strict=True):
-            signs, own = padded(word), asked[block]
-            if times:
-                own.update([(g, False) for g in longest_grams(signs)])
-            else:
-                for g in longest_grams(signs):
-                    own.update([(g[-n:], False) for n in range(1, len(g) + 1)])
-                    own.update([(g[-n:-1], True) for n in range(2, len(g) + 1)])
-        if sum(map(len, asked.values())) > FLUSH_GRAMS:
+            arcs, backs = asked[block]
+            grams = longest_grams(padded(word))
+            arcs.update(grams)
+            if not times:
+                for g in grams:
+                    arcs.update([g[-n:] for n in range(1, len(g))])
+                    backs.update([g[-n:-1] for n in range(2, len(g) + 1)])
+        if sum(len(a) + len(b) for a, b in asked.values()) > FLUSH_GRAMS:
             yield from flush()
     yield from flush()
 
@@ -306,12 +321,12 @@ def learn_pairs(texts: DataFrame, told: DataFrame, parts: int, ends: int, end_we
 
     sent = texts.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(
         send, "_block long, _part long, _states binary, _runs binary, _nexts binary, _times binary, _weights binary")
-    return written(sent.groupBy("_part").applyInArrow(_merge, "_block long, _part long, _every binary, _state long, _used double, _root double"), "pairs")
+    return _table(sent.groupBy("_part").applyInArrow(_merge, "_block long, _part long, _every binary, _state long, _used double, _root double"), "pairs")
 
 
 def _numbered(words: DataFrame, done: list[str]) -> DataFrame:
     """``words`` with ``_number`` from 0 without gaps; frequent words get small numbers, which take less room in packed pairs."""
-    rough = written(words.orderBy(F.col("_times").desc(), "_word").withColumn("_rough", F.monotonically_increasing_id()), "rough", done)
+    rough = _table(words.orderBy(F.col("_times").desc(), "_word").withColumn("_rough", F.monotonically_increasing_id()), "rough", done)
     of = F.shiftright("_rough", 33)
     counts = {r["_of"]: r["_n"] for r in rough.groupBy(of.alias("_of")).agg(F.count(F.lit(1)).alias("_n")).collect()}  # one row a partition
     starts, at = [], 0
@@ -345,10 +360,10 @@ def score_texts(docs: DataFrame, held_out: Column, text: str = "text", doc_id: s
     id_type = rows.select("_id").limit(0).toArrow().schema.field(0).type
     coded = rows.repartition(blocks, "_block").mapInArrow(
         _encoder(id_type), f"_block long, _id {kind}, _train boolean, _codes binary, _place int, _word binary, _times long")
-    coded = written(coded, "coded")
+    coded = _table(coded, "coded")
     asked = coded.filter(F.col("_word").isNotNull()).select("_block", "_place", "_word", "_times")
     spark, done = docs.sparkSession, []
-    words = written(asked.groupBy("_word").agg(F.sum("_times").alias("_times")), "words", done)
+    words = _table(asked.groupBy("_word").agg(F.sum("_times").alias("_times")), "words", done)
     n, v, once, twice, total = words.agg(F.sum("_times"), F.sum((F.col("_times") > 0).cast("long")), F.sum((F.col("_times") == 1).cast("long")),
                                          F.sum((F.col("_times") == 2).cast("long")), F.count(F.lit(1))).first()
     known, ends = int(v or 0), int(size[1] or 0)
@@ -357,17 +372,17 @@ def score_texts(docs: DataFrame, held_out: Column, text: str = "text", doc_id: s
     discount = min(max(discount, 0.1), 0.9)
     end_base = math.log10((ends + 1) / (n + v + 1))
     end = float(word_weight(np.array([float(ends)]), np.array([-math.inf]), n, v, discount)[0]) if ends else end_base
-    numbered = written(_numbered(words, done), "numbered", done)
+    numbered = _table(_numbered(words, done), "numbered", done)
     last: list[str] = []
-    weighted = written(spelled(numbered, known, total, done).select("_number", "_word", "_times", "_signs"), "weighted", last)
+    weighted = _table(spelled(numbered, known, total, done).select("_number", "_word", "_times", "_signs"), "weighted", last)
     _drop(spark, done)
     told = asked.select("_block", "_place", "_word").join(weighted, "_word").select("_block", "_place", "_number", "_times", "_signs")
-    told = written(told, "told")
+    told = _table(told, "told")
     _drop(spark, last)
     texts = coded.filter(F.col("_codes").isNotNull()).select("_block", "_id", "_train", "_codes")
     pairs = learn_pairs(texts.drop("_id"), told, blocks, ends, 10 ** end, n, v, discount)
     sums = pairs.filter(F.col("_state").isNotNull()).groupBy("_state").agg(F.sum("_used").alias("_used"), F.sum("_root").alias("_root"))
-    sums = written(sums, "states")
+    sums = _table(sums, "states")
     start = sums.filter(F.col("_state") == 0).first()  # one row
     start_sums = (float(start["_used"]), float(start["_root"])) if start else (0.0, 0.0)
     nothing = lambda kind: F.lit(None).cast(kind)
