@@ -241,13 +241,14 @@ class _Block:
     ``NO_WORD`` a word in no pair that comes twice). ``states`` and ``read`` are the tokens of its texts."""
 
     def __init__(self, texts: pa.Table, told: pa.Table, ends: int):
-        order = np.argsort(told.column("_place").to_numpy())
-        column = lambda name: told.column(name).to_numpy()[order]
-        self.size = len(order)
-        self.times = np.append(column("_times").astype(np.int64), [ends, ends])
-        self.signs = column("_signs")
-        number = np.append(column("_number") + 1, [0, 0])
-        self.number = np.where(self.times >= MIN_PAIRS, number, NO_WORD)
+        places = told.column("_place").to_numpy()
+        longest = max((np.frombuffer(d, np.int32).max(initial=-1) for d in texts.column("_codes").to_pylist()), default=-1)
+        self.size = int(max(places.max(initial=-1), longest)) + 1
+        self.times, self.signs, self.number = np.zeros(self.size + 2, np.int64), np.zeros(self.size), np.zeros(self.size + 2, np.int64)
+        self.times[self.size:] = ends
+        self.times[places], self.signs[places], self.number[places] = (told.column(c).to_numpy() for c in ("_times", "_signs", "_number"))
+        self.number[:self.size] += 1
+        self.number[self.times < MIN_PAIRS] = NO_WORD
         self.states, self.read, self.lengths = _joined(texts, self.size)
         self.train = np.repeat(np.array(texts.column("_train").to_pylist(), bool), self.lengths)
 
@@ -380,7 +381,7 @@ def score_texts(docs: DataFrame, held_out: Column, text: str = "text", doc_id: s
     told = _table(told, "told")
     _drop(spark, last)
     texts = coded.filter(F.col("_codes").isNotNull()).select("_block", "_id", "_train", "_codes")
-    pairs = learn_pairs(texts.drop("_id"), told, blocks, ends, 10 ** end, n, v, discount)
+    pairs = learn_pairs(texts.drop("_id"), told.filter(F.col("_times") >= MIN_PAIRS), blocks, ends, 10 ** end, n, v, discount)
     sums = pairs.filter(F.col("_state").isNotNull()).groupBy("_state").agg(F.sum("_used").alias("_used"), F.sum("_root").alias("_root"))
     sums = _table(sums, "states")
     start = sums.filter(F.col("_state") == 0).first()  # one row
