@@ -1,5 +1,7 @@
 """Joins, pivots and window operators on literal frames, and the shape of their plans."""
 
+import itertools
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -51,6 +53,27 @@ def test_wide_table_equals_full_outer_chain(spark, order):
     assert sorted(map(tuple, wide.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
+@pytest.mark.parametrize("sizes", [(3000, 200), (200, 3000)])
+def test_children_that_multiply_are_dealt_out(spark, monkeypatch, sizes):
+    for name, value in {"HOT_ROWS": 1000, "TASK_ROWS": 10_000, "BLOCK_ROWS": 64}.items():
+        monkeypatch.setattr(jn, name, value, raising=False)
+    parent = spark.createDataFrame([(1,), (1,), (2,), (3,), (None,)], "id int")
+    # Key 1 is hot and stands twice in the parent, 2 has children on one side only, 9 is no parent.
+    left, right = [spark.range(n).selectExpr("id as v", f"cast(case when id = 5 then null when id < 4 then 9 when id < 7 then {k} else 1 end as int) as k")
+                   for n, k in zip(sizes, (2, 4))]
+    fks = [ForeignKey("a", ("k",), "p", ("id",)), ForeignKey("b", ("k",), "p", ("id",))]
+    wide = jn.wide_table({"p": parent, "a": left, "b": right}, fks)
+    names = {n: f.select(*[F.col(x).alias(f"{n}_{x}") for x in f.columns]) for n, f in (("p", parent), ("a", left), ("b", right))}
+    want = names["p"].join(names["a"], F.col("a_k") == F.col("p_id"), "full").join(names["b"], F.col("b_k") == F.col("p_id"), "full").select(wide.columns)
+    assert wide.exceptAll(want).isEmpty() and want.exceptAll(wide).isEmpty()
+    per_task = [r["count"] for r in wide.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) > 1_000_000 and max(per_task) < 60_000
+    # One side's values stand in runs, so that files of the product stay small.
+    big = "a_v" if sizes[0] > sizes[1] else "b_v"
+    runs = wide.rdd.mapPartitions(lambda rows: [sum(1 for _ in itertools.groupby(r[big] for r in rows))]).sum()
+    assert runs < sum(per_task) / 30
+
+
 def test_table_without_path_is_an_error(spark):
     with pytest.raises(ValueError, match="no foreign key path"):
         jn.wide_table({"a": spark.range(1), "b": spark.range(1)}, [])
