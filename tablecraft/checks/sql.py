@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablecraft.checks.registry import check, table
 from tablecraft.session import scratch_path
 from tablecraft.sources import sql as us
+from tablecraft.sources.files import parquet_ranges, read_range
 
 # The same text runs in both engines.
 PLAIN = {
@@ -64,15 +65,10 @@ def u1(spark, sf):
 @check("u1_user_source_in_parts", "SELECT o_orderkey, o_custkey, upper(o_orderpriority) AS priority, 'u2' AS _load_id FROM orders")
 def u1_parts(spark, sf):
     """Each part is a range of rows of a file; the user function reads it in a task."""
-    import pyarrow.parquet as pq
-    path = f"{sf}/orders.parquet"
-    count = table(spark, sf, "orders").count()
-
     def read(part):
-        first, last = part
-        for row in pq.read_table(path, columns=["o_orderkey", "o_custkey", "o_orderpriority"]).slice(first, last - first).to_pylist():
-            yield {"o_orderkey": row["o_orderkey"], "o_custkey": row["o_custkey"], "priority": row["o_orderpriority"].upper()}
+        for batch in read_range(part, ["o_orderkey", "o_custkey", "o_orderpriority"]):
+            for row in batch.to_pylist():
+                yield {"o_orderkey": row["o_orderkey"], "o_custkey": row["o_custkey"], "priority": row["o_orderpriority"].upper()}
 
-    step = max(1, -(-count // 8))
-    parts = [(first, min(first + step, count)) for first in range(0, count, step)]
+    parts = parquet_ranges(f"{sf}/orders.parquet")
     return us.from_parts(spark, read, parts, "o_orderkey bigint, o_custkey bigint, priority string", scratch_path(spark, "user-parts"), ["o_orderkey"], "u2")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import io
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import BinaryIO
 from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.dataset as ds
 import pyarrow.parquet as pq
 from pyarrow import csv, fs
 from pyspark.errors import AnalysisException, PySparkTypeError
@@ -21,6 +22,9 @@ from pyspark.sql.pandas.types import from_arrow_type
 from tablecraft.functions.fixed_values import STAGING_SUFFIX, SYSTEM_PREFIX
 
 FORMATS = {"csv": "csv", "jsonl": "json", "ndjson": "json", "json": "json", "parquet": "parquet"}
+# Rows of a Parquet file that a task reads one after another, and rows it holds at a time.
+PART_ROWS = 500_000
+BATCH_ROWS = 10_000
 # How much of a text file its schema is taken from.
 SAMPLE_BYTES = 1 << 20
 S3_ANONYMOUS = {"fs.s3a.aws.credentials.provider": "org.apache.hadoop.fs.s3a.AnonymousAWSCredentialsProvider"}
@@ -81,6 +85,38 @@ def file_schemas(spark: SparkSession, base: str, pattern: str, open_file: Callab
     return listing.mapInArrow(describe, "file string, position int, column string, type string")
 
 
+def parquet_ranges(path: str, tasks: int = 8) -> list[tuple]:
+    """A Parquet file or folder as parts for ``read_range``: ranges of rows, at least ``tasks`` of them if there are rows
+    for it, and of at most ``PART_ROWS``. Only the footers are read."""
+    found = ds.dataset(path, format="parquet")
+    files = [(f.path, [(g.id, g.num_rows) for g in f.row_groups]) for f in found.get_fragments()]
+    step = max(1, min(PART_ROWS, -(-sum(n for _, groups in files for _, n in groups) // tasks)))
+    parts = []
+    for file, groups in files:
+        spans, count = [], 0
+        for group, n in groups:
+            spans.append((group, count, count + n))
+            count += n
+        for first in range(0, count, step):
+            last = min(first + step, count)
+            held = [(group, start) for group, start, end in spans if start < last and end > first]
+            parts.append((found.filesystem, file, [group for group, _ in held], first - held[0][1], last - held[0][1]))
+    return parts
+
+
+def read_range(part: tuple, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of a part, ``BATCH_ROWS`` at a time; of the file only the row groups with these rows are read, as a stream."""
+    system, file, groups, first, last = part
+    with system.open_input_file(file) as opened:
+        seen = 0
+        for batch in pq.ParquetFile(opened, buffer_size=1 << 20).iter_batches(BATCH_ROWS, groups, columns, use_threads=False):
+            start, seen = seen, seen + batch.num_rows
+            if seen > first:
+                yield batch.slice(max(0, first - start), min(last, seen) - max(first, start))
+            if seen >= last:
+                break
+
+
 def _open_anywhere(path: str) -> BinaryIO:
     scheme, _, rest = path.partition(":")
     if scheme == "file":

@@ -2,9 +2,12 @@
 
 import time
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tablecraft.checks import sql as user_sources
 from tablecraft.functions.aggs import Agg
 from tablecraft.operators.joins import ForeignKey, wide_table
 from tablecraft.plans.recipe import Aggregate, Dedup, Drop, Filter, apply_counted
@@ -100,6 +103,36 @@ def test_user_sources_are_read_in_tasks(spark):
     assert read_parts(spark, read, [], "k long, v string").count() == 0
 
 
+def test_ranges_of_parquet_files_are_streamed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "PART_ROWS", 700, raising=False)
+    pq.write_table(pa.table({"k": list(range(10_000)), "v": [f"v{i}" for i in range(10_000)]}), tmp_path / "a.parquet", row_group_size=450)
+    pq.write_table(pa.table({"k": list(range(10_000, 10_300)), "v": [None] * 300}, schema=pa.schema({"k": pa.int64(), "v": pa.string()})), tmp_path / "b.parquet")
+    pq.write_table(pa.table({"k": pa.array([], pa.int64()), "v": pa.array([], pa.string())}), tmp_path / "c.parquet")
+    parts = files.parquet_ranges(str(tmp_path))
+    assert len(parts) == 16 and all(len(groups) <= 3 for _, _, groups, _, _ in parts)
+    got = [[b for b in files.read_range(p, ["k"])] for p in parts]
+    assert [k for part in got for b in part for k in b.column(0).to_pylist()] == list(range(10_300))
+    assert max(sum(b.num_rows for b in part) for part in got) == 700 and got[0][0].schema.names == ["k"]
+    assert files.parquet_ranges(str(tmp_path / "c.parquet")) == []
+
+
+def test_user_source_does_not_read_whole_files(spark, sf, tmp_path, monkeypatch):
+    orders = pq.read_table(f"{sf}/orders.parquet")
+    pq.write_table(orders, tmp_path / "orders.parquet", row_group_size=100)
+
+    def whole(*args, **kwargs):
+        raise AssertionError("a whole file was read")
+    monkeypatch.setattr(pq, "read_table", whole)
+    taken = []
+    monkeypatch.setattr(user_sources.us, "from_parts", lambda spark, read, parts, *rest: taken.append((read, parts)))
+    user_sources.u1_parts(spark, str(tmp_path))
+    read, parts = taken[0]
+    rows = [r for p in parts for r in read(p)]
+    assert len(parts) == 8 and rows == [
+        {"o_orderkey": r["o_orderkey"], "o_custkey": r["o_custkey"], "priority": r["o_orderpriority"].upper()}
+        for r in orders.select(["o_orderkey", "o_custkey", "o_orderpriority"]).to_pylist()]
+
+
 def test_counts_of_a_recipe(spark):
     df = spark.createDataFrame([(i, i % 4) for i in range(40)], "v int, g int")
     out, counts = apply_counted(df, [Aggregate("g", Agg("max", "v", "top")), Filter("v > 9"), Dedup(("g",)), Drop(("top",))])
