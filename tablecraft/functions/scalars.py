@@ -66,7 +66,8 @@ def label_or(col: str, missing: str) -> Column:
 
 
 def starts_with_any(col: Column, prefixes: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [col.startswith(p) for p in prefixes], F.lit(False))
+    """One pattern for all prefixes: a filter that is pushed below the expression of ``col`` computes it once, not once per prefix."""
+    return col.rlike("^(?:" + "|".join(map(re.escape, prefixes)) + ")") if prefixes else F.lit(False)
 
 
 def normalised_id(col: Column) -> Column:

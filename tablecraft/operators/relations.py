@@ -19,7 +19,7 @@ CUT = 6
 def module_list(models: DataFrame, excludes: list[str] | None = None) -> DataFrame:
     """Business modules: the upper-case first part of the names of permanent base models."""
     kept = models.filter(~F.col("transient") & (F.col("state") == "base"))
-    modules = kept.select(F.upper(F.split_part("model", F.lit("."), F.lit(1))).alias("table_name")).distinct()
+    modules = kept.select(F.upper(F.substring_index("model", ".", 1)).alias("table_name")).distinct()
     name = F.col("table_name")
     wanted = (~starts_with_any(name, fixed.MODULE_EXCLUDES if excludes is None else excludes)
               & name.rlike("^[A-Z]") & (F.length(name) > 2))

@@ -5,6 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from tablecraft.functions.scalars import starts_with_any
 from tablecraft.operators import catalog as ct
 from tablecraft.operators import logs as lg
 from tablecraft.operators import relations as rl
@@ -186,3 +187,23 @@ def test_silent_runs_are_forgotten(spark):
         time.sleep(0.1)
     got = [r for r in levels(spark.read.parquet(sink)) if r[0] != "na"]
     assert got == [("other", "x", "INFO"), ("r", "e", "ERROR"), ("r", "y", "INFO")]
+
+
+def test_prefixes_are_plain_text_and_one_expression(spark):
+    texts = ["a.b_x", "axb_x", "c+(d", "cc(d", "\\E[z", "É-1", "xa.b_", "\na.b_", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for prefixes in (["a.b_", "c+(", "\\E[", "É-", "a b#"], ["IR"], [""], []):
+        got = [r[0] for r in df.select(starts_with_any(F.col("t"), prefixes)).collect()]
+        assert got == [bool(prefixes and t.startswith(tuple(prefixes))) if t is not None or not prefixes else None for t in texts]
+    # A filter that is pushed below the name must not compute it once for each prefix.
+    many = [f"P{i}" for i in range(40)]
+    plan = df.select(F.reverse("t").alias("name")).filter(starts_with_any(F.col("name"), many))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("reverse(") <= 3
+
+
+def test_module_names(spark):
+    names = ["sale.order", "Sale.line", "account", "web.x", "ir", "ab.c", "9x.a", "", "stock..x", ".stock", None, "éa.b", "aßb.c"]
+    models = spark.createDataFrame([(n, False, "base") for n in names] + [("crm.a", True, "base"), ("hr.a.b", False, "manual"), ("hrm.a.b", False, "base")],
+                                   "model string, transient boolean, state string")
+    got = sorted(tuple(r) for r in rl.module_list(models).collect())
+    assert got == [(1, None, n, n) for n in ("ACCOUNT", "ASSB", "HRM", "SALE", "STOCK")]
