@@ -74,6 +74,27 @@ def test_children_that_multiply_are_dealt_out(spark, monkeypatch, sizes):
     assert runs < sum(per_task) / 30
 
 
+def test_null_child_keys_are_spread(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        parent = spark.range(500).selectExpr("if(id = 0, null, id) as k", "id % 3 as s", "cast(id as string) as name")
+        child = spark.range(20000).selectExpr("id", "if(id % 2 = 0, null, id % 600) as k", "if(id % 5 = 0, null, id % 3) as s")
+        for keys in (("k",), ("k", "s")):
+            wide = jn.wide_table({"p": parent, "c": child}, [ForeignKey("c", keys, "p", keys)])
+            p, c = [f.select(*[F.col(x).alias(f"{n}_{x}") for x in f.columns]) for n, f in (("p", parent), ("c", child))]
+            on = [F.col(f"c_{k}") == F.col(f"p_{k}") for k in keys]
+            want = p.join(c, on, "full").select(wide.columns)
+            assert wide.exceptAll(want).isEmpty() and want.exceptAll(wide).isEmpty()
+            per_task = [r["count"] for r in wide.groupBy(F.spark_partition_id()).count().collect()]
+            assert max(per_task) < sum(per_task) / 4
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+
+
 def test_table_without_path_is_an_error(spark):
     with pytest.raises(ValueError, match="no foreign key path"):
         jn.wide_table({"a": spark.range(1), "b": spark.range(1)}, [])
