@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablecraft.llm.common import BLANK, row_key, running_before
 from tablecraft.session import materialise
 
 SAMPLES = 128
-# Two at once keep the generated code short enough to be compiled; a divisor of four.
-AT_ONCE = 2
+# Terms of a key that a sample compares, on average.
+EXPECTED = 24.0
+# Cells of the table of r up to which a term is judged by c alone, before either is read.
+STEPS = (110, 160, 200, 230)
 SCALE = float(1 << 24)
 CELLS = 256
 FIRST_CELLS = 16
@@ -35,63 +38,104 @@ def _between(table: np.ndarray, cell: Column, rest: Column) -> Column:
     return F.get(F.lit(table[:-1]), cell) + rest * F.get(F.lit(np.diff(table)), cell)
 
 
+def _held(value: Column) -> Column:
+    """The value, in a projection that the optimizer neither merges nor moves a filter below, which would compute its inputs twice."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def _sampled(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and a column ``_s0`` .. for each of the ``AT_ONCE`` samples from ``_part`` on: the sampled (term, level) of one term as a number that
-    sorts by the sample's key, for the log weight ``_w``.
+    """``keep`` and ``_s``, the sampled (term, level) of one term in sample ``_at`` as a number that sorts by the sample's key, for the log weight
+    ``_w``; only those with a key below ``_limit``, and all of sample 0.
 
     r and c are Gamma(2, 1), beta is uniform, all fixed by term and number of the sample: t = floor(ln w / r + beta) and
     ln a = ln c - r * (t - beta + 1). The term of the smallest a is the sample, and two weighted sets have the same sample with
     probability sum(min) / sum(max) of their weights. r and ln c are read from tables of quantiles at the square root of a uniform number, which
     saves the logarithms; below ``FIRST_CELLS`` ln c follows the series of the quantile. That is off by less than 0.001 of the value but for
     the largest one in a hundred, far below what 128 samples can tell. Each step is a projection, so that nothing is computed twice.
+    As ln a is at least ln c - ln w - r, many terms are out by the bits of their hash (``_bars``) and most before beta is drawn.
     """
-    quantiles, n = _gamma_quantiles(), range(AT_ONCE)
+    quantiles = _gamma_quantiles()
     low = lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5
     high = lambda c: F.shiftrightunsigned(c, 32).cast("double") + 0.5
     scale = CELLS / 65536
-    rows = rows.select(*keep, "_w", *[F.xxhash64("_term", F.col("_part") + j).alias(f"_h{j}") for j in n])
-    rows = rows.select(*keep, "_w", *[(F.sqrt(low(F.col(f"_h{j}"))) * scale).alias(f"_r{j}") for j in n],
-                       *[(F.sqrt(high(F.col(f"_h{j}"))) * scale).alias(f"_c{j}") for j in n], *[F.xxhash64(f"_h{j}").alias(f"_g{j}") for j in n])
-    rows = rows.select(*keep, "_w", *[F.col(f"_{x}{j}") for x in "rcg" for j in n], *[F.col(f"_{x}{j}").cast("int").alias(f"_{x}i{j}") for x in "rc" for j in n])
+    own = [*keep, "_at", "_w", "_limit"]
+    bars = [f"_bar{k}" for k in range(len(STEPS))]
+    rows = rows.select(*own, *bars, _held(F.xxhash64("_term", "_at")).alias("_h"))
+    out = [(F.col("_h").bitwiseAND(F.lit(0xFFFFFFFF)) < int((step / CELLS) ** 2 * 2 ** 32)) & (F.shiftrightunsigned("_h", 32) > F.col(bar)) for step, bar in zip(STEPS, bars, strict=True)]
+    rows = rows.filter(~reduce(lambda x, y: x | y, out) | (F.col("_at") == 0))
+    rows = rows.select(*own, "_h", (F.sqrt(low(F.col("_h"))) * scale).alias("_r"), (F.sqrt(high(F.col("_h"))) * scale).alias("_c"))
+    rows = rows.select(*own, "_h", "_r", "_c", F.col("_r").cast("int").alias("_ri"), F.col("_c").cast("int").alias("_ci"))
     logs = np.log(np.maximum(quantiles, 1e-9))
-    small = lambda c: c * (2 ** 0.5 / CELLS)
-    series = lambda s: F.log(s * (1 + s * (F.lit(1 / 3) + s * (F.lit(11 / 72) + s * F.lit(43 / 540)))))
-    between = lambda table, x, j: _between(table, F.col(f"_{x}i{j}"), F.col(f"_{x}{j}") - F.col(f"_{x}i{j}"))
-    rows = rows.select(*keep, "_w", *[between(quantiles, "r", j).alias(f"_r{j}") for j in n],
-                       *[F.when(F.col(f"_ci{j}") < FIRST_CELLS, series(small(F.col(f"_c{j}")))).otherwise(between(logs, "c", j)).alias(f"_c{j}") for j in n],
-                       *[(low(F.col(f"_g{j}")) * 2.0 ** -32).alias(f"_b{j}") for j in n], *[F.shiftrightunsigned(F.col(f"_g{j}"), 32).alias(f"_g{j}") for j in n])
-    rows = rows.select(*keep, *[F.col(f"_{x}{j}") for x in "rcbg" for j in n], *[F.floor(F.col("_w") / F.col(f"_r{j}") + F.col(f"_b{j}")).alias(f"_t{j}") for j in n])
-    a = lambda j: F.col(f"_c{j}") - F.col(f"_r{j}") * (F.col(f"_t{j}") - F.col(f"_b{j}") + 1)
-    code = lambda j: (F.col(f"_g{j}") + F.col(f"_t{j}")).bitwiseAND(F.lit(0xFFFFFF))
-    return rows.select(*keep, *[F.shiftleft((a(j) * SCALE).cast("long"), 24).bitwiseOR(code(j)).alias(f"_s{j}") for j in n])
-
-
-def fingerprints(terms: DataFrame, keys: list[str], weights: list[str], samples: int = SAMPLES) -> DataFrame:
-    """A fingerprint per key and weight column from (keys, ``_term`` long, weights): a list of numbers that hold four samples of 16 bits each.
-
-    A term is sampled once for equal weights. Samples are taken ``AT_ONCE`` at a time in one pass over each task's terms; only the smallest keys are kept.
-    ``samples`` is a multiple of four; a key without terms has no row.
-    """
+    s = F.col("_c") * (2 ** 0.5 / CELLS)
+    series = F.log(s * (1 + s * (F.lit(1 / 3) + s * (F.lit(11 / 72) + s * F.lit(43 / 540)))))
+    between = lambda table, x: _between(table, F.col(f"_{x}i"), F.col(f"_{x}") - F.col(f"_{x}i"))
+    rows = rows.select(*own, "_h", _held(between(quantiles, "r")).alias("_r"), F.when(F.col("_ci") < FIRST_CELLS, series).otherwise(between(logs, "c")).alias("_c"))
+    rows = rows.filter((F.col("_c") - F.col("_r") < F.col("_w") + F.col("_limit") + 1e-6) | (F.col("_at") == 0))
+    rows = rows.select(*own, "_r", "_c", F.xxhash64("_h").alias("_g"))
+    rows = rows.select(*own, "_r", "_c", (low(F.col("_g")) * 2.0 ** -32).alias("_b"), F.shiftrightunsigned("_g", 32).alias("_g"))
+    rows = rows.select(*own, "_r", "_c", "_b", "_g", F.floor(F.col("_w") / F.col("_r") + F.col("_b")).alias("_t"))
+    rows = rows.select(*own, "_g", "_t", _held(F.col("_c") - F.col("_r") * (F.col("_t") - F.col("_b") + 1)).alias("_a"))
+    rows = rows.filter((F.col("_a") < F.col("_limit")) | (F.col("_at") == 0))
+    code = (F.col("_g") + F.col("_t")).bitwiseAND(F.lit(0xFFFFFF))
+    return rows.select(*keep, "_at", F.shiftleft((F.col("_a") * SCALE).cast("long"), 24).bitwiseOR(code).alias("_s"))
+
+
+def _bars(limit: Column) -> list[Column]:
+    """For each of ``STEPS`` the high half of a hash above which ln c - r is not below ``limit``, if its low half is below the step."""
+    def bar(most: float) -> Column:
+        c = F.exp(limit + (most + 0.02))
+        share = 1 - (1 + c) * F.exp(-c)
+        return F.when(share < 0.98, F.ceil(share * 2.0 ** 32)).otherwise(1 << 32)
+    quantiles = _gamma_quantiles()
+    return [bar(float(quantiles[step])).alias(f"_bar{k}") for k, step in enumerate(STEPS)]
+
+
+def _prints(terms: DataFrame, keys: list[str], weights: list[str], samples: int, expected: float) -> DataFrame:
+    """``fingerprints`` from the terms with an a so small that a sample has ``expected`` of them on average; ``_whole`` tells whether each sample had
+    one. ``_sum0`` .. of ``terms`` are the sums of the weights of a key, or less."""
     entries = []
     for i, w in enumerate(weights):
         here = sum([F.when(F.col(v) == F.col(w), 1 << j).otherwise(0) for j, v in enumerate(weights) if j >= i], F.lit(0))
+        total = F.array_min(F.array(*[F.when(F.col(v) == F.col(w), F.col(f"_sum{j}")) for j, v in enumerate(weights) if j >= i]))
         new = F.col(w) > 0
         for v in weights[:i]:
             new = new & (F.col(v) != F.col(w))
-        entries.append(F.when(new, F.struct(F.log(F.col(w).cast("double")).alias("_w"), here.alias("_of"))))
-    rows = terms.select(*keys, "_term", F.explode(F.array_compact(F.array(*entries))).alias("_e")).select(*keys, "_term", "_e._w", "_e._of")
-    rows = rows.withColumn("_part", F.explode(F.array(*[F.lit(i) for i in range(0, samples, AT_ONCE)])))
-    sampled = _sampled(rows, [*keys, "_part", "_of"])
-    least = sampled.groupBy(*keys, "_part", "_of").agg(*[F.min(f"_s{j}").alias(f"_s{j}") for j in range(AT_ONCE)])
+        entries.append(F.when(new, F.struct(F.log(F.col(w).cast("double")).alias("_w"), here.alias("_of"), (F.lit(math.log(expected)) - F.log(total)).alias("_limit"))))
+    rows = terms.select(*keys, "_term", F.explode(F.array_compact(F.array(*entries))).alias("_e")).select(*keys, "_term", "_e._w", "_e._of", "_e._limit")
+    rows = rows.select("*", *_bars(F.col("_w") + F.col("_limit")))
+    rows = rows.withColumn("_at", F.explode(F.array(*[F.lit(i) for i in range(samples)])))
+    sampled = _sampled(rows, [*keys, "_of"]).select(*keys, "_of", F.shiftright("_at", 2).alias("_part"), F.col("_at").bitwiseAND(F.lit(3)).alias("_at"), "_s")
+    least = sampled.groupBy(*keys, "_part", "_of").agg(*[F.min(F.when(F.col("_at") == j, F.col("_s"))).alias(f"_s{j}") for j in range(4)])
     own = lambda i, j: F.min(F.when(F.col("_of").bitwiseAND(F.lit(1 << i)) != 0, F.col(f"_s{j}")))
-    best = least.groupBy(*keys, "_part").agg(*[own(i, j).alias(f"{w}{j}") for i, w in enumerate(weights) for j in range(AT_ONCE)])
-    lane = lambda w, j: F.call_function("shiftleft", F.coalesce(F.col(f"{w}{j}"), F.lit(0)).bitwiseAND(F.lit(0xFFFF)).cast("long"), (48 - 16 * ((F.col("_part") + j) % 4)).cast("int"))
-    lanes = lambda w: reduce(lambda x, y: x.bitwiseOR(y), [lane(w, j) for j in range(AT_ONCE)]).alias(w)
-    parts = best.select(*keys, "_part", *[lanes(w) for w in weights])
-    if AT_ONCE < 4:
-        parts = parts.groupBy(*keys, F.floor(F.col("_part") / 4).alias("_part")).agg(*[F.bit_or(w).alias(w) for w in weights])
+    best = least.groupBy(*keys, "_part").agg(*[own(i, j).alias(f"{w}{j}") for i, w in enumerate(weights) for j in range(4)])
+    lane = lambda w, j: F.shiftleft(F.coalesce(F.col(f"{w}{j}"), F.lit(0)).bitwiseAND(F.lit(0xFFFF)), 48 - 16 * j)
+    lanes = lambda w: reduce(lambda x, y: x.bitwiseOR(y), [lane(w, j) for j in range(4)]).alias(w)
+    found = lambda w: sum([F.col(f"{w}{j}").isNotNull().cast("int") for j in range(4)], F.lit(0))
+    parts = best.select(*keys, "_part", *[lanes(w) for w in weights], *[found(w).alias(f"_found{i}") for i, w in enumerate(weights)])
     joined = lambda w: F.transform(F.array_sort(F.collect_list(F.struct("_part", w))), lambda x: x[w]).alias(w)
-    return parts.groupBy(*keys).agg(*[joined(w) for w in weights])
+    whole = reduce(lambda x, y: x & y, [F.sum(f"_found{i}").isin(0, samples) for i in range(len(weights))])
+    return parts.groupBy(*keys).agg(*[joined(w) for w in weights], whole.alias("_whole"))
+
+
+def _completed(found: DataFrame, terms: DataFrame, keys: list[str], weights: list[str], samples: int) -> DataFrame:
+    """``found``, computed and with columns of ``_prints``, where keys that are not whole have fingerprints from all their terms."""
+    few = found.filter(~F.col("_whole"))
+    if few.isEmpty():
+        return found.drop("_whole")
+    again = materialise(_prints(terms.join(few.select(*keys), keys, "left_semi"), keys, weights, samples, math.inf))
+    return found.filter(F.coalesce("_whole", F.lit(True))).unionByName(few.drop(*weights, "_whole").join(again, keys), allowMissingColumns=False).drop("_whole")
+
+
+def fingerprints(terms: DataFrame, keys: list[str], weights: list[str], samples: int = SAMPLES) -> DataFrame:
+    """A fingerprint per key and weight column from (keys, ``_term`` long, weights): a list of numbers that hold four samples of 16 bits each.
+
+    A term is sampled once for equal weights. The smallest a of a key is distributed as an exponential variate over its sum of weights, so only
+    terms with an a below ``EXPECTED`` / sum are compared. A key that has none there in some sample (e ** -EXPECTED) is taken again with all its terms.
+    ``samples`` is a multiple of four; a key without terms has no row.
+    """
+    sums = [F.sum(F.when(F.col(w) > 0, F.col(w).cast("double"))).over(Window.partitionBy(*keys)).alias(f"_sum{i}") for i, w in enumerate(weights)]
+    terms = terms.select(*keys, "_term", *weights, *sums)
+    return _completed(materialise(_prints(terms, keys, weights, samples, EXPECTED)), terms, keys, weights, samples)
 
 
 def digits(prints: Column) -> Column:
@@ -135,17 +179,20 @@ def compare_with_edited(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     n = F.char_length("_text")
     edited = F.concat(F.col("_text").substr(F.lit(1), n - F.floor(n / 4).cast("int")), "_head")
     rows = rows.select(*keys, "_text", edited.alias("_edited"))
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.split("_text", BLANK, -1).alias("words")), F.struct(F.lit(1).alias("side"), F.split("_edited", BLANK, -1).alias("words")))
-    words = rows.select(*keys, F.explode(sides).alias("_s")).select(*keys, F.col("_s.side").alias("_side"), F.explode("_s.words").alias("_word"))
+    split = rows.select(*keys, F.split("_text", BLANK, -1).alias("_words0"), F.split("_edited", BLANK, -1).alias("_words1"))
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"_words{i}").alias("words")) for i in (0, 1)])
+    # the first and the last piece may be empty
+    sums = [F.greatest(F.size(f"_words{i}") - 2, F.lit(1)).alias(f"_sum{i}") for i in (0, 1)]
+    words = split.select(*keys, *sums, F.explode(sides).alias("_s")).select(*keys, "_sum0", "_sum1", F.col("_s.side").alias("_side"), F.explode("_s.words").alias("_word"))
     words = words.filter(F.col("_word") != "")
     terms = words.groupBy(*keys, F.xxhash64("_word").alias("_term")).agg(
-        F.sum(1 - F.col("_side")).alias("fingerprint"), F.sum("_side").alias("edited_fingerprint"))
-    prints = fingerprints(terms, keys, ["fingerprint", "edited_fingerprint"], samples)
+        F.sum(1 - F.col("_side")).alias("fingerprint"), F.sum("_side").alias("edited_fingerprint"), F.min("_sum0").alias("_sum0"), F.min("_sum1").alias("_sum1"))
+    weights = ["fingerprint", "edited_fingerprint"]
+    prints = _prints(terms, keys, weights, samples, EXPECTED)
     shas = rows.groupBy(*keys).agg(F.min(F.sha2("_edited", 256)).alias("edited_sha256"))
     none = F.array_repeat(F.lit(0).cast("long"), samples // 4)
-    found = slim.join(shas, keys).join(prints, keys, "left")
+    found = _completed(materialise(slim.join(shas, keys).join(prints, keys, "left")), terms, keys, weights, samples)
     found = found.withColumn("fingerprint", F.coalesce("fingerprint", none)).withColumn("edited_fingerprint", F.coalesce("edited_fingerprint", none))
-    found = materialise(found)
     following = found.select(F.col("_key1").alias("_next__key1"), F.col("_key2").alias("_next__key2"), F.col("fingerprint").alias("_next_print"))
     found = found.join(following, ["_next__key1", "_next__key2"])
     return found.select(F.col("_id").alias(doc_id), F.col("_n").alias("n_chars"), "edited_sha256", digits(F.col("fingerprint")).alias("fingerprint"),

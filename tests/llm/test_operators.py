@@ -153,6 +153,25 @@ def test_fingerprints_collide_as_generalised_jaccard(spark):
     assert abs(got - true) < 0.08
 
 
+def test_fingerprints_of_few_terms_are_those_of_all(spark, docs, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(f"w{j}" for j in rng.zipf(1.3, 20 + 15 * i) % 900)) for i in range(24)] + [(30, "one"), (31, ""), (32, None)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {}
+    for expected in (float("inf"), fingerprints.EXPECTED, 2.0):  # the last one leaves most documents to be taken again
+        monkeypatch.setattr(fingerprints, "EXPECTED", expected)
+        found[expected] = [sorted(map(str, fingerprints.compare_with_edited(d).collect())) for d in (texts, docs)]
+    every, *others = found.values()
+    assert len(every[0]) == len(rows) and others == [every, every]
+    terms = spark.createDataFrame([(i % 3, i, 1 + i % 4) for i in range(900)], "id int, t int, w int").select("id", F.xxhash64("t").alias("_term"), "w")
+    sampled = fingerprints._sampled
+    seen = []
+    monkeypatch.setattr(fingerprints, "_sampled", lambda rows, keep: seen.append(sampled(rows, keep)) or seen[-1])
+    monkeypatch.setattr(fingerprints, "EXPECTED", 24.0)
+    fingerprints.fingerprints(terms, ["id"], ["w"])
+    assert 10 < seen[0].count() / (3 * fingerprints.SAMPLES) < 30  # of 300 terms
+
+
 def test_likeness_of_the_query_is_near_the_exact_one(spark):
     rows = [(p, t, 1 + t % 5 if t < 200 else 0, 1 + (t * 3) % 5 if t >= p * 3 else 0) for p in range(60) for t in range(300)]
     terms = spark.createDataFrame(rows, "id int, t int, a int, b int").select("id", F.xxhash64("id", "t").alias("_term"), "a", "b")
