@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,6 +293,42 @@ def test_lm_scoring_reads_all_arcs(spark):
         assert abs(r["score"] - want[r["doc_id"]]) < 1e-6 * max(1, abs(want[r["doc_id"]]))
 
 
+def test_lm_scoring_packs_what_blocks_are_told(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(f"w{j}" for j in np.append(rng.zipf(1.3, 150) % 3000, i + 5000))) for i in range(80)] + [(90, "w1 \x00 w1 x\x00\x00 w1 only"), (91, None), (92, " \t")]
+    docs, held = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.col("doc_id") % 6 == 0
+    seen: dict = {}
+    table = lm_scoring._table
+
+    def watched(df, name, *more):
+        out = table(df, name, *more)
+        seen.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(lm_scoring, "_table", watched)
+    scores = lambda **more: {r["doc_id"]: r["score"] for r in lm_scoring.score_texts(docs, held, block_bytes=15_000, **more).collect()}
+    whole, alone = scores(), lm_scoring.score_texts(docs, held, block_bytes=1 << 20)
+    words = seen["words"][0]
+    assert seen["told"][0] < words / 4  # not a row for each word and block
+    # words whose arcs are dealt to several parts, and texts in one block, score the same
+    for other in (scores(part_times=20), {r["doc_id"]: r["score"] for r in alone.collect()}):
+        assert other.keys() == whole.keys() and all(abs(other[k] - whole[k]) < 1e-6 * abs(whole[k]) for k in whole)
+
+
+def test_lm_grams_of_words_at_once():
+    words = [b"a", b"hello", b"\x00", b"a\x00\x00b\x00", "\u00e9\U0001f600zzzzzz".encode(), b"\xff\xc3", b"abcdefghij"]
+    grams, n = lm_scoring._fixed_grams(words)
+    padded = [lm_scoring.padded(w) for w in words]
+    want = [[p[max(0, end - 5):end] for end in range(2, len(p) + 1)] for p in padded]
+    assert lm_scoring._gram_texts(grams) == [g for w in want for g in w] and n.tolist() == [len(w) for w in want]
+    assert [lm_scoring.longest_grams(p) for p in padded] == want and lm_scoring._fixed_texts([g for w in want for g in w]).equals(grams)
+    columns = np.zeros(0, np.int64), np.array([0, 70_000]), np.array([0.5, -np.inf]), np.array([1.5], np.float32)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(lm_scoring._opened(lm_scoring._sealed(*columns)), columns, strict=True))
+    texts = [bytes(range(256)), None, b"", b"  A\x0bb\x1cc ", b"A b"]
+    found, lengths = lm_scoring.tokens(pa.array(texts, pa.binary()))
+    assert found.to_pylist() == [w for t in texts for w in (t or b"").lower().split()] and lengths.tolist() == [len((t or b"").split()) for t in texts]
+
+
 @pytest.mark.parametrize("text", ["</s>[INST] ok [/INST]", "<\\/s> <\\\\/s> [\\INST]", "<|turn|><|end|><|text|>", "", "\u00e9 \U0001f600 \\"])
 def test_escape(text):
     safe = chat_format.escape(text)
